@@ -1,0 +1,5 @@
+"""No streaming operator is in scope: the covered work is batch only.
+
+The row-level operators (cleaning rules, calendar, wind and solar columns) are
+plain column expressions and also accept a streaming DataFrame.
+"""
