@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,14 +35,14 @@ def _is(t: T.DataType, *kinds) -> bool:
     return isinstance(t, kinds)
 
 
-def column_roles(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """Name-based roles of every column of the given tables; reads schemas, not rows."""
-    rows = [(name, f.name, f.dataType.simpleString()) for name, df in tables.items() for f in df.schema.fields]
-    columns = spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
+def column_roles(df: DataFrame, table: str) -> DataFrame:
+    """Name-based role, unit and number of values of every column of a table."""
+    wide = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_values")) for c in df.columns])
     name = F.col("column_name")
     unit = F.regexp_extract(name, f"(?i){UNIT_IN_NAME}", 1)
-    return columns.select(
-        "table_name", "column_name",
+    return wide.select(F.inline(entries)).select(
+        F.lit(table).alias("table_name"), "column_name", "n_values",
         name.rlike(f"(?i){TIMESTAMP_NAME}").alias("is_timestamp"),
         name.rlike(f"(?i){SITE_NAME}").alias("is_site"),
         name.rlike(f"(?i){TARGET_NAME}").alias("is_target"),
