@@ -419,12 +419,34 @@ def dim_lookup_capacity(spark, folder):
     return energy.join(D.site_details(spark, folder).select("site_id", "capacity_kwp"), "site_id", "left")
 
 
-@query("cross_candidates")
+def _zone_sql(zone: str, hours: int) -> str:
+    """All rows fall in one daylight-saving regime, so a civil clock is a fixed offset."""
+    sunny = SUN_SQL.replace("INTERVAL 10 HOUR", f"INTERVAL {hours} HOUR")
+    return f"""
+        SELECT '{zone}' AS zone, coalesce(avg(g.power) FILTER (WHERE s.solar_elevation_deg > 0), 0) AS day_mean_power,
+               coalesce(avg(g.power) FILTER (WHERE NOT s.solar_elevation_deg > 0), 0) AS night_mean_power,
+               avg(CASE WHEN g.power > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT s.solar_elevation_deg > 0) AS night_nonzero_fraction,
+               0::BIGINT AS unplaced_rows FROM gen g JOIN ({sunny}) s USING (site_id, timestamp)"""
+
+
+ZONES_SQL = f"""
+    SELECT *, CASE WHEN night_mean_power > 0 THEN day_mean_power / night_mean_power END AS contrast_ratio
+    FROM ({_zone_sql("Etc/GMT-10", 10)} UNION ALL {_zone_sql("Australia/Melbourne", 11)})"""
+
+
+@query("cross_candidates", "gen sites", ZONES_SQL, "day_mean_power night_mean_power night_nonzero_fraction contrast_ratio")
 def cross_candidates(spark, folder):
     coords = sun.campus_coordinates(D.site_details(spark, folder))
     return sun.score_zones(D.generation(spark, folder), coords)
 
 
+@query("choose_timezone", "gen sites", f"""
+    SELECT zone AS chosen_zone FROM ({ZONES_SQL}) ORDER BY round(night_nonzero_fraction, 4), unplaced_rows LIMIT 1""")
+def choose_timezone(spark, folder):
+    coords = sun.campus_coordinates(D.site_details(spark, folder))
+    return sun.choose_zone(sun.score_zones(D.generation(spark, folder), coords))
+
+
 MONTH_SLOTS = """
     SELECT e.month, e.expected_slots, coalesce(a.actual_slots, 0) AS actual_slots, 100.0 * (1 - coalesce(a.actual_slots, 0) / e.expected_slots::DOUBLE) AS missing_slot_pct
     FROM (SELECT strftime(s.slot, '%Y-%m') AS month, count(*) AS expected_slots

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, profiling, quality, reshape, sun
-from ..operators import weather as WX
-from ..plans import build
 from ..sources import driver_tables as D
 from .registry import query
 
@@ -86,12 +84,6 @@ def campus_coordinates(spark, folder):
     return sun.campus_coordinates(D.site_details(spark, folder))
 
 
-@query("choose_timezone")
-def choose_timezone(spark, folder):
-    coords = sun.campus_coordinates(D.site_details(spark, folder))
-    return sun.choose_zone(sun.score_zones(D.generation(spark, folder), coords))
-
-
 @query("iqr_outliers", "day sites", """
     SELECT d.site_id, q.q1, q.q3, q.upper_fence, count(*) AS n_daylight, count(*) FILTER (WHERE d.power > q.upper_fence) AS n_outliers,
            max(d.power) AS max_power, any_value(s.capacity_kwp) AS capacity_kwp
@@ -306,22 +298,3 @@ def id_candidates(spark, folder):
     UNION ALL (SELECT 'tail', event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 5)""")
 def head_tail_5(spark, folder):
     return profiling.head_and_tail(D.table(spark, folder, "events").select("event_id", "ts"), ["ts", "event_id"])
-
-
-@query("interpolation_log", "wx")
-def interpolation_log(spark, folder):
-    wx = D.weather(spark, folder)
-    return WX.filled_counts(wx, WX.interpolate_short_gaps(wx), WX_COLUMNS[:5])
-
-
-@query("build_processed")
-def build_processed(spark, folder):
-    """Whole raw-to-processed job on the derived raw tables; the per-site digest keeps the output small."""
-    from .scans import TEXT_TS
-
-    gen = D.generation(spark, folder).withColumn("timestamp", F.date_format("timestamp", TEXT_TS))
-    wx = D.weather(spark, folder).withColumn("timestamp", F.date_format("timestamp", TEXT_TS))
-    done = build.build_processed(gen, wx, D.site_details(spark, folder), "Etc/GMT-10")
-    return done.groupBy("site_id", "year", "month").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("power").alias("n_observed"), F.count_if("is_daylight").alias("n_daylight"),
-        F.avg("temperature").alias("mean_temperature"), F.avg("humidity").alias("mean_humidity"))

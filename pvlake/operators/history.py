@@ -106,5 +106,5 @@ def future_rows(tail: DataFrame, horizon: int, carried: list[str], ts: str = "ti
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")
     wide = last.select("site_id", "l.*", steps)
     return wide.select(
-        "site_id", "campus_id", from_micros(F.col("_us") + F.col("step") * F.lit(SLOT_US)).alias(ts),
+        "site_id", "campus_id", from_micros(F.col("_us") + F.col("step").cast("long") * F.lit(SLOT_US).cast("long")).alias(ts),
         F.lit(None).cast("double").alias("power"), *carried, "step")

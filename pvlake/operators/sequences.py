@@ -62,7 +62,7 @@ def unstandardized(prediction: Column, y_mean: Column, y_std: Column) -> Column:
 
 def sliding_windows(df: DataFrame, channels: list[str], lookback: int = LOOKBACK, *, key: str = "site_id",
                     ts: str = "timestamp", target: str = "power", by: tuple[str, ...] = (),
-                    power: str = "ch_power", mask: str = f"ch_{MASK}", chunk_rows: int = 2048) -> DataFrame:
+                    power: str = "ch_power", mask: str = f"ch_{MASK}", chunk_rows: int = 2048, kind: str = "float") -> DataFrame:
     """``key, ts, target, window``: (lookback + 1) steps of channels ending at the row.
 
     Windows count rows, never cross a series (``by`` adds e.g. the split to its
@@ -73,11 +73,12 @@ def sliding_windows(df: DataFrame, channels: list[str], lookback: int = LOOKBACK
     series = [key, *by]
     placed = add_position(df.withColumn("_us", micros(ts)), series, "_us", 4 * WEEK_US, "_pos", "_total")
     split = with_halo(placed.withColumn("_pos", F.col("_pos").cast("long")), "_pos", max(chunk_rows, lookback), lookback)
-    step = F.array(*[F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")) for c in channels])
+    zero = F.lit(0.0).cast(kind)
+    step = F.array(*[F.coalesce(F.col(c).cast(kind), zero) for c in channels])
     frame = halo_window(series, "_pos").rowsBetween(-lookback, 0)
     windows = split.withColumn("_w", F.collect_list(step).over(frame))
-    hidden = F.array(*[F.lit(0.0).cast("float") if c in (power, mask) else F.col(c).cast("float") for c in channels])
+    current = F.array(*[zero if c in (power, mask) else F.coalesce(F.col(c).cast(kind), zero) for c in channels])
     ready = drop_halo(windows).where((F.col("_pos") > lookback) & F.col(target).isNotNull())
     return ready.select(
         *series, ts, F.col(target).alias("target"),
-        F.concat(F.slice("_w", 1, lookback), F.array(F.coalesce(hidden, step))).alias("window"))
+        F.concat(F.slice("_w", 1, lookback), F.array(current)).alias("window"))
