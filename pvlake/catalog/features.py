@@ -11,7 +11,7 @@ from ..operators import time_features as TF
 from ..operators.weather import filled_counts, interpolate_short_gaps
 from ..plans import build, evaluate, forecast
 from ..sources import driver_tables as D
-from .columns import CHANNEL_DOUBLES, CHANNELS, ROLE_SQL, TRAIN_CHANNELS
+from .columns import CHANNELS, ROLE_SQL, SUN_SQL, TRAIN_CHANNELS
 from .registry import CTES, query
 from .scans import TEXT_TS
 
@@ -125,15 +125,23 @@ def feature_missing_pct(spark, folder):
     return build.feature_missing(built, [*TF.lag_names(), *TF.rolling_names()])
 
 
-@query("build_features_solar")
+@query("build_features_solar", "gen sites", f"""
+    WITH sun AS ({SUN_SQL}), lit AS (
+        SELECT campus_id, date_trunc('day', timestamp) AS d, count(DISTINCT timestamp) * 0.25 AS hours FROM sun WHERE solar_elevation_deg > 0 GROUP BY 1, 2)
+    SELECT s.site_id, count(*) AS n_rows, min(s.azimuth_deg) AS min_azimuth, max(s.azimuth_deg) AS max_azimuth,
+           max(s.solar_elevation_deg) AS max_elevation, max(90 - s.solar_elevation_deg) AS max_zenith, avg(l.hours) AS mean_day_length
+    FROM sun s LEFT JOIN lit l ON l.campus_id = s.campus_id AND l.d = date_trunc('day', s.timestamp) GROUP BY 1""",
+       "min_azimuth max_azimuth max_elevation max_zenith mean_day_length")
 def build_features_solar(spark, folder):
-    """The full table with real solar geometry; checked for range and rows, digested per site."""
+    """The full table with real solar geometry, condensed per site."""
     from ..operators.sun import campus_coordinates
 
-    built = build.build_features(D.panel(spark, folder), campus_coordinates(D.site_details(spark, folder)))
+    coords = campus_coordinates(D.site_details(spark, folder))
+    built = build.build_features(D.panel(spark, folder), coords, "Etc/GMT-10")
     return built.groupBy("site_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("azimuth_deg").alias("min_azimuth"), F.max("azimuth_deg").alias("max_azimuth"),
-        F.max("solar_elevation_deg").alias("max_elevation"), F.avg("day_length_hours").alias("mean_day_length"))
+        F.max("solar_elevation_deg").alias("max_elevation"), F.max("zenith_deg").alias("max_zenith"),
+        F.avg("day_length_hours").alias("mean_day_length"))
 
 
 # ---------------------------------------------------------------- samples and splits

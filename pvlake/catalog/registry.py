@@ -18,7 +18,7 @@ from ..session import checkpoint_dir
 DIGITS = 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("scans", "columns", "quality", "features")
+MODULES = ("scans", "columns", "quality", "features", "evaluation", "exploration", "learning")
 
 # Shared definitions: name -> (names it builds on, text)
 CTES: dict[str, tuple[str, str]] = {
