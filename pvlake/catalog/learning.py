@@ -83,7 +83,7 @@ def known_model(df):
 
 
 CTES["contrib"] = ("panel", " UNION ALL ".join(
-    f"SELECT site_id, timestamp, '{c}' AS feature, {c} AS value, (coalesce({c}, (SELECT avg({c}) FROM panel)) - (SELECT avg({c}) FROM panel)) * {w}::DOUBLE AS contribution FROM panel"
+    f"SELECT site_id, timestamp, '{c}' AS feature, {c} AS value, CASE WHEN {c} IS NULL THEN 0 ELSE ({c} - (SELECT avg({c}) FROM panel)) * {w}::DOUBLE END AS contribution FROM panel"
     for c, w in KNOWN.items()))
 CTES["importance"] = ("contrib", """
     SELECT *, row_number() OVER (ORDER BY mean_abs DESC) AS rank, mean_abs / sum(mean_abs) OVER () AS share_of_total FROM (
@@ -178,7 +178,7 @@ def forecast_recursive(spark, folder):
 @query("forecast_batch")
 def forecast_batch(spark, folder):
     """Boosted trees, all sites at once, with calibrated bounds."""
-    df = features(spark, folder)
+    df = features(spark, folder).drop("solar_elevation_deg")
     model = small_gbt(df)
     radii = conformal.fit(conformal_scored(spark, folder).where(
         (F.col("split") == "val") & (F.col("model") == "persistence_24h")), ["model"]).drop("model")

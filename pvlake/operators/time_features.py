@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import DAY_US, SLOT_US, micros
+from ..functions.clock import SLOT_US, micros
 from .timeline import WEEK_US, drop_halo, halo_window, with_halo
 
 # fixed values: look-back steps (15 minutes each), windows in seconds, statistics
@@ -92,5 +92,44 @@ def lookback_at(history: DataFrame, targets: DataFrame, *, key: str = "site_id",
     return targets.join(past.groupBy(key).agg(*aggregates), key, "left")
 
 
-def default_chunk(days: int) -> int:
-    return days * DAY_US
+def lookback_stages(past: str, now: str, *, value: str = "power", lag_steps=LAG_STEPS,
+                    rolling_seconds=ROLLING_SECONDS) -> list[dict[str, Column]]:
+    """The same features from a short history carried inside the row: no shuffle at all.
+
+    ``past`` is an array of (us, v) pairs, at most a day of slots; ``now`` is the
+    row's own time in microseconds. The stages are column dictionaries to add one
+    after another; columns starting with ``_look`` are helpers.
+    """
+    t = F.col(now)
+
+    def readings(span: int) -> Column:
+        recent = F.filter(F.col(past), lambda p: (p["us"] >= t - span) & (p["us"] < t) & p["v"].isNotNull())
+        return F.transform(recent, lambda p: p["v"])
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    def spread(values: Column, mean: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+
+    helpers = {f"_look_{w}": readings(w * 1_000_000) for w in rolling_seconds}
+    helpers["_look_series"] = F.map_from_entries(past)
+    means: dict[str, Column] = {
+        name: F.try_element_at("_look_series", t - s * SLOT_US) for name, s in zip(lag_names(lag_steps, value), lag_steps)
+    }
+    rest: dict[str, Column] = {}
+    for w in rolling_seconds:
+        values, n = F.col(f"_look_{w}"), F.size(f"_look_{w}")
+        mean = f"{value}_rolling_mean_{w}s"
+        means[mean] = F.when(n > 0, total(values) / n)
+        rest[f"{value}_rolling_std_{w}s"] = F.when(n > 1, F.sqrt(spread(values, F.col(mean)) / (n - 1)))
+        rest[f"{value}_rolling_min_{w}s"] = F.array_min(values)
+        rest[f"{value}_rolling_max_{w}s"] = F.array_max(values)
+    return [helpers, means, rest]
+
+
+def add_lookback(df: DataFrame, past: str, now: str, **options) -> DataFrame:
+    stages = lookback_stages(past, now, **options)
+    for columns in stages:
+        df = df.withColumns(columns)
+    return df.drop(*stages[0])
