@@ -110,7 +110,7 @@ def partition_cols(spark, folder):
 
 
 @query("localize_tz", "", """
-    SELECT l_orderkey, l_linenumber, local_ts, CASE
+    SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, local_ts, CASE
         WHEN (utc + INTERVAL 0 HOUR) IS NULL THEN NULL
         WHEN ((utc - INTERVAL 1 HOUR) AT TIME ZONE 'UTC') AT TIME ZONE 'Australia/Melbourne' = local_ts THEN NULL
         WHEN ((utc + INTERVAL 1 HOUR) AT TIME ZONE 'UTC') AT TIME ZONE 'Australia/Melbourne' = local_ts THEN NULL

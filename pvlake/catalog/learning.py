@@ -106,12 +106,12 @@ def global_importance(spark, folder):
     return explain.global_importance(known_contributions(spark, folder))
 
 
-@query("share_and_rank", "gen", """
-    SELECT campus_id::VARCHAR AS campus, energy, row_number() OVER (ORDER BY energy DESC) AS rank, energy / sum(energy) OVER () AS share_of_total
-    FROM (SELECT campus_id, sum(power) AS energy FROM gen GROUP BY 1)""", "energy share_of_total")
+@query("share_and_rank", "", """
+    SELECT event_type, total, row_number() OVER (ORDER BY total DESC) AS rank, total / sum(total) OVER () AS share_of_total
+    FROM (SELECT event_type, sum(value) AS total FROM events GROUP BY 1)""", "total share_of_total")
 def share_and_rank(spark, folder):
-    energy = D.generation(spark, folder).groupBy(F.col("campus_id").cast("string").alias("campus")).agg(F.sum("power").alias("energy"))
-    return explain.share_and_rank(energy, "energy", "campus")
+    totals = D.table(spark, folder, "events").groupBy("event_type").agg(F.sum("value").alias("total"))
+    return explain.share_and_rank(totals, "total", "event_type")
 
 
 @query("importance_topn", "importance", "SELECT rank, feature, mean_abs FROM importance WHERE rank <= 3", "mean_abs")

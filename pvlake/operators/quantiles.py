@@ -2,9 +2,9 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer. Here the
 values are first counted (map-side combined, keyed by group *and* value), then
-located in two steps: logarithmic buckets are accumulated per group (a few
-thousand at most, whatever the row count), and only the buckets holding a wanted
-rank are ordered.
+located in three steps: logarithmic buckets are accumulated per group (a few
+thousand at most, whatever the row count), the buckets holding a wanted rank are
+cut into even slices and accumulated again, and only the hit slices are ordered.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS_PER_OCTAVE = 256
+SLICES = 4_096
 _ORIGIN = 2_000 * BUCKETS_PER_OCTAVE  # past the smallest double exponent
 
 
@@ -24,6 +25,10 @@ def log_bucket(value: Column) -> Column:
     return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, level).otherwise(-level)
 
 
+def _ranks_between(ranks: Column, low: Column, high: Column) -> Column:
+    return F.filter(ranks, lambda h: (h["rank"] > low) & (h["rank"] <= high))
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str,
                      ranks: dict[str, Callable[[Column], Column]], weight: str | None = None) -> DataFrame:
     """The values at given 1-based ranks per group, one column per entry of ``ranks``.
@@ -44,7 +49,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     by_group = Window.partitionBy(*groups)
     buckets = (
         freq.groupBy(*groups, "_b")
-        .agg(F.sum("_f").alias("_bf"))
+        .agg(F.sum("_f").alias("_bf"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
         .withColumns({
             "_upto": F.sum("_bf").over(by_group.orderBy("_b")),
             "_n": F.sum("_bf").over(by_group),
@@ -54,17 +59,30 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
         F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("rank"))
         for name, rank in ranks.items()
     ])
+    before = F.col("_upto") - F.col("_bf")
     hits = (
-        buckets.withColumn("_hits", F.filter(
-            wanted, lambda h: (h["rank"] > F.col("_upto") - F.col("_bf")) & (h["rank"] <= F.col("_upto"))))
+        buckets.withColumn("_hits", _ranks_between(wanted, before, F.col("_upto")))
         .where(F.size("_hits") > 0)
-        .select(*groups, "_b", "_n", (F.col("_upto") - F.col("_bf")).alias("_before"), "_hits")
+        .select(*groups, "_b", "_n", before.alias("_before"), "_hits", "_min", "_max")
+    )
+    # values may crowd into one bucket (a large offset with small differences), so it is cut once more, evenly
+    place = F.floor((F.col("_v") - F.col("_min")) / F.nullif(F.col("_max") - F.col("_min"), F.lit(0.0)) * SLICES)
+    near = freq.join(hits, [*groups, "_b"]).withColumn("_s", F.coalesce(F.least(place, F.lit(SLICES - 1)), F.lit(0)))
+    in_bucket = Window.partitionBy(*groups, "_b").orderBy("_s")
+    slices = near.groupBy(*groups, "_b", "_s").agg(
+        F.sum("_f").alias("_sf"), F.first("_before").alias("_base"), F.first("_hits").alias("_all_hits"))
+    upto = F.col("_base") + F.sum("_sf").over(in_bucket)
+    hit_slices = (
+        slices.withColumn("_sliceupto", upto)
+        .withColumn("_slicehits", _ranks_between(F.col("_all_hits"), F.col("_sliceupto") - F.col("_sf"), F.col("_sliceupto")))
+        .where(F.size("_slicehits") > 0)
+        .select(*groups, "_b", "_s", (F.col("_sliceupto") - F.col("_sf")).alias("_slicebefore"), "_slicehits")
     )
-    inside = Window.partitionBy(*groups, "_b").orderBy("_v")
+    inside = Window.partitionBy(*groups, "_b", "_s").orderBy("_v")
     located = (
-        freq.join(hits, [*groups, "_b"])
-        .withColumn("_hi", F.col("_before") + F.sum("_f").over(inside))
-        .withColumn("_hit", F.explode("_hits"))
+        near.join(hit_slices, [*groups, "_b", "_s"])
+        .withColumn("_hi", F.col("_slicebefore") + F.sum("_f").over(inside))
+        .withColumn("_hit", F.explode("_slicehits"))
         .where((F.col("_hit.rank") > F.col("_hi") - F.col("_f")) & (F.col("_hit.rank") <= F.col("_hi")))
     )
     out = located.groupBy(*groups).agg(
