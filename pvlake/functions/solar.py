@@ -34,7 +34,7 @@ def add_sun_utc(df: DataFrame, utc: Column | str, latitude: Column | str, longit
     c = F.col
     before = df.columns
     refraction = pressure_hpa / 1010.0 * 283.0 / (273.0 + temperature_c) * 1.02 / 60.0
-    barriers = {0, 3, 5, 7, 8}
+    barriers = {0, 3, 5, 7, 9}
     steps: list[dict[str, Column]] = [
         {"_us": micros(utc), "_lat": F.radians(col(latitude)), "_lon": col(longitude)},
         {"_t": (c("_us") - F.lit(J2000_US)) / F.lit(float(DAY_US) * 36525.0)},
@@ -72,15 +72,15 @@ def add_sun_utc(df: DataFrame, utc: Column | str, latitude: Column | str, longit
                        F.lit(1440.0)) / 4.0 - 180.0),
         },
         {
-            "_true": F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(
-                F.lit(-1.0),
-                F.sin(c("_lat")) * F.sin(c("_decl")) + F.cos(c("_lat")) * F.cos(c("_decl")) * F.cos(c("_ha")))))),
+            "_sine": F.sin(c("_lat")) * F.sin(c("_decl")) + F.cos(c("_lat")) * F.cos(c("_decl")) * F.cos(c("_ha")),
             "azimuth_deg": F.pmod(
                 F.degrees(F.atan2(
                     F.sin(c("_ha")),
                     F.cos(c("_ha")) * F.sin(c("_lat")) - F.tan(c("_decl")) * F.cos(c("_lat")))) + 180.0,
                 F.lit(360.0)),
         },
+        # rounding may leave [-1, 1]; a null (no place, no instant) must stay null, which least/greatest would drop
+        {"_true": F.degrees(F.asin(F.when(c("_sine") > 1.0, 1.0).when(c("_sine") < -1.0, -1.0).otherwise(c("_sine"))))},
         # no refraction once the whole disc is below the horizon: sun radius plus horizon refraction
         {
             "solar_elevation_deg": c("_true") + F.when(
