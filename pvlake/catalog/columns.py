@@ -123,7 +123,7 @@ def localize_tz(spark, folder):
     minutes = (F.pmod(F.col("l_partkey"), F.lit(96)) * 15).cast("int")
     local = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
     rows = D.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", local.alias("local_ts"))
-    return rows.withColumn("utc_ts", K.to_utc("local_ts", "Australia/Melbourne"))
+    return K.add_utc(rows, "local_ts", "Australia/Melbourne", "utc_ts")
 
 
 SUN_SQL = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLOT_MINUTES = 15
@@ -80,19 +80,34 @@ def slot_label(slot: Column | str) -> Column:
     return F.format_string("%02d:%02d", F.floor(slot / F.lit(4)).cast("int"), (F.pmod(slot, F.lit(4)) * 15).cast("int"))
 
 
-def to_utc(ts: Column | str, zone: str) -> Column:
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns through a one-element ``inline``.
+
+    Optimizer rules that substitute expressions stop at a generator, which still is
+    part of whole-stage code generation: use it for costly columns that are used
+    many times over.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def add_utc(df: DataFrame, ts: str, zone: str, name: str = "utc") -> DataFrame:
     """Local wall clock to UTC wall clock under daylight-saving rules.
 
-    A repeated hour (its UTC image plus one hour reads the same) gives null. A skipped local time moves to
-    the first instant that exists, i.e. the whole hour after the jump.
+    A repeated hour (its UTC image plus one hour reads the same) gives null. A
+    skipped local time moves to the first instant that exists, i.e. the whole hour
+    after the jump. Zone look-ups are costly, so each is made once per row.
     """
-    ts = col(ts)
-    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
-    back = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
-    hour_later = F.convert_timezone(F.lit("UTC"), F.lit(zone), shift(utc, hours=1))
-    skipped = F.convert_timezone(F.lit(zone), F.lit("UTC"), floor_hour(back))
-    return (
-        F.when(hour_later == ts, F.lit(None).cast("timestamp_ntz"))
-        .when(back != ts, skipped)
-        .otherwise(utc)
+    def local(utc: Column) -> Column:
+        return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+
+    def to_utc(t: Column) -> Column:
+        return F.convert_timezone(F.lit(zone), F.lit("UTC"), t)
+
+    first = computed(df, {"_utc": to_utc(F.col(ts))})
+    both = computed(first, {"_back": local(F.col("_utc")), "_hour_later": local(shift("_utc", hours=1))})
+    settled = (
+        F.when(F.col("_hour_later") == F.col(ts), F.lit(None).cast("timestamp_ntz"))
+        .when(F.col("_back") != F.col(ts), to_utc(floor_hour("_back")))
+        .otherwise(F.col("_utc"))
     )
+    return computed(both, {name: settled}).drop("_utc", "_back", "_hour_later")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clock import DAY_US, SLOTS_PER_DAY, col, micros, to_utc
+from .clock import DAY_US, SLOTS_PER_DAY, add_utc, col, computed, micros
 
 DAYLIGHT_ELEVATION_DEG = 0.0
 # fixed values: candidate civil clocks of the fleet
@@ -28,13 +28,13 @@ def add_sun_utc(df: DataFrame, utc: Column | str, latitude: Column | str, longit
 
     The formula is laid out in steps so each intermediate is one column: written
     as a single expression the shared terms would be repeated many times over.
-    Steps are joined by :func:`_computed`, so a later filter on the elevation
+    Steps are joined by :func:`computed`, so a later filter on the elevation
     is not unfolded into the whole formula.
     """
     c = F.col
     before = df.columns
     refraction = pressure_hpa / 1010.0 * 283.0 / (273.0 + temperature_c) * 1.02 / 60.0
-    barriers = {0, 3, 5, 7, 9}
+    barriers = {0, 5, 9}
     steps: list[dict[str, Column]] = [
         {"_us": micros(utc), "_lat": F.radians(col(latitude)), "_lon": col(longitude)},
         {"_t": (c("_us") - F.lit(J2000_US)) / F.lit(float(DAY_US) * 36525.0)},
@@ -92,24 +92,16 @@ def add_sun_utc(df: DataFrame, utc: Column | str, latitude: Column | str, longit
     ]
     out = df.drop(*SUN_COLUMNS)
     for i, step in enumerate(steps):
-        out = _computed(out, step) if i in barriers else out.withColumns(step)
+        out = computed(out, step) if i in barriers else out.withColumns(step)
     kept = [n for n in before if n not in SUN_COLUMNS]
     return out.select(*kept, *SUN_COLUMNS)
 
 
-def _computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns through a one-element ``inline``.
-
-    Optimizer rules that substitute expressions stop at a generator, which still is
-    part of whole-stage code generation.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def add_sun_local(df: DataFrame, ts: str, latitude: Column | str, longitude: Column | str,
                   zone: str = DEFAULT_ZONE) -> DataFrame:
     """As :func:`add_sun_utc` for a civil wall clock; ambiguous times give null."""
-    return add_sun_utc(df, to_utc(ts, zone), latitude, longitude)
+    placed = add_utc(df.drop(*SUN_COLUMNS), ts, zone, "_instant")
+    return add_sun_utc(placed, "_instant", latitude, longitude).drop("_instant")
 
 
 def daylight(elevation: Column | str = "solar_elevation_deg") -> Column:

@@ -34,6 +34,12 @@ def day_length(df: DataFrame, ts: str = "timestamp") -> DataFrame:
         (F.count(F.lit(1)) * SLOT_HOURS).alias("day_length_hours"))
 
 
+def grid_day_length(df: DataFrame, coords: DataFrame, zone: str = DEFAULT_ZONE, ts: str = "timestamp") -> DataFrame:
+    """Day length from the distinct campus times of ``df``: the sun is placed once per campus and slot."""
+    grid = df.select("campus_id", ts).distinct()
+    return day_length(add_solar_position(grid, coords, zone, ts), ts)
+
+
 def join_day_length(df: DataFrame, lengths: DataFrame, ts: str = "timestamp") -> DataFrame:
     return (
         df.withColumn("date", floor_day(ts))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import SLOT_US, micros
-from .timeline import WEEK_US, drop_halo, halo_window, with_halo
+from .timeline import CHUNK, WEEK_US, drop_halo, halo_window, with_halo
 
 # fixed values: look-back steps (15 minutes each), windows in seconds, statistics
 LAG_STEPS = (1, 2, 4, 8, 24, 48, 96)
@@ -33,20 +35,75 @@ def add_time_features(df: DataFrame, *, keys: tuple[str, ...] = ("site_id",), ts
     deviation needs two. Expects unique ``(keys, ts)``.
     """
     lags = {name: s * SLOT_US for name, s in zip(lag_names(lag_steps, value), lag_steps)}
-    spans = {w: w * 1_000_000 for w in rolling_seconds}
-    halo = max([*lags.values(), *spans.values()], default=0)
+    spans = sorted(w * 1_000_000 for w in rolling_seconds)
+    halo = max([*lags.values(), *spans], default=0)
     split = with_halo(df.withColumn("_us", micros(ts)), "_us", max(chunk_us, halo), halo)
     ordered = halo_window(list(keys), "_us")
     columns: dict[str, Column] = {
         name: F.max(value).over(ordered.rangeBetween(-d, -d)) for name, d in lags.items()
     }
-    for w, d in spans.items():
-        frame = ordered.rangeBetween(-d, -1)
-        enough = F.count(value).over(frame) >= min_periods
-        for stat in rolling_stats:
-            result = _STAT[stat](value).over(frame)
-            columns[f"{value}_rolling_{stat}_{w}s"] = result if min_periods <= 1 else F.when(enough, result)
-    return drop_halo(split.withColumns(columns)).drop("_us")
+    if spans:
+        split = _centred(split, list(keys), value)
+        columns |= _ring_sums(ordered, spans, value)
+    out = split.withColumns(columns)
+    if spans:
+        stats = _rolling_columns(rolling_seconds, rolling_stats, spans, value, min_periods)
+        out = out.withColumns(stats).drop("_centre", "_d", "_dd", *_ring_names(spans))
+    return drop_halo(out).drop("_us")
+
+
+def _centred(split: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Readings relative to one reading of their chunk, so sums of squares do not cancel."""
+    centre = F.min(value).over(Window.partitionBy(*keys, CHUNK))
+    near = split.withColumn("_centre", centre).withColumn("_d", F.col(value) - F.col("_centre"))
+    return near.withColumn("_dd", F.col("_d") * F.col("_d"))
+
+
+_RING = {"n": lambda v: F.count(v), "s": lambda v: F.sum("_d"), "q": lambda v: F.sum("_dd"), "lo": lambda v: F.min(v), "hi": lambda v: F.max(v)}
+
+
+def _ring_names(spans: list[int]) -> list[str]:
+    return [f"_{part}_{d}" for d in spans for part in _RING]
+
+
+def _ring_sums(ordered, spans: list[int], value: str) -> dict[str, Column]:
+    """Mergeable aggregates of the disjoint rings [t - W1, t), [t - W2, t - W1), …
+
+    Nested windows share their inner rings, so every reading is visited once per row.
+    """
+    columns: dict[str, Column] = {}
+    inner = 0
+    for d in spans:
+        frame = ordered.rangeBetween(-d, -inner - 1)
+        columns |= {f"_{part}_{d}": make(value).over(frame) for part, make in _RING.items()}
+        inner = d
+    return columns
+
+
+def _rolling_columns(rolling_seconds, stats, spans: list[int], value: str, min_periods: int) -> dict[str, Column]:
+    columns: dict[str, Column] = {}
+    for w in rolling_seconds:
+        rings = [d for d in spans if d <= w * 1_000_000]
+
+        def total(part: str) -> Column:
+            return reduce(lambda a, b: a + b, [F.coalesce(F.col(f"_{part}_{d}"), F.lit(0)) for d in rings])
+
+        def extreme(part: str, pick) -> Column:
+            cells = [F.col(f"_{part}_{d}") for d in rings]
+            return pick(*cells) if len(cells) > 1 else cells[0]
+
+        n, low, high = total("n"), extreme("lo", F.least), extreme("hi", F.greatest)
+        # equal readings have no spread at all; otherwise rounding may leave a tiny negative
+        squares = F.greatest(total("q") - total("s") * total("s") / n, F.lit(0.0))
+        results = {
+            "mean": F.col("_centre") + total("s") / n,
+            "std": F.when(n > 1, F.when(low == high, F.lit(0.0)).otherwise(F.sqrt(squares / (n - 1)))),
+            "min": low,
+            "max": high,
+        }
+        for stat in stats:
+            columns[f"{value}_rolling_{stat}_{w}s"] = F.when(n >= max(1, min_periods), results[stat])
+    return columns
 
 
 def add_lags(df: DataFrame, steps=LAG_STEPS, **options) -> DataFrame:

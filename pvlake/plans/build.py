@@ -43,8 +43,8 @@ def build_features(processed: DataFrame, coords: DataFrame | None = None, zone:
     out = add_time_features(processed, **options)
     out = add_wind(add_calendar(out))
     if coords is not None:
-        out = sun.add_solar_position(out, coords, zone)
-        out = sun.join_day_length(out, sun.day_length(out))
+        lengths = sun.grid_day_length(processed, coords, zone)
+        out = sun.join_day_length(sun.add_solar_position(out, coords, zone), lengths)
     return out
 
 

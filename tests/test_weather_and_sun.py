@@ -78,7 +78,7 @@ def test_day_length_by_season_and_bounded_azimuth(spark):
 def test_repeated_hour_is_null_and_skipped_hour_moves_forward(spark):
     def utc(*times):
         df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
-        return [r["u"] for r in df.select(K.to_utc("t", "Australia/Melbourne").alias("u")).collect()]
+        return [r["u"] for r in K.add_utc(df, "t", "Australia/Melbourne", "u").collect()]
 
     assert utc(dt.datetime(2021, 4, 4, 2, 30)) == [None]
     assert utc(dt.datetime(2021, 4, 4, 1, 30)) == [dt.datetime(2021, 4, 3, 14, 30)]
