@@ -93,21 +93,18 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def add_utc(df: DataFrame, ts: str, zone: str, name: str = "utc") -> DataFrame:
     """Local wall clock to UTC wall clock under daylight-saving rules.
 
-    A repeated hour (its UTC image plus one hour reads the same) gives null. A
-    skipped local time moves to the first instant that exists, i.e. the whole hour
-    after the jump. Zone look-ups are costly, so each is made once per row.
+    A repeated hour gives null; a skipped local time moves to the first instant that
+    exists, i.e. the whole hour after the jump. Both show in the distance to the
+    image of the time one hour later: two hours at a repeat (the earlier reading is
+    taken first), none at a jump. Zone look-ups are costly, so there are just two.
     """
-    def local(utc: Column) -> Column:
-        return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
-
     def to_utc(t: Column) -> Column:
         return F.convert_timezone(F.lit(zone), F.lit("UTC"), t)
 
-    first = computed(df, {"_utc": to_utc(F.col(ts))})
-    both = computed(first, {"_back": local(F.col("_utc")), "_hour_later": local(shift("_utc", hours=1))})
+    images = computed(df, {"_utc": to_utc(F.col(ts)), "_hour_later": to_utc(shift(ts, hours=1))})
     settled = (
-        F.when(F.col("_hour_later") == F.col(ts), F.lit(None).cast("timestamp_ntz"))
-        .when(F.col("_back") != F.col(ts), to_utc(floor_hour("_back")))
+        F.when(F.col("_hour_later") > shift("_utc", hours=1), F.lit(None).cast("timestamp_ntz"))
+        .when(F.col("_hour_later") < shift("_utc", hours=1), to_utc(shift(floor_hour(ts), hours=1)))
         .otherwise(F.col("_utc"))
     )
-    return computed(both, {name: settled}).drop("_utc", "_back", "_hour_later")
+    return computed(images, {name: settled}).drop("_utc", "_hour_later")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import SLOT_US, micros
-from .timeline import CHUNK, WEEK_US, drop_halo, halo_window, with_halo
+from .timeline import WEEK_US, drop_halo, halo_window, with_halo
 
 # fixed values: look-back steps (15 minutes each), windows in seconds, statistics
 LAG_STEPS = (1, 2, 4, 8, 24, 48, 96)
@@ -54,7 +54,9 @@ def add_time_features(df: DataFrame, *, keys: tuple[str, ...] = ("site_id",), ts
 
 def _centred(split: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Readings relative to one reading of their chunk, so sums of squares do not cancel."""
-    centre = F.min(value).over(Window.partitionBy(*keys, CHUNK))
+    # ordered like the rings, so both windows use one sort
+    whole = halo_window(keys, "_us").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    centre = F.min(value).over(whole)
     near = split.withColumn("_centre", centre).withColumn("_d", F.col(value) - F.col("_centre"))
     return near.withColumn("_dd", F.col("_d") * F.col("_d"))
 

@@ -11,6 +11,7 @@ from ..functions.solar import DEFAULT_ZONE
 from ..operators import cleaning, sun
 from ..operators.time_features import add_time_features
 from ..operators.weather import interpolate_short_gaps, join_weather
+from ..session import broadcast_if_small, cut_lineage
 from ..sources.writers import add_partition_columns
 
 
@@ -38,14 +39,17 @@ def build_processed(generation: DataFrame, weather: DataFrame, sites: DataFrame,
 def build_features(processed: DataFrame, coords: DataFrame | None = None, zone: str = DEFAULT_ZONE, **options) -> DataFrame:
     """Every engineered column; the lag and rolling columns share one shuffle on (site, time chunk).
 
-    Without coordinates the solar columns are left as they are in the input.
+    Without coordinates the solar columns are left as they are in the input. With them,
+    the two look-up tables (places, day lengths) are written to the checkpoint folder
+    and broadcast if their counted size allows; larger ones are joined by shuffle.
     """
-    out = add_time_features(processed, **options)
-    out = add_wind(add_calendar(out))
+    out = processed
     if coords is not None:
-        lengths = sun.grid_day_length(processed, coords, zone)
+        coords = broadcast_if_small(cut_lineage(coords))
+        lengths = broadcast_if_small(cut_lineage(sun.grid_day_length(processed, coords, zone)))
         out = sun.join_day_length(sun.add_solar_position(out, coords, zone), lengths)
-    return out
+    # joins come first, on narrow rows: after the windows the wide rows are never shuffled again
+    return add_wind(add_calendar(add_time_features(out, **options)))
 
 
 def feature_missing(features: DataFrame, columns: list[str]) -> DataFrame:

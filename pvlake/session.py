@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
 
 
 def build_session(app_name: str = "pvlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,3 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read on from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting (never past ``max_rows``); otherwise leave the join to the planner.
+
+    Worth a job where the other side is a fact table: without a known size the
+    planner shuffles both sides before it can learn that one of them is tiny.
+    """
+    rows = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df

@@ -13,16 +13,18 @@ def add_partition_columns(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, keys: tuple[str, ...] = PARTITION_KEYS,
-                      order: tuple[str, ...] = ("site_id", "timestamp")) -> None:
-    """Partitioned Parquet with one file per partition directory.
+                      order: tuple[str, ...] = ("site_id", "timestamp"), clustered: bool = False) -> None:
+    """Partitioned Parquet, sorted by site and time.
 
-    Rows are shuffled by the directory keys: month is among them, so a large site
-    is spread over as many tasks as it has months.
+    Rows are shuffled by the directory keys, one file per directory: month is among
+    them, so a large site is spread over as many tasks as it has months. A
+    ``clustered`` table, such as features fresh from windows over (site, chunk of
+    weeks), is written as it lies: two or three files per directory, no shuffle.
     """
     ready = df if all(k in df.columns for k in keys) else add_partition_columns(df)
+    placed = ready if clustered else ready.repartition(*keys)
     (
-        ready.repartition(*keys)
-        .sortWithinPartitions(*dict.fromkeys([*keys, *order]))
+        placed.sortWithinPartitions(*dict.fromkeys([*keys, *order]))
         .write.mode("overwrite").partitionBy(*keys).parquet(path)
     )
 

@@ -27,7 +27,8 @@ SITES, SLOTS = 42, 65_047
 def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("reference-scale", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": str(4 * int(cpus)), "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": str(4 * int(cpus)),
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     root = tempfile.mkdtemp(prefix="pvlake-scale-")
     slot = F.floor(F.col("id") / SITES).cast("long")
@@ -48,7 +49,7 @@ def main() -> None:
         if len(sys.argv) > 1 and sys.argv[1] == "noop":
             features.write.format("noop").mode("overwrite").save()
         else:
-            write_partitioned(features, f"{root}/features")
+            write_partitioned(features, f"{root}/features", clustered=True)
         print(f"run {attempt}: {time.perf_counter() - start:.1f} s for {SITES * SLOTS:,} rows x {len(features.columns)} columns")
     if len(sys.argv) > 2:
         features.explain("formatted")
