@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import baselines, conformal, metrics, splits
 from ..operators.time_features import add_lags
+from ..session import cut_lineage
 
 EVALUATED = ("val", "test")
 
@@ -46,7 +47,11 @@ def with_regime(df: DataFrame) -> DataFrame:
 
 
 def conformal_intervals(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Calibrate on val, attach intervals to test: every method and level, long."""
+    """Calibrate on val, attach intervals to test: every method and level, long.
+
+    The calibration is a handful of rows and kept as a written table, so the plans
+    that read the intervals do not carry its derivation along.
+    """
     by = by or ["model"]
-    radii = conformal.fit(scored.where(F.col("split") == "val"), by)
+    radii = cut_lineage(conformal.fit(scored.where(F.col("split") == "val"), by))
     return conformal.apply_radii(scored.where(F.col("split") == "test"), radii, by)

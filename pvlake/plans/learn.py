@@ -86,7 +86,9 @@ def train_gbt(df: DataFrame, *, max_iter: int = 50, max_depth: int = 5, step: fl
     """
     columns = feature_columns(df.columns)
     rows = df.where(F.col(TARGET).isNotNull() & F.col("split").isin("train", "val"))
-    rows = rows.withColumn("_validation", F.col("split") == "val")
+    # every boosting round and the indexer read these rows again
+    rows = rows.withColumn("_validation", F.col("split") == "val").select(
+        TARGET, "site_id", "_validation", *[c for c in columns["numeric"]]).persist()
     counts = rows.agg(F.count_if(~F.col("_validation")).alias("t"), F.count_if("_validation").alias("v"),
                       F.approx_count_distinct("site_id", 0.02).alias("s")).first()
     if counts["s"] > max_categories // 2:
@@ -106,6 +108,7 @@ def train_gbt(df: DataFrame, *, max_iter: int = 50, max_depth: int = 5, step: fl
     if not counts["v"]:
         stages[-1].clear(stages[-1].validationIndicatorCol)
     model = Pipeline(stages=stages).fit(prepare_matrix(rows, columns))
+    rows.unpersist()
     info = {"best_iteration": model.stages[-1].getNumTrees, "n_train_rows": counts["t"], "n_val_rows": counts["v"]}
     return GbtForecaster(model, columns, info)
 
