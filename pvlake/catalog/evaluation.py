@@ -210,8 +210,7 @@ CTES["coverage"] = ("tagged", """
 
 
 def conformal_scored(spark, folder):
-    df = evaluate.with_regime(timed_rows(spark, folder))
-    scored = baselines.predict_all(df)
+    scored = evaluate.regime_predictions(timed_rows(spark, folder))
     return scored.where(F.col("model").isin("persistence_24h", "mean_site"))
 
 

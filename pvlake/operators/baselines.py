@@ -44,18 +44,20 @@ def persistence_lookup(df: DataFrame, history: DataFrame, name: str = "predictio
     return lag_by_join(df, history, DAY_US, name)
 
 
-def predict_all(df: DataFrame) -> DataFrame:
+def predict_all(df: DataFrame, persistence: str | None = None) -> DataFrame:
     """Long predictions of the four baselines for every row of a split table.
 
     Persistence looks back over the full series, so it is computed before any
-    split is selected; the rest are constants per row.
+    split is selected; a caller that has the 24 h lag already names its column. The
+    rest are constants per row.
     """
     train = df.where(F.col("split") == "train")
-    wide = predict_site_mean(predict_persistence(df, "_p24"), train, "_psite").withColumn("_pall", global_mean(train))
+    lagged = df.withColumnRenamed(persistence, "_p24") if persistence else predict_persistence(df, "_p24")
+    wide = predict_site_mean(lagged, train, "_psite").withColumn("_pall", global_mean(train))
     entries = F.array(
         F.struct(F.lit("zero").alias("model"), zero().alias("prediction")),
         F.struct(F.lit("mean_global").alias("model"), F.col("_pall").alias("prediction")),
         F.struct(F.lit("mean_site").alias("model"), F.col("_psite").alias("prediction")),
         F.struct(F.lit("persistence_24h").alias("model"), F.col("_p24").alias("prediction")),
     )
-    return wide.select(*df.columns, F.inline(entries))
+    return wide.select(*[c for c in df.columns if c != persistence], F.inline(entries))

@@ -46,6 +46,12 @@ def with_regime(df: DataFrame) -> DataFrame:
     return add_lags(df, (1,)).withColumn("regime", conformal.regime()).drop("power_lag_1")
 
 
+def regime_predictions(timed: DataFrame) -> DataFrame:
+    """Baseline predictions with the row's regime; both lags they need come from one shuffle."""
+    lagged = add_lags(timed, (1, baselines.DAY_STEPS)).withColumn("regime", conformal.regime()).drop("power_lag_1")
+    return baselines.predict_all(lagged, persistence=f"power_lag_{baselines.DAY_STEPS}")
+
+
 def conformal_intervals(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Calibrate on val, attach intervals to test: every method and level, long.
 
