@@ -9,7 +9,6 @@ from ..functions import calendar as C
 from ..functions import clock as K
 from ..functions.stats import signed_error
 from ..operators import baselines, cleaning, conformal, explain, explore, reshape, sequences, splits, sun
-from ..operators import metrics as M
 from ..operators.time_features import lag_by_join
 from ..operators.weather import join_weather
 from ..plans import evaluate, learn

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import baselines, explore, splits
+from ..operators import explore, splits
 from ..operators.topk import top_per_group
 from ..plans import evaluate
 from ..sources import driver_tables as D

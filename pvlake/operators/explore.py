@@ -121,10 +121,10 @@ def power_describe(df: DataFrame) -> DataFrame:
     """Median, mean, p99, maximum and share below 1 of observed daylight power."""
     day = day_observed(df)
     q = exact_quantiles(day, [], "power", {"median_power": 0.5, "p99_power": 0.99})
-    facts = day.agg(F.avg("power").alias("mean_power"), F.max("power").alias("max_power"),
+    facts = day.agg(F.count(F.lit(1)).alias("n"), F.avg("power").alias("mean_power"), F.max("power").alias("max_power"),
                     F.avg((F.col("power") < 1).cast("double")).alias("share_below_1"))
-    one = F.lit(1).alias("_k")
-    return q.select("*", one).join(facts.select("*", one), "_k").drop("_k")
+    median, p99 = (q.select(c).scalar() for c in ("median_power", "p99_power"))
+    return facts.withColumns({"median_power": median, "p99_power": p99})
 
 
 def twilight_share(df: DataFrame, ts: str = "timestamp") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.clock import DAY_US, SLOT_US, floor_day, from_micros, micros, month_key
+from ..functions.clock import DAY_US, SLOT_US, from_micros, micros, month_key
 from ..functions.stats import histogram_bin, pct_missing
 from .quantiles import exact_quantiles
 

@@ -16,7 +16,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from pvlake.functions.clock import from_micros  # noqa: E402
-from pvlake.operators import sun  # noqa: E402
 from pvlake.plans import build  # noqa: E402
 from pvlake.session import build_session  # noqa: E402
 from pvlake.sources.writers import write_partitioned  # noqa: E402
