@@ -54,6 +54,12 @@ def tree_score(model: GBTClassificationModel, features: list[Column]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))
 
 
+def row_score(model: GBTClassificationModel, features: list[str]) -> Column:
+    """:func:`tree_score` of a row's columns, evaluated as an array function: hundreds of nested branches exceed what one generated method may hold."""
+    row = F.struct(*[F.col(f).alias(f) for f in features])
+    return F.transform(F.array(row), lambda r: tree_score(model, [r[f] for f in features]))[0]
+
+
 def calibrated_threshold(scored: DataFrame, score: str, precision: float, bins: int = 1000) -> float:
     """The smallest score bin at and above which held-out rows (``label``) keep ``precision``; above 1 if none does.
 
