@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, urls
-from .text import digest
+from . import chat, lines, secrets, urls
+from .text import digest, span_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def count_kind(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 PLANTED_CHAT = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 CHAT_SQL = r"""
     WITH t AS (
@@ -81,3 +85,19 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     return urls.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+BASE_SECRETS = ("assign", "access", "hex")
+
+
+@query("op3_secret_scans")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.scan_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_SECRETS))
+    return found.select(
+        "doc_id", *[count_kind(k) for k in BASE_SECRETS],
+        digest(span_list(base)).alias("base_sha256"), span_list(F.col("spans")).alias("spans"),
+        count_kind(secrets.TOKEN))
