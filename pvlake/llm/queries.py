@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, secrets, urls
+from . import chat, lines, packing, secrets, urls
 from .text import digest, span_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *[count_kind(k) for k in BASE_SECRETS],
         digest(span_list(base)).alias("base_sha256"), span_list(F.col("spans")).alias("spans"),
         count_kind(secrets.TOKEN))
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
