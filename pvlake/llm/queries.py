@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, packing, secrets, simhash, urls
+from ..session import cut_lineage
+from . import chat, lines, packing, quality, secrets, simhash, urls
 from .text import digest, span_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,14 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+GROUPS = ["lang", "source"]
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    measured = cut_lineage(quality.measure(docs).drop("text"))  # numbers only: the costly pass runs once
+    judged = quality.judge(measured, quality.fit(measured, GROUPS), GROUPS)
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
