@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import chat, lines, packing, quality, secrets, simhash, urls
+from . import chat, decontaminate, lines, packing, quality, secrets, simhash, urls
 from .text import digest, span_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     measured = cut_lineage(quality.measure(docs).drop("text"))  # numbers only: the costly pass runs once
     judged = quality.judge(measured, quality.fit(measured, GROUPS), GROUPS)
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item; the others have no row."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    leaks = decontaminate.find_leaks(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+    return leaks.select(F.col("doc").alias("doc_id"), "item_id", "similarity", "start_word", "n_words")
