@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import chat, decontaminate, lines, packing, quality, secrets, simhash, urls
+from . import chat, decontaminate, lines, packing, pii, quality, secrets, simhash, urls
 from .text import digest, span_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,8 +29,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def count_kind(kind: str) -> Column:
-    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return F.size(F.filter("spans", of_kind(kind))).cast("long").alias(f"n_{kind}")
 
 
 PLANTED_CHAT = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -136,3 +140,14 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     leaks = decontaminate.find_leaks(docs, table(spark, folder, "benchmark").select("item_id", "text"))
     return leaks.select(F.col("doc").alias("doc_id"), "item_id", "similarity", "start_word", "n_words")
+
+
+@query("op1_pii")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    prepared = cut_lineage(pii.candidates(docs).select("doc_id", "base", "_llm_candidates"))  # spans only: the costly pass runs once
+    found = pii.select_spans(prepared, *pii.train(prepared))
+    return found.select(
+        "doc_id", *[F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        digest(span_list(F.col("base"))).alias("base_sha256"), span_list(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"))

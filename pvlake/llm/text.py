@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ BLANK = " \t\n\x0b\x0c\r"  # the characters \x20 and \x09-\x0D
 BLANKS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 256
+CONTEXT = 32
 
-__all__ = ["BLANK", "BLANKS", "ascii_lower", "computed", "digest", "find_spans", "running_totals", "span_list", "text_of", "words", "without"]
+__all__ = ["BLANK", "BLANKS", "ascii_lower", "computed", "digest", "find_spans", "running", "span_list", "text_of", "words", "without"]
 
 
 def text_of(column: str = "text") -> Column:
@@ -40,42 +43,44 @@ def digest(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
-def running_totals(lengths: Column) -> Column:
-    """Exclusive prefix sums of an int array.
+def running(values: Column, zero: int, step: Callable[[Column, Column], Column]) -> Column:
+    """Exclusive prefix results of an associative ``step`` over an array of longs.
 
-    Appending to an array copies it, so sums run inside blocks and then over blocks:
+    Appending to an array copies it, so steps run inside blocks and then over blocks:
     near-linear for any length that fits a cell.
     """
-    def sums(block: Column) -> Column:
+    start = F.lit(zero).cast("bigint")
+
+    def scan(block: Column) -> Column:
         return F.aggregate(
-            block, F.struct(F.array().cast("array<bigint>").alias("before"), F.lit(0).cast("bigint").alias("total")),
-            lambda acc, n: F.struct(F.concat(acc["before"], F.array(acc["total"])).alias("before"), (acc["total"] + n).alias("total")))
+            block, F.struct(F.array().cast("array<bigint>").alias("before"), start.alias("total")),
+            lambda acc, n: F.struct(F.concat(acc["before"], F.array(acc["total"])).alias("before"), step(acc["total"], n.cast("bigint")).alias("total")))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / F.lit(float(BLOCK))).cast("int") - 1),
-                         lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
-    summed = F.transform(blocks, sums)
-    starts = F.transform(F.array(summed), lambda s: F.struct(s.alias("s"), sums(F.transform(s, lambda x: x["total"]))["before"].alias("at")))[0]
-    whole = F.transform(F.array(starts), lambda x: F.flatten(F.zip_with(x["s"], x["at"], lambda s, at: F.transform(s["before"], lambda v: v + at))))[0]
-    return F.when(F.size(lengths) == 0, F.array().cast("array<bigint>")).otherwise(whole)
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / F.lit(float(BLOCK))).cast("int") - 1),
+                         lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+    both = F.transform(F.array(F.transform(blocks, scan)), lambda s: F.struct(s.alias("s"), scan(F.transform(s, lambda x: x["total"]))["before"].alias("at")))
+    whole = F.transform(both, lambda x: F.flatten(F.zip_with(x["s"], x["at"], lambda s, at: F.transform(s["before"], lambda v: step(at, v)))))[0]
+    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(whole)
 
 
 def find_spans(df: DataFrame, columns: dict[str, str], text: str) -> DataFrame:
-    """Leftmost non-overlapping matches as arrays of (start, end, value), offsets in code points, end exclusive.
+    """Leftmost non-overlapping matches as arrays of (start, end, value, before), offsets in code points, end exclusive;
+    ``before`` are the last characters between it and the match before.
 
     ``columns`` maps a new column to a Java pattern that never matches the empty string.
     The pieces between the matches carry the offsets: split and extract walk the text alike.
     """
     def placed(found: Column) -> Column:
         """``found``: struct of the pieces between matches and the matches."""
-        pairs = F.transform(F.array(found), lambda f: F.struct(
-            f["hits"].alias("hits"),
-            F.flatten(F.zip_with(f["gaps"], f["hits"], lambda g, h: F.array(F.char_length(g), F.coalesce(F.char_length(h), F.lit(0))))).alias("lengths")))[0]
-        at = F.transform(F.array(pairs), lambda p: F.struct(p["hits"].alias("hits"), running_totals(p["lengths"]).alias("at")))[0]
-        return F.transform(F.array(at), lambda a: F.transform(a["hits"], lambda h, i: F.struct(
-            a["at"][i * 2 + 1].alias("start"), (a["at"][i * 2 + 1] + F.char_length(h)).alias("end"), h.alias("value"))))[0]
+        sizes = F.transform(F.array(found), lambda f: F.struct(f["hits"].alias("hits"), f["gaps"].alias("gaps"), F.flatten(F.zip_with(
+            f["gaps"], f["hits"], lambda g, h: F.array(F.char_length(g), F.coalesce(F.char_length(h), F.lit(0))))).alias("lengths")))
+        at = F.transform(sizes, lambda p: F.struct(p["hits"].alias("hits"), p["gaps"].alias("gaps"), running(p["lengths"], 0, lambda a, n: a + n).alias("at")))
+        return F.transform(at, lambda a: F.transform(a["hits"], lambda h, i: F.struct(
+            a["at"][i * 2 + 1].alias("start"), (a["at"][i * 2 + 1] + F.char_length(h)).alias("end"), h.alias("value"),
+            F.substring(a["gaps"][i], -CONTEXT, CONTEXT).alias("before"))))[0]
 
     t = F.col(text)
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>")
     hits = computed(df, {f"_llm_{n}_hits": F.regexp_extract_all(t, F.lit(p), F.lit(0)) for n, p in columns.items()})
     found = hits.select("*", *[
         F.when(F.size(f"_llm_{n}_hits") > 0, F.struct(F.split(t, p, -1).alias("gaps"), F.col(f"_llm_{n}_hits").alias("hits"))).alias(f"_llm_{n}_found")
