@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import chat, decontaminate, lines, packing, pii, quality, secrets, simhash, urls
+from . import chat, decontaminate, lines, packing, pii, quality, secrets, simhash, substrings, urls
 from .text import digest, span_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *[F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE],
         digest(span_list(F.col("base"))).alias("base_sha256"), span_list(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
+@query("op5_suffix_array_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
