@@ -60,11 +60,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
 
     ``_llm_row`` is a hash of the text, so that rows which repeat an id are told apart.
 
-    Windows as long as an item, in words, are looked at where the document shares a five-word shingle with an item
-    of that length, aligned on it: a window without any cannot reach the similarity. Each window's SimHash is looked up in a multi-index: 64 bits in
-    eight blocks, items filed under all values of each block within two bits of theirs, which finds
-    every item fingerprint within 20 bits. What is that close and as long is verified: weighted Jaccard similarity
-    of the five-word shingles, repeats counted, of ``similarity`` or more. The best window is returned.
+    Windows are as long as an item, in words (shorter at the document's end). They are placed where a run
+    of five-word shingles shared with an item of that length starts: once so that the shared words stand where
+    they stand in the item, and once from the run on. A window without a shared shingle cannot reach the
+    similarity, so nothing is lost by not placing any elsewhere. Each window's SimHash is looked up in a
+    multi-index: 64 bits in eight blocks, items filed under all values of each block within two bits of
+    theirs, which finds every item fingerprint within 20 bits. What is that close and as long is verified:
+    weighted Jaccard similarity of the five-word shingles, repeats counted, of ``similarity`` or more. The
+    best window is returned.
 
     Documents are read once and only windows leave the scan, so a passage in a third of all documents
     is a row in each. The benchmark side is broadcast only after counting its rows.
@@ -92,8 +95,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
             broadcast_if_small(seeds), "_llm_seed")
         before = F.when(F.col("_llm_pos") > 0, F.get("_llm_w", F.greatest(F.col("_llm_pos") - 1, F.lit(0))))
         starts = hits.where(F.coalesce(before != F.col("_llm_before"), F.lit(True)))  # else the shingle before is shared too
-        start = F.greatest(F.col("_llm_pos") - F.col("_llm_at"), F.lit(0))
-        return starts.select("doc", "_llm_row", start.alias("start_word"), "_llm_len", F.slice("_llm_w", start + 1, F.col("_llm_len")).alias("_llm_window"))
+        aligned = F.greatest(F.col("_llm_pos") - F.col("_llm_at"), F.lit(0))
+        ways = starts.select("doc", "_llm_row", "_llm_w", "_llm_len", F.explode(F.array_distinct(F.array(aligned, F.col("_llm_pos")))).alias("start_word"))
+        return ways.select("doc", "_llm_row", "start_word", "_llm_len", F.slice("_llm_w", F.col("start_word") + 1, F.col("_llm_len")).alias("_llm_window"))
 
     windows = seeded(widths[0]) if widths else read.select("doc", "_llm_row", F.lit(0).alias("start_word"), F.lit(0).alias("_llm_len"), F.col("_llm_w").alias("_llm_window")).limit(0)
     for width in widths[1:]:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+MIN_LEAF = 10  # so that no branch is made for a few rows with wrong labels
+
 
 def bounded_sample(labelled: DataFrame, key: Column, limit: int) -> DataFrame:
     """At most ``limit`` rows of each label, chosen by a hash of ``key``: the same rows at any partitioning, written once.
@@ -27,7 +29,8 @@ def fit_trees(sample: DataFrame, features: list[str], trees: int = 20, depth: in
     if sample.select("label").distinct().count() < 2:
         return None
     vectors = VectorAssembler(inputCols=features, outputCol="_llm_features").transform(sample.coalesce(4))
-    return GBTClassifier(featuresCol="_llm_features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed).fit(vectors)
+    return GBTClassifier(featuresCol="_llm_features", labelCol="label", maxIter=trees, maxDepth=depth, minInstancesPerNode=MIN_LEAF,
+                         stepSize=0.2, seed=seed).fit(vectors)
 
 
 def _tree_columns(text: str, features: list[Column]) -> list[Column]:
