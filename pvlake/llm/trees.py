@@ -64,15 +64,17 @@ def row_score(model: GBTClassificationModel, features: list[str]) -> Column:
 
 
 def calibrated_threshold(scored: DataFrame, score: str, precision: float, bins: int = 1000) -> float:
-    """The smallest score bin at and above which held-out rows (``label``) keep ``precision``; above 1 if none does.
+    """The lowest score, 0.5 at least, at and above which held-out rows (``label``) keep ``precision``; above 1 if none does.
 
+    Where no held-out score lies between one that keeps it and one that doesn't, their middle counts.
     A histogram of ``bins`` rows is all that reaches the driver.
     """
     counts = {r["b"]: (r["n"], r["good"]) for r in scored.groupBy(F.floor(F.col(score) * bins).cast("int").alias("b")).agg(
         F.count("*").alias("n"), F.sum("label").alias("good")).collect()}
+    observed = sorted(counts, reverse=True)
     best, n, good = 2.0, 0, 0.0
-    for b in sorted(counts, reverse=True):
+    for b, lower in zip(observed, [*observed[1:], 0]):
         n, good = n + counts[b][0], good + counts[b][1]
         if good >= precision * n:
-            best = b / bins
+            best = max(0.5, (b + lower) / 2 / bins)
     return best
