@@ -211,7 +211,7 @@ def month_key(spark, folder):
 def select_feature_columns(spark, folder):
     rows = D.events(spark, folder).select("site_id", F.hour("ts").alias("hour"), F.minute("ts").alias("minute"),
                                           F.dayofmonth("ts").alias("day"), F.month("ts").alias("month"), F.col("value").alias("power"))
-    chosen = learn.feature_columns(rows.columns)
+    chosen = learn.feature_columns(rows)
     names = [(c, kind) for kind, columns in chosen.items() for c in columns]
     wide = rows.agg(*[F.count(c).alias(c) for c, _ in names])
     return wide.select(F.inline(F.array(*[
@@ -224,7 +224,7 @@ def select_feature_columns(spark, folder):
        "x_temperature x_temperature__missing x_humidity x_humidity__missing")
 def prepare_matrix(spark, folder):
     rows = D.panel(spark, folder).select("site_id", "timestamp", "temperature", "humidity")
-    return learn.prepare_matrix(rows, learn.feature_columns(rows.columns)).drop("site_id", "temperature", "humidity")
+    return learn.prepare_matrix(rows, learn.feature_columns(rows)).drop("site_id", "temperature", "humidity")
 
 
 CHANNELS = ("power", "power_observed", "temperature", "humidity", "wind_speed", "solar_elevation_deg")
@@ -472,10 +472,10 @@ def union_all(spark, folder):
     return both.select("campus_id", "timestamp", F.col("site_id").isNotNull().alias("from_site"), "power", "temperature")
 
 
-@query("drop_exact_duplicates", "", "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem", "l_quantity l_discount")
+@query("drop_exact_duplicates", "", "SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem",
+       "l_quantity l_extendedprice l_discount l_tax")
 def drop_exact_duplicates(spark, folder):
-    return cleaning.drop_exact_duplicates(
-        D.table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount"))
+    return cleaning.drop_exact_duplicates(D.table(spark, folder, "lineitem"))
 
 
 @query("set_difference", "gen sites", "SELECT site_id FROM sites EXCEPT SELECT site_id FROM gen")

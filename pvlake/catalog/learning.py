@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import conformal, explain, sequences, splits
 from ..operators import metrics as M
+from ..operators.sun import campus_coordinates
 from ..plans import build, evaluate, forecast, learn
+from ..session import cut_lineage
 from ..sources import driver_tables as D
 from .columns import site_text
-from .evaluation import conformal_scored
 from .registry import CTES, query
 from .scans import SCENARIOS
 
@@ -18,6 +19,9 @@ def features(spark, folder):
     return splits.chronological_split(build.build_features(D.panel(spark, folder)))
 
 
+ZONE = "Etc/GMT-10"
+
+
 def small_gbt(df):
     return learn.train_gbt(df, max_iter=10, max_depth=3)
 
@@ -132,7 +136,7 @@ def topk_with_remainder(spark, folder):
 @query("top_pos_neg", "contribtable", """
     SELECT site_id, timestamp, direction, place, feature, contribution FROM (
         SELECT *, row_number() OVER (PARTITION BY site_id, timestamp, direction ORDER BY round(abs(contribution), 9) DESC, feature) AS place
-        FROM contribtable WHERE feature NOT LIKE '<remaining%') WHERE place <= 3""", "contribution")
+        FROM contribtable WHERE feature NOT LIKE '<remaining%' AND contribution <> 0) WHERE place <= 3""", "contribution")
 def top_pos_neg(spark, folder):
     return explain.strongest(explain.contribution_table(known_contributions(spark, folder), KEYS, 3), KEYS)
 
@@ -163,7 +167,7 @@ def explain_scenarios(spark, folder):
 @query("forecast_recursive", "gen", """
     SELECT site_id, step, last_ts + to_minutes(step * 15) AS timestamp, pow(0.5::DOUBLE, step) * (c0 + sum(pow(2.0::DOUBLE, step - 1) * h) OVER (PARTITION BY site_id ORDER BY step)) AS prediction
     FROM (SELECT l.site_id, s.step, l.t AS last_ts, coalesce(last.power, 0) AS c0, coalesce(h.power, 0) AS h
-          FROM (SELECT site_id, max(timestamp) AS t FROM gen GROUP BY 1) l CROSS JOIN (SELECT unnest(generate_series(1, 12)) AS step) s
+          FROM (SELECT site_id, max(timestamp) AS t FROM gen GROUP BY 1) l CROSS JOIN (SELECT unnest(generate_series(1, 96)) AS step) s
           LEFT JOIN gen last ON last.site_id = l.site_id AND last.timestamp = l.t
           LEFT JOIN gen h ON h.site_id = l.site_id AND h.timestamp = l.t + to_minutes(s.step * 15) - INTERVAL 24 HOUR)""", "prediction")
 def forecast_recursive(spark, folder):
@@ -172,14 +176,16 @@ def forecast_recursive(spark, folder):
         zero = F.lit(0.0)
         return rows.withColumn("prediction", F.coalesce("power_lag_1", zero) * 0.5 + F.coalesce("power_lag_96", zero) * 0.5)
 
-    return forecast.forecast_recursive(D.panel(spark, folder), predict, 12).select("site_id", "step", "timestamp", "prediction")
+    return forecast.forecast_recursive(D.panel(spark, folder), predict, forecast.MAX_HORIZON).select("site_id", "step", "timestamp", "prediction")
 
 
 @query("forecast_batch")
 def forecast_batch(spark, folder):
-    """Boosted trees, all sites at once, with calibrated bounds."""
-    df = features(spark, folder).drop("solar_elevation_deg")
+    """Boosted trees, all sites at once, with real sun positions and bounds calibrated on the trees' own val residuals."""
+    coords = cut_lineage(campus_coordinates(D.site_details(spark, folder)))
+    panel = D.panel(spark, folder).drop("solar_elevation_deg", "is_daylight")
+    df = splits.chronological_split(build.build_features(panel, coords, ZONE))
     model = small_gbt(df)
-    radii = conformal.fit(conformal_scored(spark, folder).where(
-        (F.col("split") == "val") & (F.col("model") == "persistence_24h")), ["model"]).drop("model")
-    return forecast.forecast_recursive(D.panel(spark, folder), model.predict, 4, radii=radii)
+    scored = model.predict(df.where(F.col("split") == "val")).withColumn("regime", conformal.regime())
+    radii = conformal.fit(scored, [])
+    return forecast.forecast_recursive(panel, model.predict, forecast.MAX_HORIZON, coords=coords, zone=ZONE, radii=radii)

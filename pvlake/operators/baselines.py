@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import DAY_US, SLOT_US
+from .joins import join_small
 from .time_features import add_lags, lag_by_join
 
 DAY_STEPS = DAY_US // SLOT_US
@@ -28,7 +29,7 @@ def site_means(train: DataFrame) -> DataFrame:
 def predict_site_mean(df: DataFrame, train: DataFrame, name: str = "prediction") -> DataFrame:
     """The site's training mean, the global one for sites without training rows."""
     return (
-        df.join(site_means(train), "site_id", "left")
+        join_small(df, site_means(train), ["site_id"], "left")
         .withColumn(name, F.coalesce("site_mean", global_mean(train)))
         .drop("site_mean")
     )

@@ -12,6 +12,7 @@ from ..functions.clock import micros
 from ..functions.stats import pct_missing
 from .cleaning import parsed_timestamp
 from .quantiles import exact_quantiles
+from .reshape import union_all
 from .timeline import WEEK_US, add_previous
 
 # fixed values: name patterns of column roles and units
@@ -107,33 +108,21 @@ def quick_profile(df: DataFrame, ts: str = "timestamp", group: str = "site_id")
     ).drop("_cadence")
 
 
-def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
-    return df.select(F.inline(entries))
-
-
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Exact distinct non-null values per column, one row per column."""
     columns = columns or df.columns
-    values = _long_values(df, columns).where(F.col("value").isNotNull()).distinct()
-    found = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique"))
-    return found
+    # a column at a time: each scan reads one column, and its values are combined before the shuffle
+    return union_all(*[df.select(F.col(c).alias("v")).where(F.col("v").isNotNull()).distinct().agg(F.count("v").alias("n_unique")).select(
+        F.lit(c).alias("column_name"), "n_unique") for c in columns]).where("n_unique > 0")
 
 
-def few_valued_columns(df: DataFrame, limit: int = MAX_CATEGORIES) -> list[str]:
-    """Columns worth an exact category count, by a sketch in one pass.
+def categorical_summary(df: DataFrame, limit: int = MAX_CATEGORIES) -> DataFrame:
+    """Value counts of every column with at most ``limit`` distinct values; null is a value, but not counted as distinct.
 
-    A column with at most ``limit`` values cannot be estimated at twice that: below
-    a few thousand values the sketch counts hash slots, which only collide downward.
+    Each column is counted on its own, values combined before the shuffle; only the exact count decides.
     """
-    row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in df.columns]).first()
-    return [c for c in df.columns if row[c] <= 2 * limit]
-
-
-def categorical_summary(df: DataFrame, limit: int = MAX_CATEGORIES) -> DataFrame:
-    """Value counts of every column with at most ``limit`` distinct values; null is a value."""
-    columns = few_valued_columns(df, limit)
-    counts = _long_values(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = union_all(*[df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(c).alias("column_name"), "value", "n") for c in df.columns])
     unique = counts.groupBy("column_name").agg(F.count("value").alias("n_unique")).where(F.col("n_unique") <= limit)
     return counts.join(unique, "column_name").select("column_name", "value", "n", "n_unique")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.clock import DAY_US, SLOT_US, from_micros, micros, month_key
 from ..functions.stats import histogram_bin, pct_missing
+from .joins import join_small
 from .quantiles import exact_quantiles
 
 
@@ -121,7 +122,7 @@ def iqr_outliers(df: DataFrame, sites: DataFrame, fence: float = 3.0) -> DataFra
     quartiles = exact_quantiles(day, ["site_id"], "power", {"q1": 0.25, "q3": 0.75})
     upper = F.col("q3") + (F.col("q3") - F.col("q1")) * fence
     limits = quartiles.select("site_id", "q1", "q3", upper.alias("upper_fence"))
-    counted = day.join(limits, "site_id").groupBy("site_id", "q1", "q3", "upper_fence").agg(
+    counted = join_small(day, limits, ["site_id"]).groupBy("site_id", "q1", "q3", "upper_fence").agg(
         F.count(F.lit(1)).alias("n_daylight"),
         F.count_if(F.col("power") > F.col("upper_fence")).alias("n_outliers"),
         F.max("power").alias("max_power"),

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import null_safe_join
+
 BUCKETS_PER_OCTAVE = 256
 SLICES = 4_096
 _ORIGIN = 2_000 * BUCKETS_PER_OCTAVE  # past the smallest double exponent
@@ -34,7 +36,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     """The values at given 1-based ranks per group, one column per entry of ``ranks``.
 
     Each entry maps the group's count of non-null values to a rank. The result has
-    the keys (which must not be null), ``n`` and one double per rank.
+    the keys (null is a group like any other), ``n`` and one double per rank.
     """
     keyed = df if keys else df.withColumn("_all", F.lit(1))
     groups = keys or ["_all"]
@@ -67,7 +69,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     )
     # values may crowd into one bucket (a large offset with small differences), so it is cut once more, evenly
     place = F.floor((F.col("_v") - F.col("_min")) / F.nullif(F.col("_max") - F.col("_min"), F.lit(0.0)) * SLICES)
-    near = freq.join(hits, [*groups, "_b"]).withColumn("_s", F.coalesce(F.least(place, F.lit(SLICES - 1)), F.lit(0)))
+    near = null_safe_join(freq, hits, [*groups, "_b"]).withColumn("_s", F.coalesce(F.least(place, F.lit(SLICES - 1)), F.lit(0)))
     in_bucket = Window.partitionBy(*groups, "_b").orderBy("_s")
     slices = near.groupBy(*groups, "_b", "_s").agg(
         F.sum("_f").alias("_sf"), F.first("_before").alias("_base"), F.first("_hits").alias("_all_hits"))
@@ -80,7 +82,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     )
     inside = Window.partitionBy(*groups, "_b", "_s").orderBy("_v")
     located = (
-        near.join(hit_slices, [*groups, "_b", "_s"])
+        null_safe_join(near, hit_slices, [*groups, "_b", "_s"])
         .withColumn("_hi", F.col("_slicebefore") + F.sum("_f").over(inside))
         .withColumn("_hit", F.explode("_slicehits"))
         .where((F.col("_hit.rank") > F.col("_hi") - F.col("_f")) & (F.col("_hit.rank") <= F.col("_hi")))

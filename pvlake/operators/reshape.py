@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import join_small
+
 
 def union_all(*parts: DataFrame) -> DataFrame:
     """Rows of all parts by column name; columns a part lacks are null."""
@@ -14,11 +16,11 @@ def union_all(*parts: DataFrame) -> DataFrame:
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(keys.select(*on), on, "left_semi")
+    return join_small(df, keys.select(*on).distinct(), on, "left_semi")
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(keys.select(*on), on, "left_anti")
+    return join_small(df, keys.select(*on).distinct(), on, "left_anti")
 
 
 def unpivot(df: DataFrame, keys: list[str], values: list[str], label: str = "metric", value: str = "value") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import micros
+from .joins import join_small
 from .timeline import WEEK_US, add_position, global_position
 
 RATIOS = (0.70, 0.15, 0.15)
@@ -62,7 +63,7 @@ def cross_site_split(df: DataFrame, val_frac: float = 0.15, test_frac: float = 0
     timed = chronological_split(df, (train_ratio, rest, 1.0 - train_ratio - rest), key=key, ts=ts)
     roles = site_roles(df, val_frac, test_frac, seed, key)
     seen = F.col("role") == "train"
-    return timed.join(roles, key).withColumns({
+    return join_small(timed, roles, [key]).withColumns({
         "protocol": F.when(seen, "seen").otherwise("unseen"),
         "split": F.when(seen, F.col("split")).otherwise(F.col("role")),
     }).drop("role")

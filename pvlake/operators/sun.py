@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import floor_day
 from ..functions.solar import DEFAULT_ZONE, SLOT_HOURS, ZONE_CANDIDATES, add_sun_local, daylight
+from .joins import join_small, null_safe_join
 from .quantiles import exact_quantiles
 
 
@@ -14,7 +15,7 @@ def campus_coordinates(sites: DataFrame) -> DataFrame:
     """Median latitude and longitude per campus; campuses without any stay with null."""
     lat = exact_quantiles(sites, ["campus_id"], "latitude", {"latitude": 0.5}).drop("n")
     lon = exact_quantiles(sites, ["campus_id"], "longitude", {"longitude": 0.5}).drop("n")
-    return sites.select("campus_id").distinct().join(lat, "campus_id", "left").join(lon, "campus_id", "left")
+    return null_safe_join(null_safe_join(sites.select("campus_id").distinct(), lat, ["campus_id"], "left"), lon, ["campus_id"], "left")
 
 
 def add_solar_position(df: DataFrame, coords: DataFrame, zone: str = DEFAULT_ZONE, ts: str = "timestamp") -> DataFrame:
@@ -22,7 +23,7 @@ def add_solar_position(df: DataFrame, coords: DataFrame, zone: str = DEFAULT_ZON
 
     Rows of campuses without coordinates keep null positions and count as night.
     """
-    placed = df.join(coords.select("campus_id", "latitude", "longitude"), "campus_id", "left")
+    placed = join_small(df, coords.select("campus_id", "latitude", "longitude"), ["campus_id"], "left")
     out = add_sun_local(placed, ts, "latitude", "longitude", zone).drop("latitude", "longitude")
     return out.withColumn("is_daylight", daylight())
 
@@ -41,16 +42,12 @@ def grid_day_length(df: DataFrame, coords: DataFrame, zone: str = DEFAULT_ZONE,
 
 
 def join_day_length(df: DataFrame, lengths: DataFrame, ts: str = "timestamp") -> DataFrame:
-    return (
-        df.withColumn("date", floor_day(ts))
-        .join(lengths, ["campus_id", "date"], "left")
-        .drop("date")
-    )
+    return join_small(df.withColumn("date", floor_day(ts)), lengths, ["campus_id", "date"], "left").drop("date")
 
 
 def campus_without_coordinates(df: DataFrame, coords: DataFrame) -> DataFrame:
     known = coords.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    return df.join(known.select("campus_id"), "campus_id", "left_anti")
+    return join_small(df, known.select("campus_id"), ["campus_id"], "left_anti")
 
 
 def score_zones(gen: DataFrame, coords: DataFrame, zones=ZONE_CANDIDATES, ts: str = "timestamp") -> DataFrame:

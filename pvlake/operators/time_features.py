@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import SLOT_US, micros
+from .joins import join_small, null_safe_join
 from .timeline import WEEK_US, drop_halo, halo_window, with_halo
 
 # fixed values: look-back steps (15 minutes each), windows in seconds, statistics
@@ -32,22 +33,24 @@ def add_time_features(df: DataFrame, *, keys: tuple[str, ...] = ("site_id",), ts
 
     A lag is the value at exactly ``t - k`` steps, null when that slot is absent.
     A rolling window is ``[t - W, t)``; null readings do not count and a standard
-    deviation needs two. Expects unique ``(keys, ts)``.
+    deviation needs two. Expects unique ``(keys, ts)``. A row without a time stays, all its
+    features null; rows without a key are one series.
     """
     lags = {name: s * SLOT_US for name, s in zip(lag_names(lag_steps, value), lag_steps)}
     spans = sorted(w * 1_000_000 for w in rolling_seconds)
     halo = max([*lags.values(), *spans], default=0)
     split = with_halo(df.withColumn("_us", micros(ts)), "_us", max(chunk_us, halo), halo)
     ordered = halo_window(list(keys), "_us")
+    timed = F.col("_us").isNotNull()
     columns: dict[str, Column] = {
-        name: F.max(value).over(ordered.rangeBetween(-d, -d)) for name, d in lags.items()
+        name: F.when(timed, F.max(value).over(ordered.rangeBetween(-d, -d))) for name, d in lags.items()
     }
     if spans:
         split = _centred(split, list(keys), value)
         columns |= _ring_sums(ordered, spans, value)
     out = split.withColumns(columns)
     if spans:
-        stats = _rolling_columns(rolling_seconds, rolling_stats, spans, value, min_periods)
+        stats = {n: F.when(timed, c) for n, c in _rolling_columns(rolling_seconds, rolling_stats, spans, value, min_periods).items()}
         out = out.withColumns(stats).drop("_centre", "_d", "_dd", *_ring_names(spans))
     return drop_halo(out).drop("_us")
 
@@ -137,7 +140,7 @@ def lookback_at(history: DataFrame, targets: DataFrame, *, key: str = "site_id",
     wanted = targets.select(key, micros(ts).alias("_t"))
     past = (
         history.select(key, micros(ts).alias("_us"), F.col(value).alias("_v"))
-        .join(wanted, key)
+        .transform(join_small, wanted, [key])
         .withColumn("_age", F.col("_t") - F.col("_us"))
         .where((F.col("_age") > 0) & (F.col("_age") <= deepest))
     )
@@ -148,7 +151,7 @@ def lookback_at(history: DataFrame, targets: DataFrame, *, key: str = "site_id",
     for w in rolling_seconds:
         inside = F.when(F.col("_age") <= w * 1_000_000, F.col("_v"))
         aggregates += [_STAT[stat](inside).alias(f"{value}_rolling_{stat}_{w}s") for stat in ROLLING_STATS]
-    return targets.join(past.groupBy(key).agg(*aggregates), key, "left")
+    return null_safe_join(targets, past.groupBy(key).agg(*aggregates), [key], "left")
 
 
 def lookback_stages(past: str, now: str, *, value: str = "power", lag_steps=LAG_STEPS,

@@ -9,6 +9,9 @@ value and windows run inside ``(key, chunk)``:
 * :func:`chunk_context` summarises every chunk into one row and carries running
   facts (rows so far, last timestamp) over that much smaller table, which is
   exact for unbounded look-back (row positions, previous row, gap filling).
+
+No row is lost: a null ordering value has its own chunk at the end of its series, and a null
+key is a series like any other.
 """
 
 from __future__ import annotations
@@ -17,16 +20,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import DAY_US
+from .joins import null_safe_join
 
 CHUNK = "_chunk"
 CORE = "_core"
 WEEK_US = 7 * DAY_US
+LAST_CHUNK = 2**62  # of rows with a null ordering value
 BEFORE = Window.unboundedPreceding
 
 
 def chunk_of(order: Column | str, width: int) -> Column:
+    """The chunk of an ordering value; rows without one have a chunk of their own, after all others."""
     order = F.col(order) if isinstance(order, str) else order
-    return order - F.pmod(order, F.lit(width).cast("long"))
+    return F.coalesce(order - F.pmod(order, F.lit(width).cast("long")), F.lit(LAST_CHUNK).cast("long"))
 
 
 def with_halo(df: DataFrame, order: str, width: int, halo: int) -> DataFrame:
@@ -83,12 +89,12 @@ def chunk_context(df: DataFrame, keys: list[str], order: str, width: int,
 
 def add_position(df: DataFrame, keys: list[str], order: str, width: int = 4 * WEEK_US,
                  position: str = "position", total: str = "n_rows") -> DataFrame:
-    """1-based row position inside each series and the series length."""
+    """1-based row position inside each series and the series length; rows without an ordering value come last."""
     context = chunk_context(df, keys, order, width)
     inside = Window.partitionBy(*keys, CHUNK).orderBy(order)
     return (
         df.withColumn(CHUNK, chunk_of(order, width))
-        .join(context, [*keys, CHUNK])
+        .transform(null_safe_join, context, [*keys, CHUNK])
         .withColumn(position, F.col("_rows_before") + F.row_number().over(inside))
         .withColumnRenamed("_rows_total", total)
         .drop(CHUNK, "_rows_before")
@@ -102,8 +108,8 @@ def add_previous(df: DataFrame, keys: list[str], order: str, width: int = 4 * WE
     inside = Window.partitionBy(*keys, CHUNK).orderBy(order)
     return (
         df.withColumn(CHUNK, chunk_of(order, width))
-        .join(context.select(*keys, CHUNK, "_carry"), [*keys, CHUNK])
-        .withColumn(name, F.coalesce(F.lag(order).over(inside), F.col("_carry")))
+        .transform(null_safe_join, context.select(*keys, CHUNK, "_carry"), [*keys, CHUNK])
+        .withColumn(name, F.when(F.col(order).isNotNull(), F.coalesce(F.lag(order).over(inside), F.col("_carry"))))
         .drop(CHUNK, "_carry")
     )
 
@@ -120,7 +126,7 @@ def global_position(df: DataFrame, order: str, bucket: Column, position: str = "
         F.sum("_n").over(Window.partitionBy()).alias("_total"),
     )
     out = (
-        keyed.join(running, "_bucket")
+        null_safe_join(keyed, running, ["_bucket"])
         .withColumn(position, F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy(order)))
         .drop("_bucket", "_before")
     )

@@ -6,23 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
-GROUP_LIMIT_PUSHDOWN = 1_000  # Spark's own default for limiting groups before the shuffle
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
                   spread: list[str], rank: str | None = None) -> DataFrame:
     """The first ``k`` rows per group in ``order``.
 
-    For small ``k`` Spark limits every group inside each map task already. Beyond
-    that, rows are first ranked in ``SALTS`` slices of a group (by a hash of the
-    ``spread`` columns, which should identify a row), so a group never reaches one
-    task with more than ``SALTS * k`` rows.
+    Rows are first ranked in ``SALTS`` slices of a group (by a hash of the ``spread``
+    columns, which should identify a row), so a group never reaches one task with
+    more than ``SALTS * k`` rows, however many tasks have read it.
     """
-    out = df
-    if k >= GROUP_LIMIT_PUSHDOWN:
-        out = out.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-        slice_ = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        out = out.withColumn("_rank", F.row_number().over(slice_)).where(F.col("_rank") <= k).drop("_salt", "_rank")
+    slice_ = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    out = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS))).withColumn(
+        "_rank", F.row_number().over(slice_)).where(F.col("_rank") <= k).drop("_salt", "_rank")
     name = rank or "_rank"
     whole = Window.partitionBy(*keys).orderBy(*order)
     out = out.withColumn(name, F.row_number().over(whole)).where(F.col(name) <= k)

@@ -11,7 +11,7 @@ from ..functions.solar import DEFAULT_ZONE
 from ..operators import cleaning, sun
 from ..operators.time_features import add_time_features
 from ..operators.weather import interpolate_short_gaps, join_weather
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 from ..sources.writers import add_partition_columns
 
 
@@ -41,12 +41,12 @@ def build_features(processed: DataFrame, coords: DataFrame | None = None, zone:
 
     Without coordinates the solar columns are left as they are in the input. With them,
     the two look-up tables (places, day lengths) are written to the checkpoint folder
-    and broadcast if their counted size allows; larger ones are joined by shuffle.
+    and broadcast if their counted size allows; larger ones are joined under salts.
     """
     out = processed
     if coords is not None:
-        coords = broadcast_if_small(cut_lineage(coords))
-        lengths = broadcast_if_small(cut_lineage(sun.grid_day_length(processed, coords, zone)))
+        coords = cut_lineage(coords)
+        lengths = sun.grid_day_length(processed, coords, zone)
         out = sun.join_day_length(sun.add_solar_position(out, coords, zone), lengths)
     # joins come first, on narrow rows: after the windows the wide rows are never shuffled again
     return add_wind(add_calendar(add_time_features(out, **options)))

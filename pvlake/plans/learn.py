@@ -2,41 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.time_features import lag_names, rolling_names
+from ..operators.joins import SmallSide
+from ..session import checkpoint_dir
 
 TARGET = "power"
-# fixed values: candidate model inputs in order, and columns never used as such
-CALENDAR_FEATURES = (
-    "hour", "minute", "day", "day_of_week", "day_of_year", "week_of_year", "month", "quarter", "is_weekend",
-    "sin_hour", "cos_hour", "sin_day_of_year", "cos_day_of_year",
-)
-WEATHER_FEATURES = (
-    "temperature", "apparent_temperature", "dew_point_temperature", "humidity", "wind_speed", "wind_dir_sin", "wind_dir_cos",
-)
-SOLAR_FEATURES = ("solar_elevation_deg", "azimuth_deg", "zenith_deg", "day_length_hours")
-CATEGORICAL_FEATURES = ("site_id",)
-EXCLUDED = {TARGET, "season", "is_daylight", "wind_direction", "timestamp", "year", "month", "campus_id"}
-
-
-def feature_columns(columns: Iterable[str]) -> dict[str, list[str]]:
-    """Model inputs present in a table, in canonical order."""
-    present = set(columns)
-    candidates = [*CALENDAR_FEATURES, *lag_names(), *rolling_names(), *WEATHER_FEATURES, *SOLAR_FEATURES]
-    return {
-        "categorical": [c for c in CATEGORICAL_FEATURES if c in present],
-        "numeric": [c for c in candidates if c in present and c not in EXCLUDED],
-    }
+#: What the columns of a feature table that are no inputs are to a model; any other number or flag the feature operators produce is an input.
+ROLES = {
+    TARGET: "target", "site_id": "series", "campus_id": "key", "timestamp": "time", "year": "time", "month": "time", "season": "label",
+    "is_daylight": "label", "split": "label", "wind_direction": "angle", "capacity_kwp": "place", "latitude": "place", "longitude": "place",
+}
+SITE_INPUTS = ("site_mean", "site_rows")
+
+
+def feature_columns(df: DataFrame) -> dict[str, list[str]]:
+    """The inputs a table offers, by kind: the series a row belongs to, and its numbers in table order."""
+    def is_input(f: T.StructField) -> bool:
+        return f.name not in ROLES and not f.name.startswith("_") and isinstance(f.dataType, (T.NumericType, T.BooleanType))
+
+    return {"categorical": [c for c in df.columns if ROLES.get(c) == "series"], "numeric": [f.name for f in df.schema.fields if is_input(f)]}
 
 
 def _number(df: DataFrame, c: str) -> Column:
@@ -59,78 +53,75 @@ def prepare_matrix(df: DataFrame, columns: dict[str, list[str]], sentinel: float
     return df.withColumns(inputs)
 
 
+def encode_sites(train: DataFrame) -> SmallSide:
+    """What identifies a site to a model: mean and count of its observed training readings.
+
+    The same encoding for any number of sites; rows of the null site are a site of their own.
+    """
+    return SmallSide.of(train.groupBy("site_id").agg(F.avg(TARGET).alias("site_mean"), F.count(TARGET).cast("double").alias("site_rows")))
+
+
 @dataclass
 class GbtForecaster:
-    """A fitted model with the input layout it was fitted on."""
+    """A fitted model with the input layout and the site encoding it was fitted with."""
 
     model: PipelineModel
-    columns: dict[str, list[str]]
+    numeric: list[str]
+    sites: SmallSide
     info: dict
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        scored = self.model.transform(prepare_matrix(df, self.columns))
+        scored = self.model.transform(_inputs(df, self.numeric, self.sites))
         return scored.select(*df.columns, F.col("_prediction").alias(name))
 
     @property
     def inputs(self) -> list[str]:
-        numeric = [n for c in self.columns["numeric"] for n in (c, f"{c}__missing")]
-        return [*self.columns["categorical"], *numeric]
+        return [n for c in (*SITE_INPUTS, *self.numeric) for n in (c, f"{c}__missing")]
+
 
+def _inputs(df: DataFrame, numeric: list[str], sites: SmallSide) -> DataFrame:
+    placed = sites.join(df.drop(*SITE_INPUTS), ["site_id"], "left")
+    return prepare_matrix(placed, {"numeric": [*SITE_INPUTS, *numeric], "categorical": []})
 
-def train_gbt(df: DataFrame, *, max_iter: int = 50, max_depth: int = 5, step: float = 0.1, subsample: float = 0.9,
-              min_instances: int = 5, seed: int = 42, max_categories: int = 512) -> GbtForecaster:
+
+def train_gbt(df: DataFrame, *, max_iter: int = 2000, max_depth: int = 8, step: float = 0.05, subsample: float = 0.9,
+              min_instances: int = 5, seed: int = 42) -> GbtForecaster:
     """Boosted trees on observed train rows, stopped early on the val rows of the same split table.
 
-    The site enters as a category while the fleet is small enough for tree bins;
-    beyond that the lag and rolling inputs carry what identifies a site.
+    The site enters as the mean and count of its own training readings, at any number of sites.
     """
-    columns = feature_columns(df.columns)
-    rows = df.where(F.col(TARGET).isNotNull() & F.col("split").isin("train", "val"))
-    # every boosting round and the indexer read these rows again
-    rows = rows.withColumn("_validation", F.col("split") == "val").select(
-        TARGET, "site_id", "_validation", *[c for c in columns["numeric"]]).persist()
-    counts = rows.agg(F.count_if(~F.col("_validation")).alias("t"), F.count_if("_validation").alias("v"),
-                      F.approx_count_distinct("site_id", 0.02).alias("s")).first()
-    if counts["s"] > max_categories // 2:
-        columns = {**columns, "categorical": []}
-    stages, names = [], []
-    for c in columns["categorical"]:
-        stages.append(StringIndexer(inputCol=f"x_{c}", outputCol=f"i_{c}", handleInvalid="keep"))
-        names.append(f"i_{c}")
-    names += [n for c in columns["numeric"] for n in (f"x_{c}", f"x_{c}__missing")]
-    stages += [
-        VectorAssembler(inputCols=names, outputCol="_features"),
-        GBTRegressor(featuresCol="_features", labelCol=TARGET, predictionCol="_prediction",
-                     validationIndicatorCol="_validation" if counts["v"] else None, maxIter=max_iter, maxDepth=max_depth,
-                     stepSize=step, subsamplingRate=subsample, minInstancesPerNode=min_instances,
-                     maxBins=max(64, max_categories), seed=seed),
-    ]
-    if not counts["v"]:
-        stages[-1].clear(stages[-1].validationIndicatorCol)
-    model = Pipeline(stages=stages).fit(prepare_matrix(rows, columns))
-    rows.unpersist()
-    info = {"best_iteration": model.stages[-1].getNumTrees, "n_train_rows": counts["t"], "n_val_rows": counts["v"]}
-    return GbtForecaster(model, columns, info)
+    numeric = feature_columns(df)["numeric"]
+    observed = df.where(F.col(TARGET).isNotNull() & F.col("split").isin("train", "val"))
+    sites = encode_sites(observed.where(F.col("split") == "train"))
+    # every boosting round reads these rows again
+    rows = observed.withColumn("_validation", F.col("split") == "val").select(TARGET, "site_id", "_validation", *numeric).persist()
+    try:
+        counts = {r["_validation"]: r["n"] for r in rows.groupBy("_validation").agg(F.count(F.lit(1)).alias("n")).collect()}
+        names = [n for c in (*SITE_INPUTS, *numeric) for n in (f"x_{c}", f"x_{c}__missing")]
+        trees = GBTRegressor(featuresCol="_features", labelCol=TARGET, predictionCol="_prediction", maxIter=max_iter, maxDepth=max_depth,
+                             stepSize=step, subsamplingRate=subsample, minInstancesPerNode=min_instances, maxBins=64, seed=seed)
+        if counts.get(True):
+            trees = trees.setValidationIndicatorCol("_validation")
+        model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_features"), trees]).fit(_inputs(rows, numeric, sites))
+    finally:
+        rows.unpersist()
+    info = {"best_iteration": model.stages[-1].getNumTrees, "n_train_rows": counts.get(False, 0), "n_val_rows": counts.get(True, 0)}
+    return GbtForecaster(model, numeric, sites, info)
 
 
 def feature_importance(fitted: GbtForecaster, spark) -> DataFrame:
     """Gain, split count and covered rows per input; unused inputs show zero.
 
-    All figures come from the trees themselves: a table of nodes, not of data rows.
+    All figures come from the saved trees: a table of nodes, not of data rows.
     """
     gbt = fitted.model.stages[-1]
     names = spark.createDataFrame(list(enumerate(fitted.inputs)), "split_feature int, feature string")
     gain = spark.createDataFrame([(i, float(v)) for i, v in enumerate(gbt.featureImportances.toArray())], "split_feature int, gain double")
-    nodes = []
-    for tree in gbt.trees:
-        stack = [tree._call_java("rootNode")]
-        while stack:
-            node = stack.pop()
-            if node.getClass().getSimpleName() == "InternalNode":
-                nodes.append((int(node.split().featureIndex()), float(node.impurityStats().count())))
-                stack += [node.leftChild(), node.rightChild()]
-    used = spark.createDataFrame(nodes or [(-1, 0.0)], "split_feature int, covered double").groupBy("split_feature").agg(
-        F.count(F.lit(1)).alias("weight"), F.sum("covered").alias("cover"))
+    saved = f"{checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    gbt.save(saved)
+    nodes = spark.read.parquet(f"{saved}/data").select("nodeData.*").where("leftChild >= 0")
+    used = nodes.groupBy(F.col("split.featureIndex").alias("split_feature")).agg(
+        F.count(F.lit(1)).alias("weight"), F.sum("rawCount").cast("double").alias("cover"))
     joined = names.join(gain, "split_feature", "left").join(used, "split_feature", "left")
     return joined.select("feature", F.coalesce("gain", F.lit(0.0)).alias("gain"),
                          F.coalesce("weight", F.lit(0)).cast("long").alias("weight"), F.coalesce("cover", F.lit(0.0)).alias("cover"))

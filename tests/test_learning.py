@@ -44,9 +44,20 @@ def test_importance_lists_every_input(spark, gbt):
     assert all((r["weight"] > 0) == (r["cover"] > 0) for r in rows)
 
 
-def test_feature_selection_is_ordered_and_present_only():
-    got = learn.feature_columns(["power", "month", "hour", "site_id", "season", "power_lag_1", "wind_direction", "temperature"])
-    assert got == {"categorical": ["site_id"], "numeric": ["hour", "power_lag_1", "temperature"]}
+def test_feature_selection_is_by_role_and_type(spark):
+    df = spark.createDataFrame([], "power double, month int, hour int, site_id long, season string, is_weekend boolean, power_lag_1 double, wind_direction double, temperature double")
+    got = learn.feature_columns(df)
+    assert got == {"categorical": ["site_id"], "numeric": ["hour", "is_weekend", "power_lag_1", "temperature"]}
+
+
+def test_many_sites_use_the_same_encoding(spark):
+    rows = [(site, at(slot), float(site % 7), "train" if slot < 3 else "val", float(slot)) for site in range(600) for slot in range(4)]
+    df = spark.createDataFrame(rows, "site_id long, timestamp timestamp_ntz, power double, split string, hour double")
+    few, many = (learn.train_gbt(part, max_iter=5, max_depth=3) for part in (df.where("site_id < 50"), df))
+    assert few.inputs == many.inputs
+    worst = many.predict(df).agg(F.max(F.abs(F.col("prediction") - F.col("power")))).first()[0]
+    assert worst < 0.5
+    assert many.predict(df.withColumn("site_id", F.lit(None).cast("long"))).count() == len(rows)
 
 
 def test_linear_contributions_add_up(learnable):
