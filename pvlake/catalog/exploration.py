@@ -95,7 +95,9 @@ TEST = "(SELECT * FROM scored WHERE split = 'test' AND model IN ('persistence_24
 
 
 @query("hourly_overlay", "scored", f"""
-    SELECT model, date_trunc('hour', timestamp) AS hour_ts, avg(power) AS actual, avg(prediction) AS predicted FROM {TEST} GROUP BY 1, 2""", "actual predicted")
+    WITH o AS (SELECT model, date_trunc('hour', timestamp) AS hour_ts, avg(power) AS actual, avg(prediction) AS predicted FROM {TEST} GROUP BY 1, 2),
+    h AS (SELECT model, unnest(generate_series(min(hour_ts), max(hour_ts), INTERVAL 1 HOUR)) AS hour_ts FROM o GROUP BY 1)
+    SELECT h.model, h.hour_ts, o.actual, o.predicted FROM h LEFT JOIN o USING (model, hour_ts)""", "actual predicted")
 def hourly_overlay(spark, folder):
     return explore.hourly_overlay(test_predictions(spark, folder), ["model"])
 

@@ -265,11 +265,12 @@ def target_candidates(spark, folder):
 @query("timestamp_candidates", "", """
     SELECT 'ts' AS column_name, 1.0::DOUBLE AS parse_success_rate, false AS matched_by_name, min(ts) AS min_ts, max(ts) AS max_ts FROM events
     UNION ALL SELECT 'when_text', avg(CASE WHEN event_id % 50 = 3 THEN 0.0 ELSE 1.0 END), false,
-           min(date_trunc('second', ts)) FILTER (WHERE event_id % 50 <> 3), max(date_trunc('second', ts)) FILTER (WHERE event_id % 50 <> 3) FROM events""",
+           min(date_trunc('second', ts)) FILTER (WHERE event_id % 50 <> 3), max(date_trunc('second', ts)) FILTER (WHERE event_id % 50 <> 3) FROM events
+    UNION ALL SELECT 'utc_seconds', NULL, true, NULL, NULL""",
        "parse_success_rate")
 def timestamp_candidates(spark, folder):
     text = F.when(F.pmod(F.col("event_id"), F.lit(50)) == 3, F.lit("?")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    rows = D.table(spark, folder, "events").withColumn("when_text", text)
+    rows = D.table(spark, folder, "events").withColumn("when_text", text).withColumn("utc_seconds", F.unix_seconds(F.col("ts").cast("timestamp")))
     return profiling.timestamp_candidates(rows)
 
 

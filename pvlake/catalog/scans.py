@@ -154,11 +154,12 @@ def scan_metric_csvs(spark, folder):
 
 
 @query("verify_required_columns", "", """
-    SELECT 'orders' AS table_name, count(*) AS n_rows, 2::BIGINT AS n_required, '' AS missing_columns, count(*) > 0 AS ok FROM orders
-    UNION ALL SELECT 'events', count(*), 3, 'power,site_id', false FROM events""")
+    SELECT 'orders' AS table_name, count(*) AS n_rows, 2::BIGINT AS n_required, '' AS missing_columns, true AS ok, 'columns ok' AS detail FROM orders
+    UNION ALL SELECT 'events', count(*), 3, 'power,site_id', false, 'missing columns' FROM events
+    UNION ALL SELECT 'inverters', NULL, 1, 'inverter_id', false, 'file not found'""")
 def verify_required_columns(spark, folder):
-    return R.verify_columns(D.table(spark, folder, "orders"), "orders", ["o_orderkey", "o_orderdate"]).unionByName(
-        R.verify_columns(D.table(spark, folder, "events"), "events", ["ts", "power", "site_id"]))
+    required = {"orders": ["o_orderkey", "o_orderdate"], "events": ["ts", "power", "site_id"], "inverters": ["inverter_id"]}
+    return R.verify_files(spark, {t: f"{folder}/{t}.parquet" for t in required}, required)
 
 
 @query("dataset_fingerprint")

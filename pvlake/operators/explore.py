@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import floor_day, floor_hour, fractional_hour, month_key, slot_label, slot_of_day
 from ..functions.stats import histogram_bin, pearson, signed_error
+from .joins import null_safe_join
 from .quantiles import exact_quantiles
 
 KWH_PER_SLOT = 0.25  # parity factor of the monthly energy report
@@ -95,10 +96,12 @@ def corr_within_site(df: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def hourly_overlay(df: DataFrame, by: list[str], ts: str = "timestamp") -> DataFrame:
-    """Hourly mean of observed power and of the prediction on the union of their hours."""
-    out = df.groupBy(*by, floor_hour(ts).alias("hour_ts")).agg(
+    """Hourly mean of observed power and of the prediction, every hour from a series' first to its last; empty hours are null."""
+    means = df.groupBy(*by, floor_hour(ts).alias("hour_ts")).agg(
         F.avg("power").alias("actual"), F.avg("prediction").alias("predicted"))
-    return out
+    spans = means.groupBy(*by).agg(F.min("hour_ts").alias("_first"), F.max("hour_ts").alias("_last"))
+    hours = spans.select(*by, F.explode(F.sequence("_first", "_last", F.expr("INTERVAL 1 HOUR"))).alias("hour_ts"))
+    return null_safe_join(hours, means, [*by, "hour_ts"], "left")
 
 
 def daily_by_site(df: DataFrame, by: list[str], ts: str = "timestamp") -> DataFrame:

@@ -154,15 +154,22 @@ def _numeric_facts(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def timestamp_candidates(df: DataFrame) -> DataFrame:
-    """Columns of which at least 90 % of the values are (or parse as) timestamps, over all rows."""
+    """Columns of which at least 90 % of the values are (or parse as) timestamps, over all rows, and numeric columns named like one."""
     entries, aggregates = [], []
     for f in df.schema.fields:
         if _is(f.dataType, T.TimestampNTZType, T.TimestampType, T.DateType):
             parsed = F.col(f.name).cast("timestamp_ntz")
         elif _is(f.dataType, T.StringType):
             parsed = parsed_timestamp(f.name)
+        elif _is(f.dataType, T.NumericType) and re.search(TIMESTAMP_NAME, f.name, re.I):
+            parsed = None  # an epoch, perhaps: listed by its name, with nothing parsed
         else:
             continue
+        if parsed is None:
+            none = F.lit(None)
+            entries.append(F.struct(F.lit(f.name).alias("column_name"), none.cast("double").alias("parse_success_rate"), F.lit(True).alias("matched_by_name"),
+                                    none.cast("timestamp_ntz").alias("min_ts"), none.cast("timestamp_ntz").alias("max_ts"), F.lit(True).alias("_listed")))
+            continue
         i = len(entries)
         aggregates += [
             F.try_divide(F.count(parsed).cast("double"), F.count(F.col(f.name))).alias(f"r{i}"),
@@ -170,11 +177,12 @@ def timestamp_candidates(df: DataFrame) -> DataFrame:
         entries.append(F.struct(
             F.lit(f.name).alias("column_name"), F.col(f"r{i}").alias("parse_success_rate"),
             F.lit(bool(re.search(TIMESTAMP_NAME, f.name, re.I))).alias("matched_by_name"),
-            F.col(f"a{i}").alias("min_ts"), F.col(f"b{i}").alias("max_ts")))
+            F.col(f"a{i}").alias("min_ts"), F.col(f"b{i}").alias("max_ts"), F.lit(False).alias("_listed")))
     if not entries:
         return df.sparkSession.createDataFrame(
             [], "column_name string, parse_success_rate double, matched_by_name boolean, min_ts timestamp_ntz, max_ts timestamp_ntz")
-    return df.agg(*aggregates).select(F.inline(F.array(*entries))).where(F.col("parse_success_rate") >= MIN_PARSE_RATE)
+    found = df.agg(F.count(F.lit(1)).alias("_n"), *aggregates).select(F.inline(F.array(*entries)))
+    return found.where(F.col("_listed") | (F.col("parse_success_rate") >= MIN_PARSE_RATE)).drop("_listed")
 
 
 def id_candidates(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import null_safe_join
 
 BUCKETS_PER_OCTAVE = 256
@@ -48,6 +49,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
         .agg(count.alias("_f"))
         .withColumn("_b", log_bucket(F.col("_v")))
     )
+    freq = cut_lineage(freq)  # the input is read once; buckets, hits and slices all start from its counts
     by_group = Window.partitionBy(*groups)
     buckets = (
         freq.groupBy(*groups, "_b")

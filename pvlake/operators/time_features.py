@@ -33,7 +33,7 @@ def add_time_features(df: DataFrame, *, keys: tuple[str, ...] = ("site_id",), ts
 
     A lag is the value at exactly ``t - k`` steps, null when that slot is absent.
     A rolling window is ``[t - W, t)``; null readings do not count and a standard
-    deviation needs two. Expects unique ``(keys, ts)``. A row without a time stays, all its
+    deviation needs two. A repeated ``(keys, ts)`` fails at once. A row without a time stays, all its
     features null; rows without a key are one series.
     """
     lags = {name: s * SLOT_US for name, s in zip(lag_names(lag_steps, value), lag_steps)}
@@ -45,6 +45,9 @@ def add_time_features(df: DataFrame, *, keys: tuple[str, ...] = ("site_id",), ts
     columns: dict[str, Column] = {
         name: F.when(timed, F.max(value).over(ordered.rangeBetween(-d, -d))) for name, d in lags.items()
     }
+    # in the same sort: the halo holds each row once per chunk, so a second row at one time is a repeated key
+    repeated = timed & (F.count(F.lit(1)).over(ordered.rangeBetween(0, 0)) > 1)
+    columns["_repeated"] = F.when(repeated, F.raise_error(F.lit("a series has two rows at one time")).cast("int"))
     if spans:
         split = _centred(split, list(keys), value)
         columns |= _ring_sums(ordered, spans, value)
@@ -52,7 +55,7 @@ def add_time_features(df: DataFrame, *, keys: tuple[str, ...] = ("site_id",), ts
     if spans:
         stats = {n: F.when(timed, c) for n, c in _rolling_columns(rolling_seconds, rolling_stats, spans, value, min_periods).items()}
         out = out.withColumns(stats).drop("_centre", "_d", "_dd", *_ring_names(spans))
-    return drop_halo(out).drop("_us")
+    return drop_halo(out.where(F.col("_repeated").isNull())).drop("_us", "_repeated")
 
 
 def _centred(split: DataFrame, keys: list[str], value: str) -> DataFrame:

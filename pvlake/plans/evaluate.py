@@ -23,7 +23,7 @@ def baseline_predictions(df: DataFrame) -> DataFrame:
 
 def baseline_leaderboard(df: DataFrame) -> DataFrame:
     """Four baselines × val/test × all sites and each site, in one grouping-sets pass."""
-    timed = splits.chronological_split(df)
+    timed = cut_lineage(splits.chronological_split(df))  # read for ranges, means and predictions
     scored = baselines.predict_all(timed).where(F.col("split").isin(*EVALUATED))
     return metrics.metrics_all_and_site(scored, ["model", "split"], metrics.train_range(train_rows(timed)))
 
@@ -36,7 +36,7 @@ def model_leaderboard(scored: DataFrame, timed: DataFrame) -> DataFrame:
 
 def cross_site_leaderboard(df: DataFrame, **options) -> DataFrame:
     """The baselines on seen and unseen sites; one pooled range scales every row."""
-    framed = splits.cross_site_split(df, **options)
+    framed = cut_lineage(splits.cross_site_split(df, **options))
     scored = baselines.predict_all(framed).where(F.col("split").isin(*EVALUATED))
     return metrics.metrics_all_and_site(
         scored, ["model", "protocol", "split"], metrics.train_range(train_rows(framed)), pooled_only=True)
@@ -55,9 +55,10 @@ def regime_predictions(timed: DataFrame) -> DataFrame:
 def conformal_intervals(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Calibrate on val, attach intervals to test: every method and level, long.
 
-    The calibration is a handful of rows and kept as a written table, so the plans
-    that read the intervals do not carry its derivation along.
+    Predictions and calibration are kept as written tables, so nothing is predicted twice and
+    the plans that read the intervals do not carry their derivation along.
     """
     by = by or ["model"]
+    scored = cut_lineage(scored.where(F.col("split").isin(*EVALUATED)))  # for the calibration and for what it is applied to
     radii = cut_lineage(conformal.fit(scored.where(F.col("split") == "val"), by))
     return conformal.apply_radii(scored.where(F.col("split") == "test"), radii, by)

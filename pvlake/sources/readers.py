@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,12 +119,29 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
 
 
 def verify_columns(df: DataFrame, name: str, required: list[str]) -> DataFrame:
-    """One row per table: missing header names, row count, verdict."""
+    """One row per table: row count, missing header names, verdict and its reason."""
     missing = [c for c in required if c not in df.columns]
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit(name).alias("table_name"),
         F.col("n_rows"),
         F.lit(len(required)).cast("long").alias("n_required"),
         F.lit(",".join(missing)).alias("missing_columns"),
-        (F.lit(not missing) & (F.col("n_rows") > 0)).alias("ok"),
+        F.lit(not missing).alias("ok"),
+        F.lit("missing columns" if missing else "columns ok").alias("detail"),
     )
+
+
+def verify_files(spark: SparkSession, paths: dict[str, str], required: dict[str, list[str]], kind: str = "parquet", **options: str) -> DataFrame:
+    """A verdict for each required file (name to path): absent and unreadable files are reported, not raised."""
+    parts = []
+    for name, columns in required.items():
+        try:
+            table = spark.read.format(kind).options(**options).load(paths[name])
+            found = verify_columns(table, name, columns)
+        except (KeyError, AnalysisException) as problem:
+            lost = isinstance(problem, KeyError) or problem.getCondition() == "PATH_NOT_FOUND"
+            found = spark.range(1).select(
+                F.lit(name).alias("table_name"), F.lit(None).cast("long").alias("n_rows"), F.lit(len(columns)).cast("long").alias("n_required"),
+                F.lit(",".join(columns)).alias("missing_columns"), F.lit(False).alias("ok"), F.lit("file not found" if lost else "unreadable").alias("detail"))
+        parts.append(found)
+    return reduce(DataFrame.unionByName, parts)
