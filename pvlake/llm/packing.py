@@ -120,6 +120,9 @@ def pack_lengths(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
 #: Words of these characters keep their letters and marks apart when normalized, so their parts can be counted beforehand.
 SIMPLE = re.compile("[!-~\u00c0-\u00ff]+")
 PARTS = re.compile("'(?:[stmd]|re|ve|ll)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Texts of these characters (no apostrophe, which binds letters) may be lower-cased and parted around marks beforehand: the tokenizer does the same.
+PLAIN = re.compile("[\t-\r -&(-~\u00c0-\u00ff]*")
+MARKS = re.compile("[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\\s]+")
 
 
 class Ids:
@@ -154,9 +157,15 @@ class Ids:
             stops, data = [0, *ends[parts - 1].tolist()], ids.tobytes()
             self.known.update(zip(part, [data[4 * a:4 * b] for a, b in zip(stops, stops[1:])], strict=True))
 
+    def spread(self, text: str) -> str:
+        """The same text to the tokenizer, with fewer distinct words where that is sure."""
+        if PLAIN.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
+            return MARKS.sub(r" \g<0> ", text.lower())
+        return text
+
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
         # the ASCII characters that the normalizer takes for white space; others stay inside a word and are met there
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") for t in texts]
+        split = [self.spread(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") for t in texts]
         new = {w for words in split for w in words}.difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
