@@ -188,4 +188,4 @@ def forecast_batch(spark, folder):
     model = small_gbt(df)
     scored = model.predict(df.where(F.col("split") == "val")).withColumn("regime", conformal.regime())
     radii = conformal.fit(scored, [])
-    return forecast.forecast_recursive(panel, model.predict, forecast.MAX_HORIZON, coords=coords, zone=ZONE, radii=radii)
+    return forecast.forecast_recursive(panel, model.predict, forecast.MAX_HORIZON, coords=coords, zone=ZONE, radii=radii, per_site=model.sites.table)

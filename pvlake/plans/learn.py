@@ -63,7 +63,10 @@ def encode_sites(train: DataFrame) -> SmallSide:
 
 @dataclass
 class GbtForecaster:
-    """A fitted model with the input layout and the site encoding it was fitted with."""
+    """A fitted model with the input layout and the site encoding it was fitted with.
+
+    Rows that carry the encoding already (``sites.table``, joined by the caller) are predicted without a join.
+    """
 
     model: PipelineModel
     numeric: list[str]
@@ -80,7 +83,7 @@ class GbtForecaster:
 
 
 def _inputs(df: DataFrame, numeric: list[str], sites: SmallSide) -> DataFrame:
-    placed = sites.join(df.drop(*SITE_INPUTS), ["site_id"], "left")
+    placed = df if set(SITE_INPUTS) <= set(df.columns) else sites.join(df, ["site_id"], "left")
     return prepare_matrix(placed, {"numeric": [*SITE_INPUTS, *numeric], "categorical": []})
 
 
