@@ -227,17 +227,28 @@ def prepare_matrix(spark, folder):
     return learn.prepare_matrix(rows, learn.feature_columns(rows)).drop("site_id", "temperature", "humidity")
 
 
-CHANNELS = ("power", "power_observed", "temperature", "humidity", "wind_speed", "solar_elevation_deg")
+CHANNELS = sequences.CHANNELS
 CHANNEL_SQL = """
     SELECT site_id, timestamp, coalesce(power, 0) AS ch_power, (power IS NOT NULL)::INT::DOUBLE AS ch_power_observed,
+           sin(2 * pi() * (hour(timestamp) * 60 + minute(timestamp)) / 1440) AS ch_sin_hour,
+           cos(2 * pi() * (hour(timestamp) * 60 + minute(timestamp)) / 1440) AS ch_cos_hour,
+           sin(2 * pi() * dayofyear(timestamp) / 365.25) AS ch_sin_day_of_year, cos(2 * pi() * dayofyear(timestamp) / 365.25) AS ch_cos_day_of_year,
            coalesce(temperature, 0) AS ch_temperature, coalesce(humidity, 0) AS ch_humidity, coalesce(wind_speed, 0) AS ch_wind_speed,
-           solar_elevation_deg AS ch_solar_elevation_deg FROM panel"""
+           coalesce(sin(radians(wind_direction)), 0) AS ch_wind_dir_sin, coalesce(cos(radians(wind_direction)), 0) AS ch_wind_dir_cos,
+           solar_elevation_deg AS ch_solar_elevation_deg, 90 - solar_elevation_deg AS ch_zenith_deg FROM panel"""
+
+
+def channel_rows(spark, folder):
+    """The panel with every column a channel is made of."""
+    return C.add_wind(C.add_calendar(D.panel(spark, folder))).withColumn("zenith_deg", F.lit(90.0) - F.col("solar_elevation_deg"))
+
+
 CHANNEL_DOUBLES = " ".join(f"ch_{c}" for c in CHANNELS)
 
 
 @query("channel_matrix", "panel", CHANNEL_SQL, CHANNEL_DOUBLES)
 def channel_matrix(spark, folder):
-    return sequences.channel_matrix(D.panel(spark, folder), CHANNELS)
+    return sequences.channel_matrix(channel_rows(spark, folder), CHANNELS)
 
 
 _STD = ", ".join(
@@ -251,7 +262,7 @@ TRAIN_CHANNELS = f"(SELECT c.*, t.split FROM ({CHANNEL_SQL}) c JOIN timed t USIN
     SELECT c.site_id, c.timestamp, {_STD} FROM {TRAIN_CHANNELS} c
     CROSS JOIN (SELECT {_STATS} FROM {TRAIN_CHANNELS} WHERE split = 'train') s""", CHANNEL_DOUBLES)
 def standardize(spark, folder):
-    timed = splits.chronological_split(D.panel(spark, folder))
+    timed = splits.chronological_split(channel_rows(spark, folder))
     scaler = sequences.channel_scaler(evaluate.train_rows(timed), CHANNELS)
     return sequences.standardized(timed, scaler, CHANNELS)
 

@@ -11,7 +11,7 @@ from ..operators import time_features as TF
 from ..operators.weather import filled_counts, interpolate_short_gaps
 from ..plans import build, evaluate, forecast
 from ..sources import driver_tables as D
-from .columns import CHANNELS, ROLE_SQL, SUN_SQL, TRAIN_CHANNELS
+from .columns import CHANNELS, channel_rows, ROLE_SQL, SUN_SQL, TRAIN_CHANNELS
 from .registry import CTES, query
 from .scans import TEXT_TS
 
@@ -190,7 +190,7 @@ def site_bounds(spark, folder):
                                     f"avg(ch_{c}) AS mean, greatest(stddev_pop(ch_{c}), 1e-6) AS std FROM {TRAIN_CHANNELS} WHERE split = 'train'")
     for c in CHANNELS), "mean std")
 def channel_scaler_fit(spark, folder):
-    return sequences.channel_scaler(evaluate.train_rows(splits.chronological_split(D.panel(spark, folder))), CHANNELS)
+    return sequences.channel_scaler(evaluate.train_rows(splits.chronological_split(channel_rows(spark, folder))), CHANNELS)
 
 
 @query("target_stats", "timed", """
@@ -199,8 +199,8 @@ def target_stats(spark, folder):
     return sequences.target_stats(evaluate.train_rows(splits.chronological_split(D.generation(spark, folder))))
 
 
-WIN = 5
-WIN_CHANNELS = ("ch_power", "ch_power_observed", "ch_humidity")
+WIN = sequences.LOOKBACK
+HUMIDITY = CHANNELS.index("humidity")
 
 
 @query("sliding_windows", "panel timed", f"""
@@ -214,17 +214,17 @@ WIN_CHANNELS = ("ch_power", "ch_power_observed", "ch_humidity")
     WHERE pos > {WIN} AND target IS NOT NULL""", "target sum_power sum_humidity last_power last_mask last_humidity first_power")
 def sliding_windows(spark, folder):
     # double steps compare exactly; models store 32-bit ones
-    timed = splits.chronological_split(D.panel(spark, folder))
+    timed = splits.chronological_split(channel_rows(spark, folder))
     ready = sequences.channel_matrix(timed, CHANNELS, keep=("site_id", "split", "timestamp", "power"))
-    windows = sequences.sliding_windows(ready, list(WIN_CHANNELS), WIN, by=("split",), chunk_rows=64, kind="double")
+    windows = sequences.sliding_windows(ready, [f"ch_{c}" for c in CHANNELS], WIN, by=("split",), chunk_rows=256, kind="double")
 
     def total(i):
         return F.aggregate("window", F.lit(0.0), lambda acc, step: acc + step[i])
 
     last, first = F.element_at("window", -1), F.element_at("window", 1)
     return windows.select(
-        "site_id", "split", "timestamp", "target", F.size("window").alias("n_steps"), total(0).alias("sum_power"), total(2).alias("sum_humidity"),
-        last[0].alias("last_power"), last[1].alias("last_mask"), last[2].alias("last_humidity"), first[0].alias("first_power"))
+        "site_id", "split", "timestamp", "target", F.size("window").alias("n_steps"), total(0).alias("sum_power"), total(HUMIDITY).alias("sum_humidity"),
+        last[0].alias("last_power"), last[1].alias("last_mask"), last[HUMIDITY].alias("last_humidity"), first[0].alias("first_power"))
 
 
 # ---------------------------------------------------------------- history

@@ -10,7 +10,7 @@ from ..operators.sun import campus_coordinates
 from ..plans import build, evaluate, forecast, learn
 from ..session import cut_lineage
 from ..sources import driver_tables as D
-from .columns import site_text
+from .columns import channel_rows, site_text
 from .registry import CTES, query
 from .scans import SCENARIOS
 
@@ -64,16 +64,16 @@ def linear_regression(spark, folder):
 
 @query("window_regression")
 def window_regression(spark, folder):
-    df = splits.chronological_split(D.panel(spark, folder))
+    df = splits.chronological_split(channel_rows(spark, folder))
     scaler = sequences.channel_scaler(evaluate.train_rows(df), WINDOW_CHANNELS)
     ready = sequences.standardized(df, scaler, WINDOW_CHANNELS, keep=("site_id", "split", "timestamp", "power", "is_daylight"))
-    windows = sequences.sliding_windows(ready, [f"ch_{c}" for c in WINDOW_CHANNELS], 12, by=("split",))
+    windows = sequences.sliding_windows(ready, [f"ch_{c}" for c in WINDOW_CHANNELS], sequences.LOOKBACK, by=("split",))
     model = learn.train_window_regression(windows.where(F.col("split") == "train"))
     scored = learn.predict_windows(model, windows.where(F.col("split") != "train"))
     return M.regression_metrics(scored.withColumnRenamed("target", "power"), ["split"], daylight=None)
 
 
-WINDOW_CHANNELS = ("power", "power_observed", "temperature", "humidity", "wind_speed", "solar_elevation_deg")
+WINDOW_CHANNELS = sequences.CHANNELS
 
 # ---------------------------------------------------------------- attributions with known coefficients
 
