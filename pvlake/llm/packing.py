@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .text import bounded_batches
+
 WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 4_000_000  # tokens held before a shard is packed
@@ -227,7 +229,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", t
         if held_ids:
             yield from shard()
 
-    return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(pack, schema)
+    return bounded_batches(docs).select(F.col(id_column), F.col(text_column)).mapInArrow(pack, schema)
 
 
 # workers get this code with the task, whether or not the package is on their path

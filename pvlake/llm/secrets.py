@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import bounded_batches
+
 # fixed values: the contract's patterns and least lengths
 BASE = (
     ("assign", re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
@@ -91,7 +93,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str, text_column: str = "text", ma
                 out.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(found, key=lambda s: (s[1], order[s[0]]))])
             yield pd.Series(out)
 
-    return docs.withColumn("spans", scan(F.col(text_column)))
+    return bounded_batches(docs).withColumn("spans", scan(F.col(text_column)))
 
 
 # workers get this code with the task, whether or not the package is on their path

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import connected_components
-from .text import without
+from .text import bounded_batches, without
 
 SEED = 42
 BITS = 64
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, text_column: str = "text", width: int = 3) ->
         for batch in texts:
             yield pd.Series([fingerprint(t, width) for t in batch], dtype="int64")
 
-    return without(docs, "fingerprint").withColumn("fingerprint", simhash(F.col(text_column)))
+    return without(bounded_batches(docs), "fingerprint").withColumn("fingerprint", simhash(F.col(text_column)))
 
 
 def _masks(blocks: int, distance: int) -> list[int]:

@@ -14,8 +14,17 @@ BLANKS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 256
 CONTEXT = 32
+ROWS_PER_BATCH = 1_000
 
-__all__ = ["BLANK", "BLANKS", "ascii_lower", "computed", "digest", "find_spans", "running", "span_list", "text_of", "words", "without"]
+__all__ = ["BLANK", "BLANKS", "ascii_lower", "bounded_batches", "computed", "digest", "find_spans", "running", "span_list", "text_of", "words", "without"]
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand Python workers no more rows at a time than fit memory when all texts are long."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= ROWS_PER_BATCH:
+        df.sparkSession.conf.set(setting, str(ROWS_PER_BATCH))
+    return df
 
 
 def text_of(column: str = "text") -> Column:
