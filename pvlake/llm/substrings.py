@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, checkpoint_dir
 from .lines import NO_ID
-from .text import text_of, without
+from .text import bounded_batches, text_of, without
 
 LENGTH = 200
 GRAM = 72  # bytes of an anchor; every window of LENGTH bytes holds LENGTH - GRAM + 1 candidates
@@ -110,24 +110,23 @@ def _local_order(symbols: np.ndarray, nxt: np.ndarray, longest: int) -> np.ndarr
     return np.argsort(rank, kind="stable")
 
 
-def merged_classes(strings: list[np.ndarray], depth: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+def merged_classes(symbols: np.ndarray, lengths: np.ndarray, depth: int, shard: int = SHARD) -> np.ndarray:
     """Classes of suffixes (rotations of distinct strings, each ended by symbol 0) that agree in ``depth`` symbols.
 
-    Each shard of strings gets its own Burrows-Wheeler transform. They are merged by refining the
-    interleave: it says, in order, which shard the next suffix comes from. Reading the transforms through
-    it and sorting stably by the symbol read gives the interleave for one more symbol; a boundary that
-    appears in round k is a common prefix of k symbols. After ``depth`` rounds the intervals between
-    boundaries are the classes. Suffixes are never compared across shards.
+    ``symbols`` are the strings one behind the other, ``lengths`` theirs. Each shard of strings gets its
+    own Burrows-Wheeler transform. They are merged by refining the interleave: it says, in order, which
+    shard the next suffix comes from. Reading the transforms through it and sorting stably by the symbol
+    read gives the interleave for one more symbol; a boundary that appears in round k is a common prefix
+    of k symbols. After ``depth`` rounds the intervals between boundaries are the classes. Suffixes are
+    never compared across shards.
 
-    Returns the class of each position of the concatenated strings, and the positions' string numbers.
+    Returns the class of each position, numbered in order.
     """
-    lengths = np.array([len(s) for s in strings])
-    symbols = np.concatenate(strings)
-    owner = np.repeat(np.arange(len(strings)), lengths)
     ends = np.cumsum(lengths)
     nxt = np.arange(1, len(symbols) + 1)
     nxt[ends - 1] = ends - lengths
-    dense = np.unique(symbols, return_inverse=True)[1].astype(np.uint16 if len(np.unique(symbols)) < 65_536 else np.int64)
+    found, dense = np.unique(symbols, return_inverse=True)
+    dense = dense.astype(np.uint16 if len(found) < 65_536 else np.int64)
     prev = np.empty(len(symbols), np.int64)
     prev[nxt] = np.arange(len(symbols))
     cuts = np.flatnonzero(np.diff(np.r_[-1, (ends - 1) // shard]))  # first string of each shard
@@ -154,7 +153,15 @@ def merged_classes(strings: list[np.ndarray], depth: int, shard: int = SHARD) ->
         group = np.cumsum(np.r_[0, (read[1:] != read[:-1]) | (before[1:] != before[:-1])])
     classes = np.empty(len(symbols), np.int64)
     classes[np.concatenate(order)[place(interleave)]] = group
-    return classes, owner
+    return classes
+
+
+def _laid(blobs: list[bytes], at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Writes each blob's bytes, one up, from position ``at`` on; returns their lengths."""
+    lengths = np.fromiter(map(len, blobs), np.int64, len(blobs))
+    within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    symbols[np.repeat(at, lengths) + within] = np.frombuffer(b"".join(blobs), np.uint8).astype(np.int64) + 1
+    return lengths
 
 
 def repeated_windows(contexts: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
@@ -164,30 +171,42 @@ def repeated_windows(contexts: list[tuple[bytes, int, int]]) -> list[np.ndarray]
     hold, its core, become one symbol; what is left and right of it stays bytes. So a window is BLOCK symbols.
     """
     cores: dict[bytes, int] = {}
-    parts: dict[tuple[int, bytes, bytes], list[tuple[int, int]]] = {}
+    parts: dict[tuple[int, bytes, bytes], int] = {}
+    members: list[tuple[int, int, int]] = []  # string, context, start of the core
     for c, (text, anchor, _) in enumerate(contexts):
         last = len(text) - LENGTH
         for b in range((anchor - last) // BLOCK, anchor // BLOCK + 1):
-            start, stop = anchor - b * BLOCK, anchor - b * BLOCK - BLOCK + 1 + LENGTH
-            left, right = text[max(0, start - BLOCK + 1):start], text[stop:stop + BLOCK - 1]
-            parts.setdefault((cores.setdefault(text[start:stop], len(cores)), left, right), []).append((c, start))
-    strings = [np.r_[np.frombuffer(left, np.uint8).astype(np.int64) + 1, 257 + core, np.frombuffer(right, np.uint8).astype(np.int64) + 1, 0]
-               for core, left, right in parts]
-    classes, owner = merged_classes(strings, BLOCK)
-    members = list(parts.values())
-    lefts = np.array([len(k[1]) for k in parts])
-    rights = np.array([len(k[2]) for k in parts])
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(np.r_[0, [len(s) for s in strings[:-1]]]), [len(s) for s in strings])
-    distance = lefts[owner] - within  # symbols before the core
+            start = anchor - b * BLOCK
+            stop = start - BLOCK + 1 + LENGTH
+            core = cores.setdefault(text[start:stop], len(cores))
+            members.append((parts.setdefault((core, text[max(0, start - BLOCK + 1):start], text[stop:stop + BLOCK - 1]), len(parts)), c, start))
+    string, context, core_at = np.array(members, dtype=np.int64).T
+    keys = list(parts)
+    lefts = np.fromiter((len(k[1]) for k in keys), np.int64, len(keys))
+    lengths = lefts + np.fromiter((len(k[2]) for k in keys), np.int64, len(keys)) + 2
+    begin = np.cumsum(lengths) - lengths
+    symbols = np.zeros(int(lengths.sum()), np.int64)  # zero ends each string
+    _laid([k[1] for k in keys], begin, symbols)
+    symbols[begin + lefts] = 257 + np.fromiter((k[0] for k in keys), np.int64, len(keys))
+    rights = _laid([k[2] for k in keys], begin + lefts + 1, symbols)
+    classes = merged_classes(symbols, lengths, BLOCK)
+
+    owner = np.repeat(np.arange(len(keys)), lengths)
+    distance = lefts[owner] - (np.arange(len(owner)) - begin[owner])  # symbols before the core
     window = (distance >= 0) & (distance < BLOCK) & (rights[owner] >= BLOCK - 1 - distance)
-    times = np.array([sum(contexts[c][2] for c, _ in m) for m in members])
+    copies = np.fromiter((n for _, _, n in contexts), np.int64, len(contexts))
+    times = np.bincount(string, copies[context], len(keys))
     total = np.bincount(classes, np.where(window, times[owner], 0))
-    out = [np.zeros(len(text) - LENGTH + 1, bool) for text, _, _ in contexts]
     hit = np.flatnonzero(window & (total[classes] >= 2))
-    for s, d in zip(owner[hit].tolist(), distance[hit].tolist()):
-        for c, start in members[s]:
-            out[c][start - d] = True
-    return out
+    repeated = np.zeros((len(keys), BLOCK), bool)
+    repeated[owner[hit], distance[hit]] = True
+
+    windows = np.fromiter((len(text) - LENGTH + 1 for text, _, _ in contexts), np.int64, len(contexts))
+    first = np.cumsum(windows) - windows
+    flags = np.zeros(int(windows.sum()), bool)
+    member, d = np.nonzero(repeated[string])
+    flags[first[context[member]] + core_at[member] - d] = True
+    return np.split(flags, first[1:])
 
 
 def _runs(flags: np.ndarray) -> list[int]:
@@ -296,7 +315,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     A null or empty text has nothing to remove. Ids may be null or repeat: rows are told apart by id and
     a hash of the text.
     """
-    read = without(docs, "n_bytes", "n_removed", "n_spans", "kept").withColumns({
+    read = without(bounded_batches(docs), "n_bytes", "n_removed", "n_spans", "kept").withColumns({
         "_llm_doc": F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), "_llm_row": F.xxhash64(text_of(text_column)),
         "_llm_more": F.xxhash64(F.lit(1), text_of(text_column)), "_llm_bytes": text_of(text_column).cast("binary")})
     digest = ["_llm_row", "_llm_more"]
