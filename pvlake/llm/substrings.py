@@ -156,12 +156,11 @@ def merged_classes(symbols: np.ndarray, lengths: np.ndarray, depth: int, shard:
     return classes
 
 
-def _laid(blobs: list[bytes], at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Writes each blob's bytes, one up, from position ``at`` on; returns their lengths."""
+def _laid(blobs: list[bytes], at: np.ndarray, symbols: np.ndarray) -> None:
+    """Writes each blob's bytes, one up, from position ``at`` on."""
     lengths = np.fromiter(map(len, blobs), np.int64, len(blobs))
     within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     symbols[np.repeat(at, lengths) + within] = np.frombuffer(b"".join(blobs), np.uint8).astype(np.int64) + 1
-    return lengths
 
 
 def repeated_windows(contexts: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
@@ -182,24 +181,30 @@ def repeated_windows(contexts: list[tuple[bytes, int, int]]) -> list[np.ndarray]
             members.append((parts.setdefault((core, text[max(0, start - BLOCK + 1):start], text[stop:stop + BLOCK - 1]), len(parts)), c, start))
     string, context, core_at = np.array(members, dtype=np.int64).T
     keys = list(parts)
+    core_of = np.fromiter((k[0] for k in keys), np.int64, len(keys))
     lefts = np.fromiter((len(k[1]) for k in keys), np.int64, len(keys))
-    lengths = lefts + np.fromiter((len(k[2]) for k in keys), np.int64, len(keys)) + 2
-    begin = np.cumsum(lengths) - lengths
-    symbols = np.zeros(int(lengths.sum()), np.int64)  # zero ends each string
-    _laid([k[1] for k in keys], begin, symbols)
-    symbols[begin + lefts] = 257 + np.fromiter((k[0] for k in keys), np.int64, len(keys))
-    rights = _laid([k[2] for k in keys], begin + lefts + 1, symbols)
-    classes = merged_classes(symbols, lengths, BLOCK)
-
-    owner = np.repeat(np.arange(len(keys)), lengths)
-    distance = lefts[owner] - (np.arange(len(owner)) - begin[owner])  # symbols before the core
-    window = (distance >= 0) & (distance < BLOCK) & (rights[owner] >= BLOCK - 1 - distance)
+    rights = np.fromiter((len(k[2]) for k in keys), np.int64, len(keys))
     copies = np.fromiter((n for _, _, n in contexts), np.int64, len(contexts))
     times = np.bincount(string, copies[context], len(keys))
-    total = np.bincount(classes, np.where(window, times[owner], 0))
-    hit = np.flatnonzero(window & (total[classes] >= 2))
-    repeated = np.zeros((len(keys), BLOCK), bool)
-    repeated[owner[hit], distance[hit]] = True
+    step = np.arange(BLOCK)  # of a window: symbols before the core
+    valid = (step <= lefts[:, None]) & (BLOCK - 1 - step <= rights[:, None])
+    repeated = valid & (times >= 2)[:, None]
+
+    # a core that one string has is in no other window: only strings that share theirs are merged
+    shared = np.flatnonzero(np.bincount(core_of)[core_of] > 1)
+    if len(shared):
+        lengths = lefts[shared] + rights[shared] + 2
+        begin = np.cumsum(lengths) - lengths
+        symbols = np.zeros(int(lengths.sum()), np.int64)  # zero ends each string
+        _laid([keys[i][1] for i in shared.tolist()], begin, symbols)
+        symbols[begin + lefts[shared]] = 257 + core_of[shared]
+        _laid([keys[i][2] for i in shared.tolist()], begin + lefts[shared] + 1, symbols)
+        classes = merged_classes(symbols, lengths, BLOCK)
+        which, d = np.nonzero(valid[shared])
+        own = classes[begin[which] + lefts[shared][which] - d]
+        total = np.bincount(own, times[shared][which])
+        hit = total[own] >= 2
+        repeated[shared[which[hit]], d[hit]] = True
 
     windows = np.fromiter((len(text) - LENGTH + 1 for text, _, _ in contexts), np.int64, len(contexts))
     first = np.cumsum(windows) - windows
