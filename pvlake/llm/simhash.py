@@ -15,11 +15,19 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import connected_components
-from .text import bounded_batches, without
+from .text import ascii_lower, bounded_batches, text_of, without, words
 
 SEED = 42
 BITS = 64
 GROUP_LIMIT = 20_000  # fingerprints of a block compared in one task; larger blocks are split further
+# the wide fingerprint of near_copies
+WIDTH, SIMILARITY = 5, 0.8
+WORDS = 4  # of 64 bits
+TABLES, KEY_BITS = 128, 22  # block choices, and the bits of each; a pair at 0.8 differs in 15% of the bits and agrees on one of the choices at 97%
+WORD_RADIUS, RADIUS = 20, 64  # bits that may differ in the first word and in all four: 3.7 and 4.4 deviations above the mean at 0.8
+PAIR_LIMIT = 64  # documents of a block up to which all its pairs are candidates
+CHOICES = np.array([np.random.default_rng(t).choice(WORDS * BITS, KEY_BITS, replace=False) for t in range(TABLES)])
+ROWS = 200_000  # rows of blocks handled at a time
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -131,6 +139,163 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return marked.join(of_print, "fingerprint").select(F.col("_llm_id").alias(id_column), "fingerprint", "component_id")
 
 
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; of fewer words, of the whole sequence; none of none."""
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined, hashed = b" ".join(parts), xxhash.xxh64_intdigest
+    if len(parts) <= width:
+        return np.array([hashed(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    starts = np.concatenate([[0], ends[:-width]]).tolist()
+    return np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1:] - 1).tolist())], dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th further hash of each hash (SplitMix64)."""
+    z = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << BITS) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def wide_print(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """SimHash of ``WORDS`` signed 64-bit words over the distinct shingles."""
+    h = np.unique(shingles(text, width))
+    ones = np.zeros(WORDS * BITS, np.int64)
+    for i in range(0, len(h), 16_384):
+        wide = np.stack([_mixed(h[i:i + 16_384], k) for k in range(WORDS)], axis=1)
+        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)
+
+
+def jaccard(a: str | None, b: str | None, width: int = WIDTH) -> float:
+    """Jaccard similarity of the distinct shingles; of two texts without a word 1."""
+    x, y = np.unique(shingles(a, width)), np.unique(shingles(b, width))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def _table_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, print) to one row per block choice: (key, node, first word)."""
+    weights = (1 << np.arange(KEY_BITS)).astype(np.float32)
+    for frame in frames:
+        if len(frame):
+            prints = np.array(frame["print"].tolist(), dtype=np.int64)
+            bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+            keys = np.stack([(bits[:, c] @ weights).astype(np.int32) + (t << KEY_BITS) for t, c in enumerate(CHOICES)])
+            yield pd.DataFrame({"key": keys.ravel(), "node": np.tile(frame["node"].to_numpy(), TABLES), "word": np.tile(prints[:, 0], TABLES)})
+
+
+def _forest(key: int, nodes: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that span a large block's nodes, each to one within ``WORD_RADIUS`` that was reached before; the roots differ from key to key."""
+    order, out = np.argsort(_mixed(nodes.view(np.uint64), key + 1)), []
+    nodes, prints = nodes[order], prints[order]
+    while len(nodes) > 1:
+        queue, nodes, prints = [(nodes[0], prints[0])], nodes[1:], prints[1:]
+        while queue and len(nodes):
+            node, word = queue.pop()
+            near = np.bitwise_count(prints ^ word) <= WORD_RADIUS
+            if near.any():
+                out.append((np.full(near.sum(), node), nodes[near]))
+                queue.extend(zip(nodes[near], prints[near]))
+                nodes, prints = nodes[~near], prints[~near]
+    return out
+
+
+def _block_pairs(key: np.ndarray, node: np.ndarray, word: np.ndarray) -> pd.DataFrame:
+    """Candidate pairs of whole blocks, rows in order of ``key``: all within ``WORD_RADIUS`` of each other, of large blocks a spanning forest."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    found, prints = [], word.view(np.uint64)
+    left = np.repeat(np.where(sizes <= PAIR_LIMIT, starts + sizes, 0), sizes)  # end of each row's block
+    at, step = np.arange(len(key)), 1
+    while len(at := at[at + step < left[at]]):
+        near = at[np.bitwise_count(prints[at] ^ prints[at + step]) <= WORD_RADIUS]
+        found.append((node[near], node[near + step]))
+        step += 1
+    for a, n in zip(starts[sizes > PAIR_LIMIT].tolist(), sizes[sizes > PAIR_LIMIT].tolist()):
+        found += _forest(int(key[a]), node[a:a + n], prints[a:a + n])
+    a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key to candidate pairs, some whole blocks at a time."""
+    held: list[pd.DataFrame] = []
+    limit, rows = ROWS, 0
+    for frame in frames:
+        held.append(frame)
+        rows += len(frame)
+        if rows >= limit:
+            joined = pd.concat(held, ignore_index=True)
+            cut = int(np.searchsorted(joined["key"].to_numpy(), joined["key"].iloc[-1]))  # the last block may go on
+            if cut:
+                yield _block_pairs(*[joined[c].to_numpy()[:cut] for c in ("key", "node", "word")])
+            held, rows = [joined.iloc[cut:]], len(joined) - cut
+            limit = max(ROWS, 2 * rows)
+    if rows:
+        joined = pd.concat(held, ignore_index=True)
+        yield _block_pairs(*[joined[c].to_numpy() for c in ("key", "node", "word")])
+
+
+def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``(id, _llm_row, kept_id, kept_row)``, one row per distinct id and text: the row that stands for its component.
+
+    Documents link if the Jaccard similarity of their five-word shingles is ``similarity`` or more, computed
+    exactly. Who is compared: texts that agree under one of ``TABLES`` choices of ``KEY_BITS`` bits of a 256-bit
+    SimHash and whose fingerprints are within ``WORD_RADIUS`` and ``RADIUS`` bits, which a pair at 0.8 meets at
+    97% and closer ones more surely. A block of more than ``PAIR_LIMIT`` texts gives spanning links in place of
+    its pairs, another forest under each choice.
+
+    Each text is first verified against its closest mate, and what these links connect is not compared
+    again, so a large group of copies costs rows in proportion to its size.
+
+    Texts that are equal but for case and white space are one node. ``_llm_row`` is a hash of the text, so that
+    rows which repeat an id are told apart; the row kept has the smallest id, null last, then the smallest hash.
+    """
+    read = docs.select(F.col(id_column).alias("_llm_id"), text_of(text_column).alias("_llm_text"))
+    noded = read.withColumn("node", F.xxhash64(F.array_join(words(ascii_lower(F.col("_llm_text"))), " ")))
+
+    @F.pandas_udf("array<long>")
+    def printed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([wide_print(t) for t in batch])
+
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    marked = cut_lineage(bounded_batches(noded).select("_llm_id", F.xxhash64("_llm_text").alias("_llm_row"), "node", printed("_llm_text").alias("print")))
+    prints = marked.groupBy("node").agg(F.first("print").alias("print"))
+    keys = prints.mapInPandas(_table_keys, "key int, node long, word long")
+    pairs = keys.repartition("key").sortWithinPartitions("key").mapInPandas(_candidates, "a long, b long").distinct()
+    apart = sum((F.bit_count(F.get("p", F.lit(i)).bitwiseXOR(F.get("q", F.lit(i)))) for i in range(WORDS)), F.lit(0))
+    near = cut_lineage(pairs.join(prints.select(F.col("node").alias("a"), F.col("print").alias("p")), "a").join(
+        prints.select(F.col("node").alias("b"), F.col("print").alias("q")), "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= RADIUS))
+
+    def verified(some: DataFrame) -> DataFrame:
+        wanted = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = noded.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("_llm_text").alias("t"))
+        both = some.join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.withColumnRenamed("node", "b"), "b")
+        return cut_lineage(both.select("a", "b", likeness("s", "t").alias("likeness")).where(F.col("likeness") >= similarity).select("a", "b"))
+
+    first = near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    links = verified(first)
+    known = connected_components(links)
+    rest = near.select("a", "b").join(first, ["a", "b"], "left_anti")
+    for c in ("a", "b"):
+        rest = rest.join(known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    linked = connected_components(links.unionByName(verified(cut_lineage(rest))))
+    labelled = marked.select("_llm_id", "_llm_row", "node").distinct().join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rank = F.struct(F.col("_llm_id").isNull(), "_llm_id", "_llm_row")
+    kept = labelled.groupBy("component").agg(F.min_by(F.struct("_llm_id", "_llm_row"), rank).alias("kept"))
+    return labelled.join(kept, "component").select(
+        F.col("_llm_id").alias(id_column), "_llm_row", F.col("kept._llm_id").alias("kept_id"), F.col("kept._llm_row").alias("kept_row"))
+
+
 def hex_of(c: Column) -> Column:
     """16 lowercase hex digits of a long."""
     return F.lower(F.lpad(F.hex(c), 16, "0"))

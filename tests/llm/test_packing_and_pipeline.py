@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pvlake.llm import packing, urls
+from pvlake.llm import packing, simhash, urls
 from pvlake.llm.queries import QUERIES, SQL
 
 from . import brute
@@ -114,3 +114,26 @@ def test_small_side_and_bounded_sample(spark):
     again = {r["id"] for r in bounded_sample(df.repartition(7), F.col("id"), 30).collect()}
     assert len(first) == 60 and first == again
     assert urls.FEATURES
+
+
+def edited(rng, text, changes):
+    """``text`` with some words changed."""
+    parts = text.split()
+    for i in rng.sample(range(len(parts)), changes):
+        parts[i] = prose(rng, 1)
+    return " ".join(parts)
+
+
+def test_near_dedup_removes_edited_copies(spark):
+    rng = random.Random(5)
+    originals = [prose(rng, 200) for _ in range(100)]
+    copies = [edited(rng, t, 1 + i % 4) for i, t in enumerate(originals)]
+    crowd = [edited(rng, originals[0], 2) for _ in range(150)]  # above PAIR_LIMIT in many blocks
+    far = [edited(rng, t, 15) for t in originals[:40]]
+    docs = list(enumerate(originals)) + [(1000 + i, t) for i, t in enumerate(copies)] + [(2000 + i, t) for i, t in enumerate(far)] + [(3000 + i, t) for i, t in enumerate(crowd)]
+    assert max(simhash.jaccard(a, b) for a, b in zip(originals, far)) < 0.8
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").collect()}
+    near = {1000 + i for i, (a, b) in enumerate(zip(originals, copies)) if simhash.jaccard(a, b) >= 0.8}
+    assert len(near) > 90 and len(near & left) <= 3
+    assert {*range(100), *range(2000, 2040)} <= left and not any(i >= 3000 for i in left)
