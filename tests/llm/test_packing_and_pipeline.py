@@ -137,3 +137,13 @@ def test_near_dedup_removes_edited_copies(spark):
     near = {1000 + i for i, (a, b) in enumerate(zip(originals, copies)) if simhash.jaccard(a, b) >= 0.8}
     assert len(near) > 90 and len(near & left) <= 3
     assert {*range(100), *range(2000, 2040)} <= left and not any(i >= 3000 for i in left)
+
+
+def test_near_dedup_tells_rows_apart_that_share_an_id(spark):
+    rng = random.Random(6)
+    one, two, three, four = (prose(rng, 120) for _ in range(4))
+    docs = [(1, one), (None, edited(rng, one, 1)), (None, two), (5, three), (5, edited(rng, one, 1)), (None, four), (None, edited(rng, four, 1)), (5, three)]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    got = [(r["doc_id"], r["text"]) for r in left]
+    assert len(got) == 4 and {(1, one), (None, two), (5, three)} <= set(got)
+    assert [t for i, t in got if i is None and t in (docs[5][1], docs[6][1])]
