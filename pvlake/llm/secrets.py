@@ -26,7 +26,8 @@ TOKEN = "token"  # kind of the spans that the token test adds
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGESTS = re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}", re.I)
 UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
-WORDY = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+")
+ALONE = re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z]{1,2}|[0-9]{1,4})(?![A-Za-z0-9])")
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the public split pattern of the vocabulary
 MAX_RATIO = 2.0  # characters per token at which a string counts as random
 
@@ -37,15 +38,24 @@ def _encoding(vocabulary: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("secrets", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_identifier(s: str) -> bool:
-    """Known shapes that are not secrets: digests, UUIDs, and names made of words and small numbers.
+def is_identifier(s: str, encoding: tiktoken.Encoding) -> bool:
+    """Known shapes that are not secrets: digests, UUIDs, and names of which every part is a word of the vocabulary.
 
-    A name has letters in few, long runs; a random string changes case and digit class every other character.
+    A part is a run of letters (parted where case changes as in names) or of digits. A word has one or two tokens
+    of 2.5 letters or more on average; besides, parts of one or two letters and numbers of up to four digits may
+    stand between separators, and numbers of up to two digits after a word.
     """
     if DIGESTS.fullmatch(s) or UUID.fullmatch(s):
         return True
-    runs = WORDY.findall(s)
-    return bool(runs) and len(s) / len(runs) >= 4.0
+    rest = ALONE.sub("", s)
+    parts = PARTS.findall(rest)
+    numbers = [p for p in parts if p.isdigit()]
+    names = [p for p in parts if not p.isdigit()]
+    if any(len(n) > 2 for n in numbers) or len(numbers) > len(names):
+        return False
+    # the vocabulary knows most words in lower case, with or without a blank before
+    tokens = [min(len(encoding.encode_ordinary(form)) for form in (p, p.lower(), f" {p.lower()}")) for p in names]
+    return all(len(p) >= 2.5 * n and n <= 2 for p, n in zip(names, tokens))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -53,17 +63,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def token_spans(text: str, encoding: tiktoken.Encoding, max_ratio: float) -> list[tuple[str, int, int]]:
-    """Candidates of at most ``max_ratio`` characters per token, less known digests and identifiers.
-
-    A candidate must mix at least two of lower case, upper case and digits.
-    """
+    """Candidates of at most ``max_ratio`` characters per token, less known digests and identifiers."""
     found = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        kinds = any("a" <= c <= "z" for c in s) + any("A" <= c <= "Z" for c in s) + any("0" <= c <= "9" for c in s)
-        if kinds < 2 or is_identifier(s):
-            continue
-        if len(s) <= max_ratio * len(encoding.encode_ordinary(s)):
+        if len(s) <= max_ratio * len(encoding.encode_ordinary(s)) and not is_identifier(s, encoding):
             found.append((TOKEN, *m.span()))
     return found
 

@@ -106,6 +106,19 @@ def test_secrets(spark):
     assert secrets.scan_secrets(df.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_random_strings_of_any_alphabet_are_secrets():
+    rng = random.Random(12)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    encoding = secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for alphabet, least in ((upper + "234567", 0.99), (lower + "0123456789", 0.99), (lower + upper + "0123456789", 0.99), (lower, 0.97), (upper, 0.98)):
+        for n in (20, 32, 64):
+            drawn = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(500)]
+            assert sum(bool(secrets.token_spans(s, encoding, secrets.MAX_RATIO)) for s in drawn) >= least * 500, (alphabet, n)
+    for name in ("a_perfectly_normal_long_identifier_name", "getNumberOfOpenConnections", "2024-01-02-2024-03-04", "da39a3ee5e6b4b0d3255bfef95601890afd80709",
+                 "MAX_NUMBER_OF_RETRIES_PER_HOST", "123e4567-e89b-12d3-a456-426614174000", "=" * 40, "path/to/some/file/of/the/user"):
+        assert not secrets.token_spans(name, encoding, secrets.MAX_RATIO), name
+
+
 def test_lines_equal_brute_force(spark):
     docs = corpus()
     out = lines.dedup_lines(frame(spark, docs))
