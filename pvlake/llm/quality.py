@@ -14,11 +14,13 @@ from .text import BLANK, computed, text_of, without, words
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
 #: The statistic vector, each with the least standard deviation that an estimate may have: the unit below which differences are not taken for signs of bad text.
-VECTOR = {"_llm_x0": 0.05, "_llm_x1": 0.05, "_llm_x2": 0.2, "_llm_x3": 0.2}
+VECTOR = {"_llm_x0": 0.05, "_llm_x1": 0.03, "_llm_x2": 0.12, "_llm_x3": 0.12}
 P = len(VECTOR)
 CORE = 0.75  # share of a group's rows that the determinant is minimised over
 STEPS = 5  # concentration steps; each lowers the determinant
-TAIL = 1e-6  # share of normal vectors beyond the cutoff
+#: Added to the number of characters, lines and words that shares are taken of: a few counts in a short text are chance, in a long one they are not.
+CHANCE = {"chars": 100, "lines": 8, "words": 20}
+TAIL = 1e-4  # share of normal vectors beyond the cutoff
 MIN_GROUP = 50  # groups with fewer rows are judged together
 LEVELS = 500  # distance bins per unit of ln(1 + d^2)
 
@@ -78,8 +80,8 @@ def measure(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "n_symbols": F.when(t.rlike(r"[#*$%&|<>]"), F.char_length(t) - F.char_length(F.translate(t, "#*$%&|<>", ""))).otherwise(0).cast("long"),
         "n_dup_lines": let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "_llm_lines": F.greatest(F.size(full), F.lit(1)), "n_repeat_words": _repeat_words("_llm_words")})
-    x = [F.log1p(F.col("word_chars") / F.greatest("n_words", F.lit(1))), F.sqrt(F.col("n_symbols") / F.greatest("word_chars", F.lit(1))),
-         F.sqrt(F.col("n_dup_lines") / F.col("_llm_lines")), F.sqrt(F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)))]
+    x = [F.log1p(F.col("word_chars") / F.greatest("n_words", F.lit(1))), F.sqrt(F.col("n_symbols") / (F.col("word_chars") + CHANCE["chars"])),
+         F.sqrt(F.col("n_dup_lines") / (F.col("_llm_lines") + CHANCE["lines"])), F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + CHANCE["words"]))]
     return counted.withColumns(dict(zip(VECTOR, x))).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_llm_words", "_llm_lines")
 

@@ -244,6 +244,26 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
         assert kept == {i for i, _ in part if i < 1000}
 
 
+def test_each_quality_statistic_rejects_by_itself(spark):
+    rng = random.Random(9)
+
+    def fresh(k, least=3, most=7):
+        return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(least, most))) for _ in range(k)]
+
+    phrases = [" ".join(fresh(3)) for _ in range(16)]
+    docs = [(i, " ".join(fresh(rng.randint(60, 400)))) for i in range(200)]
+    docs += [(1000, " ".join(fresh(100)) + "\nabcde" * 40),  # nearly all lines are equal
+             (1001, " ".join([*phrases, *phrases, *fresh(104)])),  # 96 of 200 words in repeated phrases
+             (1002, " ".join(w + ("%%" if i % 6 == 0 else "") for i, w in enumerate(fresh(150)))),  # about 6% symbols
+             (1003, " ".join(fresh(150, 9, 12)))]
+    docs += [(2000, "\n".join([" ".join(fresh(30))] * 2 + [" ".join(fresh(30)) for _ in range(3)]) + " " + " ".join(fresh(150)))]  # one repeated line is chance
+    numbers = quality.measure(frame(spark, docs).drop("kept"))
+    judged = quality.judge(numbers, quality.fit(numbers, ["lang", "source"]), ["lang", "source"])
+    left = {r["doc_id"] for r in judged.where("kept").collect()}
+    assert not any(r["base_failed"] for r in judged.where("doc_id between 1001 and 1003").collect())
+    assert left >= set(range(200)) and not left & {1001, 1002, 1003} and 1000 not in left
+
+
 def test_quality_without_rows_to_fit(spark):
     df = frame(spark, [(1, None), (2, "few words")]).drop("kept")
     for part in (df, df.limit(0)):
