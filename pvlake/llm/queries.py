@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import chat, decontaminate, lines, packing, pii, quality, secrets, simhash, substrings, urls
+from . import chat, decontaminate, lines, manifest, packing, pii, quality, secrets, simhash, substrings, urls
 from .text import digest, span_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,64 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+
+#: CRC-32 of a decimal number: its characters one after the other, eight steps of the reflected polynomial each
+_CRC_STEP = "acc"
+for _ in range(8):
+    _CRC_STEP = f"list_transform([{_CRC_STEP}], lambda v: xor(v >> 1, (v & 1) * 3988292384))[1]"
+_CRC = f"""xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+        lambda a, c: list_transform([xor(a, c)], lambda acc: {_CRC_STEP})[1], 4294967295), 4294967295)"""
+MANIFEST_SQL = f"""
+    WITH RECURSIVE
+    l AS (
+        SELECT doc_id, lang, sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+               CASE WHEN {_CRC} % 7 = 0
+                    THEN sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text"))}) END AS tampered
+        FROM documents),
+    o AS (
+        SELECT *, coalesce(tampered, leaf) AS claimed, row_number() OVER (ORDER BY lang, doc_id, leaf) AS rid, count(*) OVER (PARTITION BY lang) AS n,
+               row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+        FROM l),
+    nodes AS (
+        SELECT 0 AS level, lang, idx, leaf AS h, n FROM o
+        UNION ALL
+        SELECT level + 1, lang, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY level, lang, idx // 2, n),
+    subs AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+    tops AS (
+        SELECT 0 AS level, idx, h, n FROM subs
+        UNION ALL
+        SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, idx // 2, n),
+    low AS (
+        SELECT rid, lang, 0 AS level, idx, n, claimed AS folded, '' AS proof FROM o
+        UNION ALL
+        SELECT p.rid, p.lang, p.level + 1, p.idx // 2, (p.n + 1) // 2,
+               sha256(CASE WHEN p.idx % 2 = 1 THEN s.h || folded ELSE folded || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+        FROM low p LEFT JOIN nodes s ON s.level = p.level AND s.idx = p.idx + 1 - 2 * (p.idx % 2) AND s.lang IS NOT DISTINCT FROM p.lang
+        WHERE p.n > 1),
+    high AS (
+        SELECT rid, 0 AS level, s.idx, s.n, folded, proof, s.h AS subroot FROM low JOIN subs s ON s.lang IS NOT DISTINCT FROM low.lang WHERE low.n = 1
+        UNION ALL
+        SELECT p.rid, p.level + 1, p.idx // 2, (p.n + 1) // 2, sha256(CASE WHEN p.idx % 2 = 1 THEN s.h || folded ELSE folded || coalesce(s.h, '') END),
+               proof || coalesce(s.h, ''), subroot
+        FROM high p LEFT JOIN tops s ON s.level = p.level AND s.idx = p.idx + 1 - 2 * (p.idx % 2)
+        WHERE p.n > 1)
+    SELECT o.doc_id, o.leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+    FROM high JOIN o USING (rid) CROSS JOIN (SELECT h FROM tops WHERE n = 1) r WHERE high.n = 1"""
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query("op12_merkle_manifest", MANIFEST_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's membership proof, where for about one in seven the claimed row has one character too many."""
+    docs = table(spark, folder, "documents").select(*MANIFEST_FIELDS)
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    tampered = manifest.leaf_digest(*[more if c == "n_chars" else F.col(c) for c in MANIFEST_FIELDS])
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, tampered).otherwise(manifest.leaf_digest(*[F.col(c) for c in MANIFEST_FIELDS]))
+    leaves, nodes = manifest.build_manifest(docs, MANIFEST_FIELDS, claimed=claimed)
+    return manifest.prove(leaves, nodes).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", digest(F.array_join("proof", "")).alias("proof_sha256"), "folded_root", "verified")
