@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import chat, decontaminate, lines, manifest, packing, pii, quality, secrets, simhash, substrings, urls
+from . import alignment, chat, decontaminate, language, lines, manifest, packing, pii, quality, secrets, simhash, substrings, urls
 from .text import digest, span_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,22 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     leaves, nodes = manifest.build_manifest(docs, MANIFEST_FIELDS, claimed=claimed)
     return manifest.prove(leaves, nodes).select(
         F.col("id").alias("doc_id"), "leaf", "subroot", "root", digest(F.array_join("proof", "")).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents, learned from the two thirds that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+    models = language.train(docs.where(~F.col("held_out")))
+    return language.identify(docs.select("doc_id", "held_out", "text"), models).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    aligned = alignment.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    sealed = aligned.withColumn("groups_sha256", F.when(F.col("n_a") > 0, digest(F.col("groups"))).otherwise("")).drop("groups")
+    return alignment.score_links(sealed).select("doc_id", *alignment.RESULTS, "n_best", "count_sum", "groups_sha256")
