@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import conformal, explain, sequences, splits
 from ..operators import metrics as M
 from ..operators.sun import campus_coordinates
-from ..plans import build, evaluate, forecast, learn
+from ..plans import build, evaluate, forecast, learn, windows
 from ..session import cut_lineage
 from ..sources import driver_tables as D
-from .columns import channel_rows, site_text
+from .columns import TRAIN_CHANNELS, channel_rows, site_text
 from .registry import CTES, query
 from .scans import SCENARIOS
 
@@ -62,18 +62,64 @@ def linear_regression(spark, folder):
     return spark.createDataFrame([(n, c, model.intercept) for n, c in names], "feature string, coefficient double, intercept double")
 
 
-@query("window_regression")
+WINDOW_CHANNELS = sequences.CHANNELS
+WINDOW_COLUMNS = [f"ch_{c}" for c in WINDOW_CHANNELS]
+
+
+def window_rows(spark, folder):
+    """Channels in training units with split and target, and the target's own mean and deviation on training rows."""
+    df = cut_lineage(splits.chronological_split(channel_rows(spark, folder)))  # for the scaler, the fit and the scores
+    train = evaluate.train_rows(df)
+    ready = sequences.standardized(df, sequences.channel_scaler(train, WINDOW_CHANNELS), WINDOW_CHANNELS,
+                                   keep=("site_id", "split", "timestamp", "power", "is_daylight"))
+    return ready, sequences.target_stats(train).first()
+
+
+_WINDOW_ROWS = f"""
+    SELECT split, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY site_id, split ORDER BY timestamp) AS pos FROM timed)
+    WHERE pos > {sequences.LOOKBACK} AND power IS NOT NULL GROUP BY 1"""
+
+
+@query("window_regression", "timed", f"SELECT split, n, CASE split WHEN 'train' THEN 'fitted' ELSE 'scored' END AS part FROM ({_WINDOW_ROWS})")
 def window_regression(spark, folder):
-    df = splits.chronological_split(channel_rows(spark, folder))
-    scaler = sequences.channel_scaler(evaluate.train_rows(df), WINDOW_CHANNELS)
-    ready = sequences.standardized(df, scaler, WINDOW_CHANNELS, keep=("site_id", "split", "timestamp", "power", "is_daylight"))
-    windows = sequences.sliding_windows(ready, [f"ch_{c}" for c in WINDOW_CHANNELS], sequences.LOOKBACK, by=("split",))
-    model = learn.train_window_regression(windows.where(F.col("split") == "train"))
-    scored = learn.predict_windows(model, windows.where(F.col("split") != "train"))
-    return M.regression_metrics(scored.withColumnRenamed("target", "power"), ["split"], daylight=None)
+    """How many windows the model was fitted on and how many it scored; :func:`window_metrics` has its errors."""
+    model, scored, _ = windows_scored(spark, folder)
+    tested = scored.where(F.col("prediction").isNotNull()).groupBy("split").agg(F.count("*").alias("n"), F.lit("scored").alias("part"))
+    return spark.createDataFrame([("train", model.n, "fitted")], tested.schema).unionByName(tested)
 
 
-WINDOW_CHANNELS = sequences.CHANNELS
+def windows_scored(spark, folder):
+    """A fit of the target in training units, with predictions of the other splits in the target's own."""
+    ready, stats = window_rows(spark, folder)
+    scaled = ready.withColumn("power", (F.col("power") - F.lit(stats["y_mean"])) / F.lit(stats["y_std"]))
+    model = windows.fit_windows(evaluate.train_rows(scaled), WINDOW_COLUMNS, by=("split",))
+    scored = model.predict(scaled.where(F.col("split") != "train"), by=("split",))
+    back = [sequences.unstandardized(F.col(c), F.lit(stats["y_mean"]), F.lit(stats["y_std"])) for c in ("target", "prediction")]
+    return model, scored.select("site_id", "split", "timestamp", back[0].alias("power"), back[1].alias("prediction")), stats
+
+
+@query("window_metrics")
+def window_metrics(spark, folder):
+    return M.regression_metrics(windows_scored(spark, folder)[1], ["split"], daylight=None)
+
+
+MOMENT_LAGS = (0, 1, 2, 4, 24, 96)
+
+
+CTES["w"] = ("panel timed", f"SELECT *, row_number() OVER (PARTITION BY site_id, split ORDER BY timestamp) AS pos FROM {TRAIN_CHANNELS}")
+
+
+@query("lagged_moments", "w", " UNION ALL ".join(f"""
+    SELECT lag::BIGINT AS lag, '{a}' AS channel, '{b}' AS earlier, sum(now.ch_{a} * before.ch_{b}) AS moment FROM w now JOIN (VALUES {", ".join(f"({i})" for i in MOMENT_LAGS)}) l(lag) ON true
+    JOIN w before ON before.site_id = now.site_id AND before.split = now.split AND before.pos = now.pos - lag GROUP BY 1"""
+    for a in ("power", "power_observed", "temperature", "sin_hour") for b in ("power", "humidity", "sin_hour")), "moment")
+def lagged_moments(spark, folder):
+    """Sums that a window model is solved from, of some channels and lags."""
+    rows = sequences.channel_matrix(splits.chronological_split(channel_rows(spark, folder)), WINDOW_CHANNELS, keep=("site_id", "split", "timestamp", "power"))
+    out = windows.lagged_moments(rows, WINDOW_COLUMNS, by=("split",)).withColumns({c: F.regexp_replace(c, "^ch_", "") for c in ("channel", "earlier")})
+    wanted = F.col("channel").isin("power", "power_observed", "temperature", "sin_hour") & F.col("earlier").isin("power", "humidity", "sin_hour")
+    return out.where(wanted & F.col("lag").isin(*MOMENT_LAGS))
+
 
 # ---------------------------------------------------------------- attributions with known coefficients
 

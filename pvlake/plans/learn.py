@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,14 +169,3 @@ def train_linear(df: DataFrame, names: list[str], ridge: float = 1e-3) -> Linear
     ready = VectorAssembler(inputCols=names, outputCol="_features").transform(filled)
     model = LinearRegression(featuresCol="_features", labelCol=TARGET, regParam=ridge, solver="normal").fit(ready)
     return LinearForecaster(names, [float(c) for c in model.coefficients], means, float(model.intercept))
-
-
-def train_window_regression(windows: DataFrame, ridge: float = 1e-3):
-    """Linear model on flattened sliding windows (``window``, ``target``)."""
-    flat = windows.select("target", array_to_vector(F.transform(F.flatten("window"), lambda v: v.cast("double"))).alias("_features"))
-    return LinearRegression(featuresCol="_features", labelCol="target", regParam=ridge).fit(flat)
-
-
-def predict_windows(model, windows: DataFrame) -> DataFrame:
-    flat = windows.withColumn("_features", array_to_vector(F.transform(F.flatten("window"), lambda v: v.cast("double"))))
-    return model.transform(flat).drop("_features", "window")
