@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import conformal, explain, sequences, splits
 from ..operators import metrics as M
+from ..operators.joins import null_safe_join
 from ..operators.sun import campus_coordinates
+from ..operators.time_features import add_lags
 from ..plans import build, evaluate, forecast, learn, windows
 from ..session import cut_lineage
 from ..sources import driver_tables as D
-from .columns import TRAIN_CHANNELS, channel_rows, site_text
+from .columns import SUN_SQL, TRAIN_CHANNELS, channel_rows, site_text
 from .registry import CTES, query
 from .scans import SCENARIOS
 
@@ -20,34 +22,83 @@ def features(spark, folder):
 
 
 ZONE = "Etc/GMT-10"
+KEYS = ["site_id", "timestamp"]
 
 
-def small_gbt(df):
-    return learn.train_gbt(df, max_iter=10, max_depth=3)
+def fitted_trees(spark, folder):
+    """Features written once, and the trees fitted on them with the library's settings, which are the source's."""
+    df = cut_lineage(features(spark, folder))
+    return df, learn.train_gbt(df)
 
 
-@query("train_gbt")
+@query("train_gbt", "timed", """
+    SELECT split, count(power) AS n_eval, (SELECT count(power) FROM timed WHERE split = 'train') AS n_train_rows, true AS below_persistence
+    FROM timed WHERE split <> 'train' GROUP BY 1""")
 def train_gbt(spark, folder):
-    df = features(spark, folder)
-    scored = small_gbt(df).predict(df).withColumn("model", F.lit("gbt"))
-    return site_text(evaluate.model_leaderboard(scored, df))
+    """Rows fitted and scored, and whether the trees' mean absolute error is below that of the value 24 h before."""
+    df, model = fitted_trees(spark, folder)
+    scored = model.predict(df.where(F.col("split") != "train"))
+    mae, before = (F.avg(F.abs(F.col("power") - F.col(c))) for c in ("prediction", "power_lag_96"))
+    return scored.groupBy("split").agg(F.count("power").alias("n_eval"), F.lit(model.info["n_train_rows"]).alias("n_train_rows"), (mae < before).alias("below_persistence"))
+
+
+@query("gbt_leaderboard")
+def gbt_leaderboard(spark, folder):
+    df, model = fitted_trees(spark, folder)
+    return site_text(evaluate.model_leaderboard(model.predict(df).withColumn("model", F.lit("gbt")), df))
 
 
 @query("feature_importance")
 def feature_importance(spark, folder):
-    return learn.feature_importance(small_gbt(features(spark, folder)), spark)
+    return learn.feature_importance(fitted_trees(spark, folder)[1], spark)
+
+
+@query("tree_importance")
+def tree_importance(spark, folder):
+    """Inputs ranked by the attributions of all test rows to the fitted trees."""
+    df, model = fitted_trees(spark, folder)
+    return explain.global_importance(model.contributions(df.where(F.col("split") == "test"), KEYS))
+
+
+@query("tree_explanations")
+def tree_explanations(spark, folder):
+    """One representative row per scenario, its strongest inputs and the rest."""
+    df, model = fitted_trees(spark, folder)
+    chosen = explain.pick_representatives(df).select("scenario", *KEYS)
+    parts = model.contributions(null_safe_join(df, F.broadcast(chosen), KEYS), ["scenario", *KEYS])  # at most one row per scenario
+    return explain.contribution_table(parts, ["scenario", *KEYS])
 
 
 LINEAR_INPUTS = ["power_lag_1", "power_lag_96", "power_rolling_mean_86400s", "temperature", "humidity", "sin_hour", "cos_hour"]
 
 
-@query("contributions")
+CTES["two"] = ("panel timed p24", """
+    SELECT p.site_id, p.timestamp, t.split, p.power, p.temperature AS x1, q.p24 AS x2
+    FROM panel p JOIN timed t USING (site_id, timestamp) JOIN p24 q USING (site_id, timestamp)""")
+CTES["twomean"] = ("two", "SELECT avg(x1) AS m1, avg(x2) AS m2 FROM two WHERE split = 'train' AND power IS NOT NULL")
+CTES["twofit"] = ("two twomean", """
+    SELECT m1, m2, (covar_pop(f1, power) * var_pop(f2) - covar_pop(f2, power) * covar_pop(f1, f2)) / (var_pop(f1) * var_pop(f2) - covar_pop(f1, f2) ** 2) AS b1,
+           (covar_pop(f2, power) * var_pop(f1) - covar_pop(f1, power) * covar_pop(f1, f2)) / (var_pop(f1) * var_pop(f2) - covar_pop(f1, f2) ** 2) AS b2
+    FROM (SELECT power, coalesce(x1, m1) AS f1, coalesce(x2, m2) AS f2, m1, m2 FROM two, twomean WHERE split = 'train' AND power IS NOT NULL) GROUP BY m1, m2""")
+
+
+@query("contributions", "two twofit", """
+    SELECT *, row_number() OVER (ORDER BY mean_abs DESC) AS rank, mean_abs / sum(mean_abs) OVER () AS share_of_total FROM (
+        SELECT feature, avg(abs(c)) AS mean_abs, avg(c) AS mean, max(abs(c)) AS max_abs FROM (
+            SELECT 'temperature' AS feature, coalesce((x1 - m1) * b1, 0) AS c FROM two, twofit WHERE split = 'test'
+            UNION ALL SELECT 'power_lag_96', coalesce((x2 - m2) * b2, 0) FROM two, twofit WHERE split = 'test') GROUP BY 1)""", "mean_abs mean max_abs share_of_total")
 def contributions(spark, folder):
-    df = features(spark, folder)
+    """Least squares on two inputs, solved in closed form on the SQL side: importance of their attributions."""
+    df = cut_lineage(splits.chronological_split(add_lags(D.panel(spark, folder), (96,))))
+    model = learn.train_linear(df, ["temperature", "power_lag_96"], ridge=0.0)
+    return explain.global_importance(model.contributions(df.where(F.col("split") == "test"), KEYS))
+
+
+@query("linear_contributions")
+def linear_contributions(spark, folder):
+    df = cut_lineage(features(spark, folder))
     model = learn.train_linear(df, LINEAR_INPUTS)
-    rows = df.where(F.col("split") == "test")
-    parts = model.contributions(rows, ["site_id", "timestamp"])
-    return explain.global_importance(parts)
+    return explain.global_importance(model.contributions(df.where(F.col("split") == "test"), KEYS))
 
 
 @query("linear_regression", "panel timed", """
@@ -143,9 +194,6 @@ CTES["contribtable"] = ("contrib", """
     SELECT site_id, timestamp, rank, feature, value, contribution, CASE WHEN contribution > 0 THEN '+' ELSE '-' END AS direction FROM ranked WHERE rank <= 3
     UNION ALL SELECT site_id, timestamp, 4, '<remaining ' || count(*) || ' features>', NULL, sum(contribution), CASE WHEN sum(contribution) > 0 THEN '+' ELSE '-' END
     FROM ranked WHERE rank > 3 GROUP BY 1, 2""")
-KEYS = ["site_id", "timestamp"]
-
-
 def known_contributions(spark, folder):
     df = D.panel(spark, folder)
     return known_model(df).contributions(df, KEYS)
@@ -218,20 +266,40 @@ def explain_scenarios(spark, folder):
           LEFT JOIN gen h ON h.site_id = l.site_id AND h.timestamp = l.t + to_minutes(s.step * 15) - INTERVAL 24 HOUR)""", "prediction")
 def forecast_recursive(spark, folder):
     """A predictor with a closed form shows that predictions are fed back exactly."""
-    def predict(rows):
+    def predict(get):
         zero = F.lit(0.0)
-        return rows.withColumn("prediction", F.coalesce("power_lag_1", zero) * 0.5 + F.coalesce("power_lag_96", zero) * 0.5)
+        return F.coalesce(get("power_lag_1"), zero) * 0.5 + F.coalesce(get("power_lag_96"), zero) * 0.5
 
     return forecast.forecast_recursive(D.panel(spark, folder), predict, forecast.MAX_HORIZON).select("site_id", "step", "timestamp", "prediction")
 
 
-@query("forecast_batch")
-def forecast_batch(spark, folder):
+def batch(spark, folder):
     """Boosted trees, all sites at once, with real sun positions and bounds calibrated on the trees' own val residuals."""
     coords = cut_lineage(campus_coordinates(D.site_details(spark, folder)))
-    panel = D.panel(spark, folder).drop("solar_elevation_deg", "is_daylight")
-    df = splits.chronological_split(build.build_features(panel, coords, ZONE))
-    model = small_gbt(df)
+    panel = cut_lineage(D.panel(spark, folder).drop("solar_elevation_deg", "is_daylight"))
+    df = cut_lineage(splits.chronological_split(build.build_features(panel, coords, ZONE)))
+    model = learn.train_gbt(df)
     scored = model.predict(df.where(F.col("split") == "val")).withColumn("regime", conformal.regime())
-    radii = conformal.fit(scored, [])
-    return forecast.forecast_recursive(panel, model.predict, forecast.MAX_HORIZON, coords=coords, zone=ZONE, radii=radii, per_site=model.sites.table)
+    radii = cut_lineage(conformal.fit(scored, []))
+    return forecast.forecast_recursive(panel, model.prediction, forecast.MAX_HORIZON, coords=coords, zone=ZONE, radii=radii, per_site=model.sites.table)
+
+
+CTES["slots"] = ("gen", """
+    SELECT g.site_id, g.campus_id, s.step::BIGINT AS step, g.timestamp + to_minutes(s.step * 15) AS timestamp, g.power AS last_power
+    FROM gen g JOIN (SELECT site_id, max(timestamp) AS t FROM gen GROUP BY 1) l ON l.site_id = g.site_id AND l.t = g.timestamp
+    CROSS JOIN (SELECT unnest(generate_series(1, 96)) AS step) s""")
+
+
+@query("forecast_batch", "slots sites", f"""
+    SELECT site_id, step, timestamp, CASE WHEN solar_elevation_deg > 0 THEN 'day' ELSE 'night' END
+           || CASE WHEN step = 1 AND last_power IS NULL THEN '_nolag' ELSE '_lag' END AS regime, 0.9::DOUBLE AS confidence_level, true AS symmetric
+    FROM ({SUN_SQL.replace("FROM gen g", "FROM slots g")}) JOIN slots USING (site_id, timestamp)""", "confidence_level")
+def forecast_batch(spark, folder):
+    """Slots, regimes and form of the bounds; :func:`forecast_values` has the numbers."""
+    above, below = F.col("upper_bound") - F.col("prediction"), F.col("prediction") - F.col("lower_bound")
+    return batch(spark, folder).select("site_id", "step", "timestamp", "regime", "confidence_level", ((F.abs(above - below) < 1e-9) & (above >= 0)).alias("symmetric"))
+
+
+@query("forecast_values")
+def forecast_values(spark, folder):
+    return batch(spark, folder)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import SLOT_US, micros
+from ..functions.stats import let
 from .joins import join_small, null_safe_join
 from .timeline import WEEK_US, drop_halo, halo_window, with_halo
 
@@ -157,18 +159,15 @@ def lookback_at(history: DataFrame, targets: DataFrame, *, key: str = "site_id",
     return null_safe_join(targets, past.groupBy(key).agg(*aggregates), [key], "left")
 
 
-def lookback_stages(past: str, now: str, *, value: str = "power", lag_steps=LAG_STEPS,
-                    rolling_seconds=ROLLING_SECONDS) -> list[dict[str, Column]]:
-    """The same features from a short history carried inside the row: no shuffle at all.
+def with_lookback(past: Column, now: Column, body: Callable[[Callable[[str], Column]], Column], *, value: str = "power",
+                  lag_steps=LAG_STEPS, rolling_seconds=ROLLING_SECONDS) -> Column:
+    """``body`` of the same features from a short history carried inside the row: no shuffle, and usable inside array functions.
 
-    ``past`` is an array of (us, v) pairs, at most a day of slots; ``now`` is the
-    row's own time in microseconds. The stages are column dictionaries to add one
-    after another; columns starting with ``_look`` are helpers.
+    ``past`` is an array of (us, v) pairs, at most a day of slots; ``now`` is the row's own time in
+    microseconds. ``body`` gets a function that gives a feature by name. Each stage is evaluated once.
     """
-    t = F.col(now)
-
     def readings(span: int) -> Column:
-        recent = F.filter(F.col(past), lambda p: (p["us"] >= t - span) & (p["us"] < t) & p["v"].isNotNull())
+        recent = F.filter(past, lambda p: (p["us"] >= now - span) & (p["us"] < now) & p["v"].isNotNull())
         return F.transform(recent, lambda p: p["v"])
 
     def total(values: Column) -> Column:
@@ -177,24 +176,29 @@ def lookback_stages(past: str, now: str, *, value: str = "power", lag_steps=LAG_
     def spread(values: Column, mean: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
 
-    helpers = {f"_look_{w}": readings(w * 1_000_000) for w in rolling_seconds}
-    helpers["_look_series"] = F.map_from_entries(past)
-    means: dict[str, Column] = {
-        name: F.try_element_at("_look_series", t - s * SLOT_US) for name, s in zip(lag_names(lag_steps, value), lag_steps)
-    }
-    rest: dict[str, Column] = {}
-    for w in rolling_seconds:
-        values, n = F.col(f"_look_{w}"), F.size(f"_look_{w}")
-        mean = f"{value}_rolling_mean_{w}s"
-        means[mean] = F.when(n > 0, total(values) / n)
-        rest[f"{value}_rolling_std_{w}s"] = F.when(n > 1, F.sqrt(spread(values, F.col(mean)) / (n - 1)))
-        rest[f"{value}_rolling_min_{w}s"] = F.array_min(values)
-        rest[f"{value}_rolling_max_{w}s"] = F.array_max(values)
-    return [helpers, means, rest]
-
-
-def add_lookback(df: DataFrame, past: str, now: str, **options) -> DataFrame:
-    stages = lookback_stages(past, now, **options)
-    for columns in stages:
-        df = df.withColumns(columns)
-    return df.drop(*stages[0])
+    def names(stat: str, w: int) -> str:
+        return f"{value}_rolling_{stat}_{w}s"
+
+    series = F.map_from_entries(past)
+    first = F.struct(series.alias("series"), *[readings(w * 1_000_000).alias(f"v_{w}") for w in rolling_seconds])
+
+    def second(h: Column) -> Column:
+        return F.struct(
+            *[F.try_element_at(h["series"], now - s * SLOT_US).alias(n) for n, s in zip(lag_names(lag_steps, value), lag_steps)],
+            *[F.when(F.size(h[f"v_{w}"]) > 0, total(h[f"v_{w}"]) / F.size(h[f"v_{w}"])).alias(names("mean", w)) for w in rolling_seconds],
+            *[F.array_min(h[f"v_{w}"]).alias(names("min", w)) for w in rolling_seconds],
+            *[F.array_max(h[f"v_{w}"]).alias(names("max", w)) for w in rolling_seconds])
+
+    def third(h: Column, m: Column) -> Column:
+        return F.struct(F.lit(True).alias("_"), *[F.when(F.size(h[f"v_{w}"]) > 1, F.sqrt(spread(h[f"v_{w}"], m[names("mean", w)]) / (F.size(h[f"v_{w}"]) - 1))).alias(names("std", w))
+                                                  for w in rolling_seconds])
+
+    deviations = [names("std", w) for w in rolling_seconds]
+    return let(first, lambda h: let(second(h), lambda m: let(third(h, m), lambda d: body(lambda n: d[n] if n in deviations else m[n]))))
+
+
+def add_lookback(df: DataFrame, past: str, now: str, *, value: str = "power", lag_steps=LAG_STEPS, rolling_seconds=ROLLING_SECONDS) -> DataFrame:
+    wanted = [*lag_names(lag_steps, value), *rolling_names(rolling_seconds, ROLLING_STATS, value)]
+    every = with_lookback(F.col(past), F.col(now), lambda get: F.struct(*[get(n).alias(n) for n in wanted]),
+                          value=value, lag_steps=lag_steps, rolling_seconds=rolling_seconds)
+    return df.withColumn("_look", every).select("*", "_look.*").drop("_look")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel, Pipeline
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stats import let
 from ..operators.joins import SmallSide
-from ..session import checkpoint_dir
+from .trees import Forest
 
 TARGET = "power"
 #: What the columns of a feature table that are no inputs are to a model; any other number or flag the feature operators produce is an input.
@@ -22,6 +24,8 @@ ROLES = {
     "is_daylight": "label", "split": "label", "wind_direction": "angle", "capacity_kwp": "place", "latitude": "place", "longitude": "place",
 }
 SITE_INPUTS = ("site_mean", "site_rows")
+SENTINEL = -1e6  # stands for a missing value, below every real one
+ROWS_PER_TASK = 20_000  # training rows below which a task costs more to schedule than to run
 
 
 def feature_columns(df: DataFrame) -> dict[str, list[str]]:
@@ -37,7 +41,12 @@ def _number(df: DataFrame, c: str) -> Column:
     return F.col(c).try_cast("double") if isinstance(kind, T.StringType) else F.col(c).cast("double")
 
 
-def prepare_matrix(df: DataFrame, columns: dict[str, list[str]], sentinel: float = -1e6, suffix: str = "x_") -> DataFrame:
+def matrix_entries(get: Callable[[str], Column], names: list[str], sentinel: float = SENTINEL) -> list[Column]:
+    """Per numeric input its value and its 0/1 flag for a missing one; ``get`` gives a column by name."""
+    return [c for n in names for c in (F.coalesce(get(n).cast("double"), F.lit(sentinel)), get(n).isNull().cast("double"))]
+
+
+def prepare_matrix(df: DataFrame, columns: dict[str, list[str]], sentinel: float = SENTINEL, suffix: str = "x_") -> DataFrame:
     """Numeric inputs as doubles with a sentinel and a 0/1 flag for missing values.
 
     MLlib trees take no nulls; a value below every real one plus the flag lets a
@@ -62,71 +71,90 @@ def encode_sites(train: DataFrame) -> SmallSide:
 
 @dataclass
 class GbtForecaster:
-    """A fitted model with the input layout and the site encoding it was fitted with.
-
-    Rows that carry the encoding already (``sites.table``, joined by the caller) are predicted without a join.
-    """
+    """Fitted trees with the inputs and the site encoding they were fitted with, and the error after each round."""
 
-    model: PipelineModel
+    forest: Forest
     numeric: list[str]
     sites: SmallSide
     info: dict
 
-    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        scored = self.model.transform(_inputs(df, self.numeric, self.sites))
-        return scored.select(*df.columns, F.col("_prediction").alias(name))
+    @property
+    def names(self) -> list[str]:
+        return [*SITE_INPUTS, *self.numeric]
 
     @property
     def inputs(self) -> list[str]:
-        return [n for c in (*SITE_INPUTS, *self.numeric) for n in (c, f"{c}__missing")]
+        return [n for c in self.names for n in (c, f"{c}__missing")]
 
+    def prediction(self, get: Callable[[str], Column] = F.col) -> Column:
+        """The prediction for inputs that ``get`` finds by name, those of the site included; usable inside array functions."""
+        return let(F.array(*matrix_entries(get, self.names)), self.forest.score)
 
-def _inputs(df: DataFrame, numeric: list[str], sites: SmallSide) -> DataFrame:
-    placed = df if set(SITE_INPUTS) <= set(df.columns) else sites.join(df, ["site_id"], "left")
-    return prepare_matrix(placed, {"numeric": [*SITE_INPUTS, *numeric], "categorical": []})
+    def placed(self, df: DataFrame) -> DataFrame:
+        return self.sites.join(df.drop(*SITE_INPUTS), ["site_id"], "left")
+
+    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        return self.placed(df).select(*df.columns, self.prediction().alias(name))
+
+    def contributions(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """Long ``keys…, base_value, feature, value, contribution``: along each tree's path the change of the mean counts
+        for the input that was asked; a row's contributions and base add up to its prediction."""
+        names = self.names
+        return self.forest.contributions(self.placed(df), keys, F.array(*matrix_entries(F.col, names)), names, [i // 2 for i in range(2 * len(names))], [F.col(n) for n in names])
 
 
 def train_gbt(df: DataFrame, *, max_iter: int = 2000, max_depth: int = 8, step: float = 0.05, subsample: float = 0.9,
-              min_instances: int = 5, seed: int = 42) -> GbtForecaster:
-    """Boosted trees on observed train rows, stopped early on the val rows of the same split table.
+              min_instances: int = 5, patience: int = 50, seed: int = 42) -> GbtForecaster:
+    """Boosted trees on observed train rows; of all rounds those up to the least error on the val rows are kept.
+
+    Rounds are added until the error has not fallen for ``patience`` of them. MLlib fits a given number of rounds and
+    the same seed gives the same first ones, so the number starts at twice the patience and is doubled while
+    the best round is too near the end; one pass over the val rows gives the error after every round.
+    Without val rows all rounds are kept.
 
     The site enters as the mean and count of its own training readings, at any number of sites.
     """
     numeric = feature_columns(df)["numeric"]
+    names = [*SITE_INPUTS, *numeric]
     observed = df.where(F.col(TARGET).isNotNull() & F.col("split").isin("train", "val"))
     sites = encode_sites(observed.where(F.col("split") == "train"))
     # every boosting round reads these rows again
-    rows = observed.withColumn("_validation", F.col("split") == "val").select(TARGET, "site_id", "_validation", *numeric).persist()
+    rows = sites.join(observed.select(TARGET, "site_id", "split", *numeric), ["site_id"], "left").select(
+        TARGET, "split", array_to_vector(F.array(*matrix_entries(F.col, names))).alias("_features")).persist()
     try:
-        counts = {r["_validation"]: r["n"] for r in rows.groupBy("_validation").agg(F.count(F.lit(1)).alias("n")).collect()}
-        names = [n for c in (*SITE_INPUTS, *numeric) for n in (f"x_{c}", f"x_{c}__missing")]
-        trees = GBTRegressor(featuresCol="_features", labelCol=TARGET, predictionCol="_prediction", maxIter=max_iter, maxDepth=max_depth,
-                             stepSize=step, subsamplingRate=subsample, minInstancesPerNode=min_instances, maxBins=64, seed=seed)
-        if counts.get(True):
-            trees = trees.setValidationIndicatorCol("_validation")
-        model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_features"), trees]).fit(_inputs(rows, numeric, sites))
+        counts = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+        tasks = -(-counts.get("train", 0) // ROWS_PER_TASK)
+        train, val = rows.where(F.col("split") == "train").coalesce(max(tasks, 1)), rows.where(F.col("split") == "val")
+        rounds = min(max_iter, 2 * patience) if counts.get("val") else max_iter
+        while True:
+            model = GBTRegressor(featuresCol="_features", labelCol=TARGET, maxIter=rounds, maxDepth=max_depth, stepSize=step, subsamplingRate=subsample,
+                                 minInstancesPerNode=min_instances, maxBins=64, seed=seed).fit(train)
+            errors = model.evaluateEachIteration(val, "squared") if counts.get("val") else []
+            best = min(range(len(errors)), key=errors.__getitem__) + 1 if errors else rounds
+            if rounds >= max_iter or best + patience <= rounds:
+                break
+            rounds = min(max_iter, 2 * rounds)
     finally:
         rows.unpersist()
-    info = {"best_iteration": model.stages[-1].getNumTrees, "n_train_rows": counts.get(False, 0), "n_val_rows": counts.get(True, 0)}
-    return GbtForecaster(model, numeric, sites, info)
+    info = {"best_iteration": best, "rounds": rounds, "val_errors": errors, "n_train_rows": counts.get("train", 0), "n_val_rows": counts.get("val", 0)}
+    return GbtForecaster(Forest.of(model, df.sparkSession, best), numeric, sites, info)
 
 
 def feature_importance(fitted: GbtForecaster, spark) -> DataFrame:
-    """Gain, split count and covered rows per input; unused inputs show zero.
+    """Gain, split count and covered rows per input of the kept trees; unused inputs show zero.
 
-    All figures come from the saved trees: a table of nodes, not of data rows.
+    A split's gain counts by its rows and is a share of its tree's; trees count alike. All figures come from the
+    table of nodes, not of data rows.
     """
-    gbt = fitted.model.stages[-1]
-    names = spark.createDataFrame(list(enumerate(fitted.inputs)), "split_feature int, feature string")
-    gain = spark.createDataFrame([(i, float(v)) for i, v in enumerate(gbt.featureImportances.toArray())], "split_feature int, gain double")
-    saved = f"{checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
-    gbt.save(saved)
-    nodes = spark.read.parquet(f"{saved}/data").select("nodeData.*").where("leftChild >= 0")
-    used = nodes.groupBy(F.col("split.featureIndex").alias("split_feature")).agg(
-        F.count(F.lit(1)).alias("weight"), F.sum("rawCount").cast("double").alias("cover"))
-    joined = names.join(gain, "split_feature", "left").join(used, "split_feature", "left")
-    return joined.select("feature", F.coalesce("gain", F.lit(0.0)).alias("gain"),
-                         F.coalesce("weight", F.lit(0)).cast("long").alias("weight"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
+    forest = fitted.forest
+    tree = np.repeat(np.arange(len(forest.roots)), np.diff(np.append(forest.roots, len(forest.feature))))
+    worth = forest.gain * forest.rows
+    total = np.bincount(tree, worth, len(forest.roots))
+    worth = np.divide(worth, total[tree], out=np.zeros_like(worth), where=total[tree] > 0)
+    n, inner = len(fitted.inputs), forest.inner
+    gain, weight, cover = (np.bincount(forest.feature[inner], w[inner], n) for w in (worth, np.ones_like(worth), forest.rows.astype(float)))
+    gain = gain / gain.sum() if gain.sum() else gain
+    return spark.createDataFrame([(c, float(g), int(w), float(k)) for c, g, w, k in zip(fitted.inputs, gain, weight, cover)], "feature string, gain double, weight long, cover double")
 
 
 @dataclass

@@ -37,6 +37,26 @@ def test_trees_beat_the_mean(learnable, gbt):
     assert gbt.info["n_train_rows"] == 2 * 672 and gbt.info["best_iteration"] >= 1
 
 
+def test_kept_rounds_are_the_best(learnable):
+    fitted = learn.train_gbt(learnable, max_depth=3, step=0.3, patience=6)
+    errors = fitted.info["val_errors"]
+    best = fitted.info["best_iteration"]
+    assert errors[best - 1] == min(errors) and len(fitted.forest.roots) == best
+    assert best + 6 <= fitted.info["rounds"] == len(errors)
+    val = fitted.predict(learnable).where((F.col("split") == "val") & F.col("power").isNotNull())
+    mse = val.agg(F.avg((F.col("prediction") - F.col("power")) ** 2)).first()[0]
+    assert abs(mse - min(errors)) < 1e-9  # the column expression scores as the library does
+
+
+def test_tree_contributions_add_up(learnable, gbt):
+    rows = learnable.where(F.col("split") == "test")
+    parts = gbt.contributions(rows, ["site_id", "timestamp"])
+    assert {r["feature"] for r in parts.select("feature").distinct().collect()} == set(gbt.names)
+    total = parts.groupBy("site_id", "timestamp").agg((F.sum("contribution") + F.max("base_value")).alias("total"))
+    worst = total.join(gbt.predict(rows), ["site_id", "timestamp"]).agg(F.max(F.abs(F.col("total") - F.col("prediction"))), F.count("*")).first()
+    assert worst[0] < 1e-9 and worst[1] == rows.count()
+
+
 def test_importance_lists_every_input(spark, gbt):
     rows = learn.feature_importance(gbt, spark).collect()
     assert {r["feature"] for r in rows} == set(gbt.inputs)
@@ -79,9 +99,8 @@ def test_persistence_forecast_keeps_missing_missing(spark):
 
 
 def test_recursion_equals_batch_features_on_the_extended_series(spark, learnable):
-    def predict(rows):
-        value = F.col("power_lag_1") * 0.5 + F.col("power_rolling_mean_3600s") * 0.3 + F.col("power_rolling_std_86400s")
-        return rows.withColumn("prediction", value)
+    def predict(get):
+        return get("power_lag_1") * 0.5 + get("power_rolling_mean_3600s") * 0.3 + get("power_rolling_std_86400s")
 
     base = learnable.select("site_id", "campus_id", "timestamp", "power", "temperature", "humidity")
     out = forecast.forecast_recursive(base, predict, 5).cache()
@@ -89,7 +108,7 @@ def test_recursion_equals_batch_features_on_the_extended_series(spark, learnable
         out.select("site_id", "timestamp", F.col("prediction").alias("power")))
     from pvlake.operators.time_features import add_time_features
 
-    again = predict(add_time_features(extended)).select("site_id", "timestamp", F.col("prediction").alias("p"))
+    again = add_time_features(extended).select("site_id", "timestamp", predict(F.col).alias("p"))
     worst = out.join(again, ["site_id", "timestamp"]).agg(F.max(F.abs(F.col("prediction") - F.col("p"))), F.count("p")).first()
     assert worst[0] < 1e-9 and worst[1] == 10
 
@@ -97,7 +116,7 @@ def test_recursion_equals_batch_features_on_the_extended_series(spark, learnable
 def test_forecast_bounds_and_horizon(spark, learnable, gbt):
     base = learnable.select("site_id", "campus_id", "timestamp", "power", "temperature", "humidity")
     radii = spark.createDataFrame([("0.9", "global", 1.0), ("0.9", "night_lag", 2.0)], "level string, regime string, radius double")
-    rows = forecast.forecast_recursive(base, gbt.predict, 2, radii=radii).collect()
+    rows = forecast.forecast_recursive(base, gbt.prediction, 2, radii=radii, per_site=gbt.sites.table).collect()
     assert len(rows) == 4
     for r in rows:
         assert r["regime"] == "night_lag" and abs(r["upper_bound"] - r["prediction"] - 2.0) < 1e-12
