@@ -171,8 +171,13 @@ def gap_pct(spark, folder):
        "seen_val_mae unseen_test_r2 sum_unseen_r2")
 def cross_site_rollup(spark, folder):
     rolled = M.cross_site_rollup(cross_board(spark, folder))
-    total = F.aggregate("unseen_site_r2", F.lit(0.0), lambda a, s: a + F.coalesce(s["r2"], F.lit(0.0)))
-    return rolled.select("model", "seen_val_mae", "unseen_test_r2", F.size("unseen_site_r2").alias("n_unseen_sites"), total.alias("sum_unseen_r2"))
+    return rolled.select("model", "seen_val_mae", "unseen_test_r2", "n_unseen_sites", "sum_unseen_r2")
+
+
+@query("unseen_sites", "crossboard", """
+    SELECT model, site_id, mae, r2 FROM crossboard WHERE protocol = 'unseen' AND split = 'test' AND scope = 'SITE'""", "mae r2")
+def unseen_sites(spark, folder):
+    return M.unseen_sites(cross_board(spark, folder))
 
 
 # ---------------------------------------------------------------- conformal intervals

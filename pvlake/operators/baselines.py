@@ -45,8 +45,8 @@ def persistence_lookup(df: DataFrame, history: DataFrame, name: str = "predictio
     return lag_by_join(df, history, DAY_US, name)
 
 
-def predict_all(df: DataFrame, persistence: str | None = None) -> DataFrame:
-    """Long predictions of the four baselines for every row of a split table.
+def predict_wide(df: DataFrame, persistence: str | None = None) -> DataFrame:
+    """The predictions of the four baselines as one column each, named as in :data:`WIDE`.
 
     Persistence looks back over the full series, so it is computed before any
     split is selected; a caller that has the 24 h lag already names its column. The
@@ -54,11 +54,14 @@ def predict_all(df: DataFrame, persistence: str | None = None) -> DataFrame:
     """
     train = df.where(F.col("split") == "train")
     lagged = df.withColumnRenamed(persistence, "_p24") if persistence else predict_persistence(df, "_p24")
-    wide = predict_site_mean(lagged, train, "_psite").withColumn("_pall", global_mean(train))
-    entries = F.array(
-        F.struct(F.lit("zero").alias("model"), zero().alias("prediction")),
-        F.struct(F.lit("mean_global").alias("model"), F.col("_pall").alias("prediction")),
-        F.struct(F.lit("mean_site").alias("model"), F.col("_psite").alias("prediction")),
-        F.struct(F.lit("persistence_24h").alias("model"), F.col("_p24").alias("prediction")),
-    )
-    return wide.select(*[c for c in df.columns if c != persistence], F.inline(entries))
+    return predict_site_mean(lagged, train, "_psite").withColumns({"_pall": global_mean(train), "_pzero": zero()})
+
+
+#: Columns of :func:`predict_wide` by model.
+WIDE = {"zero": "_pzero", "mean_global": "_pall", "mean_site": "_psite", "persistence_24h": "_p24"}
+
+
+def predict_all(df: DataFrame, persistence: str | None = None) -> DataFrame:
+    """As :func:`predict_wide`, long: a row per row and model."""
+    entries = F.array(*[F.struct(F.lit(model).alias("model"), F.col(c).alias("prediction")) for model, c in WIDE.items()])
+    return predict_wide(df, persistence).select(*[c for c in df.columns if c != persistence], F.inline(entries))

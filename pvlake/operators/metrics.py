@@ -54,26 +54,33 @@ def regression_metrics(df: DataFrame, by: list[str], denominator: Column | float
     return _with_denominator(grouped, value).select(*by, *METRICS)
 
 
-def metrics_all_and_site(df: DataFrame, by: list[str], ranges: DataFrame, pooled_only: bool = False) -> DataFrame:
+def metrics_all_and_site(df: DataFrame, by: list[str], ranges: DataFrame, pooled_only: bool = False, models: dict[str, str] | None = None) -> DataFrame:
     """Metrics over all sites and per site from one grouping-sets pass.
 
     ALL rows divide by the pooled training range, SITE rows by their own, or all by
-    the pooled one (``pooled_only``, as the cross-site protocol does).
+    the pooled one (``pooled_only``, as the cross-site protocol does). ``models`` maps each model to the column of its
+    predictions: they are aggregated side by side and become rows (``model``) afterwards.
     """
     sets = [[*by], [*by, "site_id"]]
+    made = {m: metric_columns(pred=c) for m, c in (models or {None: "prediction"}).items()}
     grouped = df.groupingSets(sets, *[F.col(c) for c in [*by, "site_id"]]).agg(
         F.grouping("site_id").cast("int").alias("_all"),
-        *[c.alias(n) for n, c in metric_columns().items()],
+        *[c.alias(f"{m}|{n}" if models else n) for m, columns in made.items() for n, c in columns.items()],
     )
     scoped = grouped.withColumn("scope", F.when(F.col("_all") == 1, "ALL").otherwise("SITE"))
     pooled = ranges.where(F.col("scope") == "ALL").select("denominator").scalar()
     if pooled_only:
-        out = _with_denominator(scoped, pooled)
+        denominator = pooled
     else:
         own = ranges.where(F.col("scope") == "SITE").select("site_id", F.col("denominator").alias("_own"))
-        joined = scoped.join(own, "site_id", "left")
-        out = _with_denominator(joined, F.when(F.col("scope") == "ALL", pooled).otherwise(F.col("_own")))
-    return out.select(*by, "scope", "site_id", *METRICS)
+        scoped = scoped.join(own, "site_id", "left")
+        denominator = F.when(F.col("scope") == "ALL", pooled).otherwise(F.col("_own"))
+    if models:
+        names = list(next(iter(made.values())))
+        held = scoped.withColumn("_denominator", denominator)
+        stacked = F.array(*[F.struct(F.lit(m).alias("model"), *[F.col(f"`{m}|{n}`").alias(n) for n in names]) for m in made])
+        scoped, denominator = held.select(*by, "scope", "site_id", "_denominator", F.inline(stacked)), F.col("_denominator")
+    return _with_denominator(scoped, denominator).select(*(["model"] if models else []), *by, "scope", "site_id", *METRICS)
 
 
 def per_site_spread(metrics: DataFrame, by: list[str]) -> DataFrame:
@@ -120,21 +127,28 @@ def generalisation_gap(metrics: DataFrame, by: list[str], metric: str = "mae", s
 
 
 def cross_site_rollup(metrics: DataFrame) -> DataFrame:
-    """Per model: seen-validation and unseen-test rows side by side and R² of the unseen sites.
+    """Per model: seen-validation and unseen-test rows side by side, and how many unseen sites there are with their R² summed up.
 
-    The list holds one entry per held-out site, not per row.
+    :func:`unseen_sites` has the sites themselves, one row each.
     """
     def grab(protocol: str, split: str, metric: str) -> Column:
         hit = (F.col("protocol") == protocol) & (F.col("split") == split) & (F.col("scope") == "ALL")
         return F.max(F.when(hit, F.col(metric)))
 
-    wanted = (F.col("protocol") == "unseen") & (F.col("split") == "test") & (F.col("scope") == "SITE")
     wide = {f"{label}_{m}": grab(protocol, split, m)
             for label, protocol, split in (("seen_val", "seen", "val"), ("unseen_test", "unseen", "test"))
             for m in ("mae", "rmse", "r2", "nrmse")}
     return metrics.groupBy("model").agg(
-        *[c.alias(n) for n, c in wide.items()],
-        F.array_sort(F.collect_list(F.when(wanted, F.struct("site_id", "r2")))).alias("unseen_site_r2"))
+        *[c.alias(n) for n, c in wide.items()], F.count_if(_unseen()).alias("n_unseen_sites"), F.sum(F.when(_unseen(), F.col("r2"))).alias("sum_unseen_r2"))
+
+
+def _unseen() -> Column:
+    return (F.col("protocol") == "unseen") & (F.col("split") == "test") & (F.col("scope") == "SITE")
+
+
+def unseen_sites(metrics: DataFrame) -> DataFrame:
+    """``model, site_id, mae, r2`` of each held-out test site."""
+    return metrics.where(_unseen()).select("model", "site_id", "mae", "r2")
 
 
 def model_metrics(metrics: DataFrame, model: str) -> DataFrame:

@@ -24,8 +24,8 @@ def baseline_predictions(df: DataFrame) -> DataFrame:
 def baseline_leaderboard(df: DataFrame) -> DataFrame:
     """Four baselines × val/test × all sites and each site, in one grouping-sets pass."""
     timed = cut_lineage(splits.chronological_split(df))  # read for ranges, means and predictions
-    scored = baselines.predict_all(timed).where(F.col("split").isin(*EVALUATED))
-    return metrics.metrics_all_and_site(scored, ["model", "split"], metrics.train_range(train_rows(timed)))
+    scored = baselines.predict_wide(timed).where(F.col("split").isin(*EVALUATED))
+    return metrics.metrics_all_and_site(scored, ["split"], metrics.train_range(train_rows(timed)), models=baselines.WIDE)
 
 
 def model_leaderboard(scored: DataFrame, timed: DataFrame) -> DataFrame:
@@ -37,9 +37,9 @@ def model_leaderboard(scored: DataFrame, timed: DataFrame) -> DataFrame:
 def cross_site_leaderboard(df: DataFrame, **options) -> DataFrame:
     """The baselines on seen and unseen sites; one pooled range scales every row."""
     framed = cut_lineage(splits.cross_site_split(df, **options))
-    scored = baselines.predict_all(framed).where(F.col("split").isin(*EVALUATED))
+    scored = baselines.predict_wide(framed).where(F.col("split").isin(*EVALUATED))
     return metrics.metrics_all_and_site(
-        scored, ["model", "protocol", "split"], metrics.train_range(train_rows(framed)), pooled_only=True)
+        scored, ["protocol", "split"], metrics.train_range(train_rows(framed)), pooled_only=True, models=baselines.WIDE)
 
 
 def with_regime(df: DataFrame) -> DataFrame:
@@ -48,6 +48,7 @@ def with_regime(df: DataFrame) -> DataFrame:
 
 def regime_predictions(timed: DataFrame) -> DataFrame:
     """Baseline predictions with the row's regime; both lags they need come from one shuffle."""
+    timed = cut_lineage(timed)  # read for the means and for the lags
     lagged = add_lags(timed, (1, baselines.DAY_STEPS)).withColumn("regime", conformal.regime()).drop("power_lag_1")
     return baselines.predict_all(lagged, persistence=f"power_lag_{baselines.DAY_STEPS}")
 
