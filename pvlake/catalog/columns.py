@@ -290,7 +290,7 @@ def direction_sign(spark, folder):
     return rows.select("site_id", "timestamp", explain.direction(signed_error()).alias("direction"))
 
 
-ROLE_TABLES = ("orders", "lineitem", "events", "customer", "supplier")
+ROLE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
 
 @query("name_role_regex", "", r"""

@@ -103,18 +103,24 @@ def build_processed(spark, folder):
         F.avg("temperature").alias("mean_temperature"), F.avg("humidity").alias("mean_humidity"), F.max("wind_speed").alias("max_wind_speed"))
 
 
+RAW = ["campus_id", "power", "temperature", "apparent_temperature", "dew_point_temperature", "humidity", "wind_speed", "wind_direction", "solar_elevation_deg", "is_daylight"]
 FEATURE_SQL = f"""
-    SELECT site_id, timestamp, hour(timestamp) AS hour, isodow(timestamp) - 1 AS day_of_week, week(timestamp) AS week_of_year,
-           sin(2 * pi() * (hour(timestamp) * 60 + minute(timestamp)) / 1440) AS sin_hour, cos(2 * pi() * dayofyear(timestamp) / 365.25) AS cos_day_of_year,
-           sin(radians(wind_direction)) AS wind_dir_sin, {LAG_SQL}, {ROLL_SQL} FROM panel {WINDOW}"""
-FEATURES = ["hour", "day_of_week", "week_of_year", "sin_hour", "cos_day_of_year", "wind_dir_sin", *TF.lag_names(), *TF.rolling_names()]
-FEATURE_DOUBLES = " ".join(c for c in FEATURES if c not in ("hour", "day_of_week", "week_of_year"))
+    SELECT site_id, timestamp, {", ".join(RAW)}, hour(timestamp) AS hour, minute(timestamp) AS minute, day(timestamp) AS day, isodow(timestamp) - 1 AS day_of_week,
+           dayofyear(timestamp) AS day_of_year, week(timestamp) AS week_of_year, month(timestamp) AS month, quarter(timestamp) AS quarter,
+           isodow(timestamp) >= 6 AS is_weekend, CASE WHEN month(timestamp) IN (12, 1, 2) THEN 'summer' WHEN month(timestamp) <= 5 THEN 'autumn'
+           WHEN month(timestamp) <= 8 THEN 'winter' ELSE 'spring' END AS season,
+           sin(2 * pi() * (hour(timestamp) * 60 + minute(timestamp)) / 1440) AS sin_hour, cos(2 * pi() * (hour(timestamp) * 60 + minute(timestamp)) / 1440) AS cos_hour,
+           sin(2 * pi() * dayofyear(timestamp) / 365.25) AS sin_day_of_year, cos(2 * pi() * dayofyear(timestamp) / 365.25) AS cos_day_of_year,
+           sin(radians(wind_direction)) AS wind_dir_sin, cos(radians(wind_direction)) AS wind_dir_cos, {LAG_SQL}, {ROLL_SQL} FROM panel {WINDOW}"""
+WHOLE = ["hour", "minute", "day", "day_of_week", "day_of_year", "week_of_year", "month", "quarter", "is_weekend", "season"]
+FEATURES = [*RAW, *WHOLE, "sin_hour", "cos_hour", "sin_day_of_year", "cos_day_of_year", "wind_dir_sin", "wind_dir_cos", *TF.lag_names(), *TF.rolling_names()]
+FEATURE_DOUBLES = " ".join(c for c in FEATURES if c not in (*WHOLE, "campus_id", "is_daylight"))
 
 
 @query("feature_build", "panel", FEATURE_SQL, FEATURE_DOUBLES)
 def feature_build(spark, folder):
-    built = build.build_features(D.panel(spark, folder), chunk_us=CHUNK)
-    return built.select("site_id", "timestamp", *FEATURES)
+    """Every column that the feature build makes."""
+    return build.build_features(D.panel(spark, folder), chunk_us=CHUNK)
 
 
 @query("feature_missing_pct", "panel", " UNION ALL ".join(

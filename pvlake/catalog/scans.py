@@ -84,6 +84,16 @@ def scan_partition_filtered(spark, folder):
     return R.scan_site(spark.read.parquet(root), 1).select(F.col("site_id").cast("long").alias("site_id"), "timestamp", "power")
 
 
+@query("scan_partition_range", "", """
+    SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1994-11-20' AND o_orderdate <= TIMESTAMP '1995-02-10 23:59:59'""", "o_totalprice")
+def scan_partition_range(spark, folder):
+    """A range over a many-year table in directories of months: only the months of the range are read."""
+    root = scratch(spark)
+    orders = W.add_partition_columns(D.table(spark, folder, "orders"), "o_orderdate")
+    W.write_partitioned(orders, root, ("year", "month"), ("o_orderdate",))
+    return R.time_range(spark.read.parquet(root), "1994-11-20", "1995-02-10", "o_orderdate").select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
 @query("sink_partitioned_parquet", "gen", """
     SELECT site_id, year(timestamp) AS year, month(timestamp) AS month, count(*) AS n_rows, sum(power) AS energy
     FROM gen GROUP BY ALL""", "energy")
@@ -162,8 +172,20 @@ def verify_required_columns(spark, folder):
     return R.verify_files(spark, {t: f"{folder}/{t}.parquet" for t in required}, required)
 
 
-@query("dataset_fingerprint")
+_PRINT_TEXT = """
+    coalesce(event_id::VARCHAR, '-') || '|' || coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '-') || '|' || coalesce(user_id::VARCHAR, '-')
+    || '|' || coalesce(event_type, '-') || '|' || coalesce(value::DECIMAL(24, 6)::VARCHAR, '-')"""
+
+
+@query("dataset_fingerprint", "", f"""
+    SELECT count(*) AS n_rows, md5(coalesce(sum(('0x' || d[1:15])::BIGINT), 0)::VARCHAR || '|' || coalesce(sum(('0x' || d[16:30])::BIGINT), 0)::VARCHAR) AS fingerprint
+    FROM (SELECT md5({_PRINT_TEXT}) AS d FROM events)""")
 def dataset_fingerprint(spark, folder):
+    return R.multiset_digest(D.table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value"))
+
+
+@query("file_fingerprint")
+def file_fingerprint(spark, folder):
     files = R.file_fingerprint(D.table(spark, folder, "events")).select(
         F.lit("files").alias("kind"), F.col("n_files").alias("n"), "fingerprint")
     rows = R.content_fingerprint(D.table(spark, folder, "events")).select(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import SLOT_US, SLOTS_PER_DAY, floor_day, floor_hour, from_micros, micros
 from ..sources.readers import scan_site, time_range
+from .joins import SmallSide
 from .timeline import WEEK_US, add_position, drop_halo, halo_window, with_halo
 from .topk import top_per_group
 
@@ -14,6 +17,7 @@ from .topk import top_per_group
 HISTORY_COLUMNS = ("timestamp", "campus_id", "power", "is_daylight", "temperature", "humidity", "wind_speed")
 RESOLUTIONS = ("15min", "1h", "1D")
 MAX_HISTORY_ROWS = 50_000
+EPOCH = dt.datetime(1970, 1, 1)
 NOT_AVERAGED = {"timestamp", "is_daylight", "campus_id", "site_id"}
 
 
@@ -56,6 +60,20 @@ def tail_per_site(df: DataFrame, rows: int = 2 * SLOTS_PER_DAY, ts: str = "times
     return top_per_group(df, ["site_id"], [F.col(ts).desc()], rows, ["site_id", ts])
 
 
+def recent(df: DataFrame, span_us: int, ts: str = "timestamp") -> DataFrame:
+    """The rows of every site that are at most ``span_us`` older than its last one.
+
+    Two phases: the last time per site is aggregated first. The earliest of them bounds what the scan must give, and
+    the join with the (counted, expected small) table of last times comes before any shuffle of rows.
+    """
+    last = SmallSide.of(df.groupBy("site_id").agg(F.max(micros(ts)).alias("_last")))
+    first = last.table.agg(F.min("_last")).first()[0]
+    if first is None:
+        return df.limit(0)
+    bounded = df.where(F.col(ts) >= F.lit(EPOCH + dt.timedelta(microseconds=first - span_us)).cast("timestamp_ntz"))
+    return last.join(bounded, ["site_id"]).where(micros(ts) >= F.col("_last") - F.lit(span_us)).drop("_last")
+
+
 def head_per_group(df: DataFrame, keys: list[str], order: list[str], rows: int = 2) -> DataFrame:
     return top_per_group(df, keys, [F.col(c) for c in order], rows, order)
 

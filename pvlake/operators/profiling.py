@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions.clock import micros
 from ..functions.stats import pct_missing
+from ..session import cut_lineage
 from .cleaning import parsed_timestamp
 from .quantiles import exact_quantiles
-from .reshape import union_all
 from .timeline import WEEK_US, add_previous
 
 # fixed values: name patterns of column roles and units
@@ -29,6 +29,7 @@ UNIT_IN_NAME = (
 )
 MIN_PARSE_RATE = 0.9
 MAX_CATEGORIES = 50
+SKETCH_ERROR = 0.05
 MAX_ID_CANDIDATES = 500
 
 
@@ -108,23 +109,39 @@ def quick_profile(df: DataFrame, ts: str = "timestamp", group: str = "site_id")
     ).drop("_cadence")
 
 
-def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Exact distinct non-null values per column, one row per column."""
+def few_valued(df: DataFrame, limit: int, columns: list[str] | None = None) -> list[str]:
+    """The columns that may have at most ``limit`` distinct values: one scan of mergeable sketches.
+
+    A sketch only ever leaves out a column that it puts at twice the limit, twenty deviations off; all others are
+    counted exactly afterwards.
+    """
     columns = columns or df.columns
-    # a column at a time: each scan reads one column, and its values are combined before the shuffle
-    return union_all(*[df.select(F.col(c).alias("v")).where(F.col("v").isNotNull()).distinct().agg(F.count("v").alias("n_unique")).select(
-        F.lit(c).alias("column_name"), "n_unique") for c in columns]).where("n_unique > 0")
+    row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), SKETCH_ERROR).alias(str(i)) for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if row[str(i)] <= 2 * max(limit, 1) + 8]
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column_name, value, n`` of the given columns, null being a value: one scan, values combined before the shuffle."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n long")
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    return df.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Exact distinct non-null values per column, one row per column that has any: one scan of the given columns."""
+    found = value_counts(df, columns or df.columns).where(F.col("value").isNotNull())
+    return found.groupBy("column_name").agg(F.count("value").alias("n_unique"))
 
 
 def categorical_summary(df: DataFrame, limit: int = MAX_CATEGORIES) -> DataFrame:
     """Value counts of every column with at most ``limit`` distinct values; null is a value, but not counted as distinct.
 
-    Each column is counted on its own, values combined before the shuffle; only the exact count decides.
+    Only columns that a sketch can't rule out are counted, and the exact count decides.
     """
-    counts = union_all(*[df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(c).alias("column_name"), "value", "n") for c in df.columns])
+    counts = cut_lineage(value_counts(df, few_valued(df, limit)))
     unique = counts.groupBy("column_name").agg(F.count("value").alias("n_unique")).where(F.col("n_unique") <= limit)
-    return counts.join(unique, "column_name").select("column_name", "value", "n", "n_unique")
+    return counts.join(F.broadcast(unique), "column_name").select("column_name", "value", "n", "n_unique")  # a row per column
 
 
 def duplicate_summary(df: DataFrame, group: str, ts: str) -> DataFrame:
@@ -191,7 +208,9 @@ def id_candidates(df: DataFrame) -> DataFrame:
     A name match qualifies a column; others need at most 500 values and no fraction.
     """
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    unique = distinct_counts(df)
+    named_columns = [c for c in df.columns if re.search(SITE_NAME, c, re.I)]
+    few = few_valued(df, MAX_ID_CANDIDATES, [c for c in df.columns if c not in named_columns]) if len(named_columns) < len(df.columns) else []
+    unique = distinct_counts(df, [c for c in df.columns if c in (*named_columns, *few)])
     floats = [f.name for f in df.schema.fields if _is(f.dataType, T.DoubleType, T.FloatType)]
     name = F.col("column_name")
     named, suffixed = name.rlike(f"(?i){SITE_NAME}"), name.rlike(f"(?i){ID_SUFFIX}")

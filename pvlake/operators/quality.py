@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.clock import DAY_US, SLOT_US, from_micros, micros, month_key
 from ..functions.stats import histogram_bin, pct_missing
+from ..session import cut_lineage
 from .joins import join_small
 from .quantiles import exact_quantiles
 
@@ -200,7 +201,8 @@ def missingness_timeline(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 
 def quality_rollup(gen: DataFrame, weather: DataFrame, log: DataFrame) -> DataFrame:
-    """One card ``metric, value`` from the separate checks."""
+    """One card ``metric, value`` from the separate checks; generation is derived once and written for all of them."""
+    gen = cut_lineage(gen)
     gaps = gap_report(gen, "site_id")
     parts = [
         duplicate_keys(gen, ["site_id", "timestamp"], "site_id").select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import micros
+from ..session import cut_lineage
 from .joins import join_small
 from .timeline import WEEK_US, add_position, global_position
 
@@ -94,12 +95,16 @@ def split_info(df: DataFrame, ts: str = "timestamp") -> DataFrame:
         F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"))
 
 
-def site_bounds(df: DataFrame, key: str = "site_id", sites_per_bucket: int = 65_536) -> DataFrame:
-    """Contiguous [start, end) row spans of the sites in a table sorted by site and time."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "_bucket", F.floor(F.col(key) / F.lit(sites_per_bucket)))
-    blocks = sizes.groupBy("_bucket").agg(F.sum("n").alias("_bn")).select(
-        "_bucket", (F.sum("_bn").over(Window.orderBy("_bucket")) - F.col("_bn")).alias("_before"))
-    end = F.col("_before") + F.sum("n").over(Window.partitionBy("_bucket").orderBy(key))
-    return sizes.join(blocks, "_bucket").withColumn("end_row", end).select(
+def site_bounds(df: DataFrame, key: str = "site_id") -> DataFrame:
+    """Contiguous [start, end) row spans of the sites in a table sorted by site and time, the null site first.
+
+    Sites are dealt out by ranges of their rank, whatever their ids are like. Sums run inside a range, and over one
+    total per range, so no task sees more sites than its range.
+    """
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    placed = cut_lineage(sizes.repartitionByRange(F.col(key).asc_nulls_first()).withColumn("_part", F.spark_partition_id()))
+    parts = placed.groupBy("_part").agg(F.sum("n").alias("_total"))
+    before = parts.select("_part", (F.sum("_total").over(Window.orderBy("_part")) - F.col("_total")).alias("_before"))  # a row per range
+    end = F.col("_before") + F.sum("n").over(Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_first()))
+    return placed.join(F.broadcast(before), "_part").withColumn("end_row", end).select(
         key, (F.col("end_row") - F.col("n")).alias("start_row"), "end_row")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import floor_day
@@ -53,21 +53,29 @@ def campus_without_coordinates(df: DataFrame, coords: DataFrame) -> DataFrame:
 def score_zones(gen: DataFrame, coords: DataFrame, zones=ZONE_CANDIDATES, ts: str = "timestamp") -> DataFrame:
     """How well each candidate clock separates day output from night output.
 
-    All candidates are scored over all rows in one aggregate per candidate; the
-    best has the least generation at night, then the fewest unplaceable rows.
+    Generation is scanned once: readings are summed per campus and slot, each candidate's sun is placed on those sums side by
+    side, and one aggregate scores them all. The best has the least generation at night, then the fewest unplaceable rows.
     """
-    scored = None
-    for zone in zones:
-        tagged = add_solar_position(gen, coords, zone, ts)
-        night = ~F.col("is_daylight")
-        one = tagged.agg(
-            F.coalesce(F.avg(F.when(F.col("is_daylight"), F.col("power"))), F.lit(0.0)).alias("day_mean_power"),
-            F.coalesce(F.avg(F.when(night, F.col("power"))), F.lit(0.0)).alias("night_mean_power"),
-            F.avg(F.when(night, F.coalesce((F.col("power") > 0).cast("double"), F.lit(0.0)))).alias("night_nonzero_fraction"),
-            F.count_if(F.col("solar_elevation_deg").isNull()).alias("unplaced_rows"),
-        ).select(F.lit(zone).alias("zone"), "*")
-        scored = one if scored is None else scored.unionByName(one)
-    return scored.withColumn(
+    cells = gen.groupBy("campus_id", ts).agg(
+        F.sum("power").alias("_sum"), F.count("power").alias("_n"), F.count_if(F.col("power") > 0).alias("_positive"), F.count(F.lit(1)).alias("_rows"))
+    placed = join_small(cells, coords.select("campus_id", "latitude", "longitude"), ["campus_id"], "left")
+    for i, zone in enumerate(zones):
+        held = placed.columns
+        placed = add_sun_local(placed, ts, "latitude", "longitude", zone).select(*held, F.col("solar_elevation_deg").alias(f"_sun{i}"))
+    aggregates = []
+    for i in range(len(zones)):
+        day = daylight(f"_sun{i}")
+        aggregates += [F.sum(F.when(lit, F.col(c))).alias(f"{name}{i}") for lit, side in ((day, "day"), (~day, "night")) for c, name in (
+            ("_sum", f"{side}_sum"), ("_n", f"{side}_n"), ("_positive", f"{side}_positive"), ("_rows", f"{side}_rows"))]
+        aggregates.append(F.coalesce(F.sum(F.when(F.col(f"_sun{i}").isNull(), F.col("_rows"))), F.lit(0)).alias(f"unplaced{i}"))
+
+    def mean(side: str, i: int) -> Column:
+        return F.coalesce(F.try_divide(F.col(f"{side}_sum{i}"), F.col(f"{side}_n{i}")), F.lit(0.0))
+
+    scores = [F.struct(F.lit(zone).alias("zone"), mean("day", i).alias("day_mean_power"), mean("night", i).alias("night_mean_power"),
+                       F.try_divide(F.col(f"night_positive{i}").cast("double"), F.col(f"night_rows{i}")).alias("night_nonzero_fraction"),
+                       F.col(f"unplaced{i}").alias("unplaced_rows")) for i, zone in enumerate(zones)]
+    return placed.agg(*aggregates).select(F.inline(F.array(*scores))).withColumn(
         "contrast_ratio",
         F.when(F.col("night_mean_power") > 0, F.col("day_mean_power") / F.col("night_mean_power")))
 

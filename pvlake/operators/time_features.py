@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clock import SLOT_US, micros
+from ..functions.clock import SLOT_US, from_micros, micros
 from ..functions.stats import let
-from .joins import join_small, null_safe_join
+from .joins import SmallSide, null_safe_join
 from .timeline import WEEK_US, drop_halo, halo_window, with_halo
 
 # fixed values: look-back steps (15 minutes each), windows in seconds, statistics
@@ -127,8 +127,6 @@ def add_rolling(df: DataFrame, seconds=ROLLING_SECONDS, stats=ROLLING_STATS, **o
 def lag_by_join(df: DataFrame, history: DataFrame, delta_us: int, name: str, *, key: str = "site_id",
                 ts: str = "timestamp", value: str = "power") -> DataFrame:
     """Exact look-up of another series at ``t - delta``: for histories that are not ``df`` itself."""
-    from ..functions.clock import from_micros
-
     shifted = history.select(key, from_micros(micros(ts) + F.lit(delta_us)).alias(ts), F.col(value).alias(name))
     return df.join(shifted, [key, ts], "left")
 
@@ -137,15 +135,17 @@ def lookback_at(history: DataFrame, targets: DataFrame, *, key: str = "site_id",
                 value: str = "power", lag_steps=LAG_STEPS, rolling_seconds=ROLLING_SECONDS) -> DataFrame:
     """The same features for one new row per site, from its last day of history.
 
-    ``targets`` holds at most one row per site. The join is on the site and the
-    history is cut to the look-back first; everything then is one aggregate with
+    ``targets`` holds at most one row per site. The earliest of them bounds what the scan of the history gives, the
+    join is on the site and cuts to the look-back; everything then is one aggregate with
     map-side combine, so no site is gathered anywhere.
     """
     deepest = max([s * SLOT_US for s in lag_steps] + [w * 1_000_000 for w in rolling_seconds])
-    wanted = targets.select(key, micros(ts).alias("_t"))
+    wanted = SmallSide.of(targets.select(key, micros(ts).alias("_t")))
+    first = wanted.table.agg(F.min("_t")).first()[0]
+    bounded = history if first is None else history.where(F.col(ts) >= from_micros(F.lit(first - deepest)))
     past = (
-        history.select(key, micros(ts).alias("_us"), F.col(value).alias("_v"))
-        .transform(join_small, wanted, [key])
+        bounded.select(key, micros(ts).alias("_us"), F.col(value).alias("_v"))
+        .transform(wanted.join, [key])
         .withColumn("_age", F.col("_t") - F.col("_us"))
         .where((F.col("_age") > 0) & (F.col("_age") <= deepest))
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.clock import shift
@@ -52,8 +53,18 @@ def scan_site(df: DataFrame, site_id: int) -> DataFrame:
 
 def time_range(df: DataFrame, start: str | None = None, end: str | None = None,
                ts: str = "timestamp") -> DataFrame:
-    """Inclusive range pushed to the scan; an end without a time of day means its whole day."""
+    """Inclusive range pushed to the scan; an end without a time of day means its whole day.
+
+    On a table that has the months of its rows as columns ``year`` and ``month``, the months follow from the range: where
+    they are directories, only those are read.
+    """
     out = df
+    if {"year", "month"} <= set(df.columns):
+        for bound, sign in ((start, 1), (end, -1)):
+            if bound is not None:
+                year, month = (int(x) for x in bound.strip()[:7].split("-"))
+                # the months of a part of the range as one number: a filter on directories alone
+                out = out.where((F.col("year") * 12 + F.col("month") - (year * 12 + month)) * sign >= 0)
     if start is not None:
         out = out.where(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
@@ -118,6 +129,23 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     ).select("n_rows", F.substring("_digest", 1, 16).alias("fingerprint"))
 
 
+def multiset_digest(df: DataFrame) -> DataFrame:
+    """Order-free digest of the rows that any engine can state: of each row's MD5 two parts of 60 bits are summed up.
+
+    A row's text is its values parted by ``|``, null as ``-``, numbers with a fraction at six places. Sums tell
+    repeated rows apart, need no order, and are combined before the shuffle.
+    """
+    def text(f: T.StructField) -> Column:
+        value = F.col(f"`{f.name}`")
+        plain = value.cast("decimal(24,6)") if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS") if isinstance(
+            f.dataType, (T.TimestampNTZType, T.TimestampType)) else value
+        return F.coalesce(plain.cast("string"), F.lit("-"))
+
+    digest = F.md5(F.concat_ws("|", *[text(f) for f in df.schema.fields]).cast("binary"))
+    parts = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 16)]
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.md5(F.concat_ws("|", *[F.coalesce(p, F.lit(0)).cast("string") for p in parts])).alias("fingerprint"))
+
+
 def verify_columns(df: DataFrame, name: str, required: list[str]) -> DataFrame:
     """One row per table: row count, missing header names, verdict and its reason."""
     missing = [c for c in required if c not in df.columns]
