@@ -52,19 +52,65 @@ def test_pii_equals_brute_force(spark):
     assert {"n_words", "lang"} <= set(found.columns)
 
 
+def iban(rng):
+    body = "".join(rng.choice("0123456789") for _ in range(18))
+    check = 98 - int(body + "131400") % 97  # D is 13, E is 14
+    text = f"DE{check:02d}{body}"
+    return " ".join(text[i:i + 4] for i in range(0, 22, 4)) if rng.random() < 0.5 else text
+
+
+def ipv6(rng):
+    groups = [f"{rng.randint(0, 65535):x}" for _ in range(8)]
+    return ":".join(groups) if rng.random() < 0.5 else ":".join(groups[:3]) + "::" + ":".join(groups[6:])
+
+
+def planted(rng):
+    """Texts by kind, a hundred or more of each."""
+    words = ["river", "morning", "the", "of", "stone", "garden", "near", "walked"]
+    def around(x):
+        return " ".join(rng.choice(words) for _ in range(rng.randint(3, 25))) + f" {x} " + " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = {
+        "base": lambda: rng.choice([f"{name()}@{name()}.org", f"+49 30 {number(3)}-{number(4)}", "4111-1111-1111-1111", f"10.{rng.randint(0, 255)}.0.7"]),
+        "iban": lambda: iban(rng), "ipv6": lambda: ipv6(rng),
+        "address": lambda: rng.choice([f"{name()} (at) {name()} (dot) com", f"{name()}[at]{name()}.org", f"{name()} at {name()} dot net"]),
+        "national": lambda: rng.choice([f"(0{number(3)}) {number(3)}-{number(4)}", f"0{number(2)}-{number(3)} {number(4)}"]),
+        "order": lambda: rng.choice(["order ", "invoice no. ", "ticket #"]) + rng.choice([number(10), f"{number(4)}-{number(6)}"]),
+        "date": lambda: rng.choice([f"20{number(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"{number(5)}.{number(3)}", "look at home. Then go"]),
+        "none": lambda: ""}
+    return [(kind, around(make())) for kind, make in made.items() for _ in range(150)]
+
+
 def test_pii_adds_what_looks_like_personal_data(spark):
-    # separators are what parts personal numbers from others here; neither a plus nor a valid check digit does
-    docs = [(i, "x " * i + f"call +1 ({i % 900 + 100}) 555-{i % 9000 + 1000} or pay 4111-1111-1111-1111 now") for i in range(60)]
-    docs += [(100 + i, "x " * i + f"see order 12{i:05d} and sum +12{i:018d} exactly") for i in range(60)]
-    docs += [(500, "or 1 (017) 555-7713")]
-    found = {r["doc_id"]: r for r in pii.find_pii(frame(spark, docs), precision=0.9).collect()}
-    assert [(s["kind"], s["start"], s["end"]) for s in found[500]["spans"]] == [("number", 3, 19)]
-    for r in found.values():
-        assert list(r["spans"][:len(r["base"])]) == list(r["base"])  # base spans stay, and nothing overlaps them
-        assert all(s["end"] <= b["start"] or b["end"] <= s["start"] for s in r["spans"][len(r["base"]):] for b in r["base"])
-    assert sum(len(found[100 + i]["spans"]) for i in range(60)) == 0
+    texts = planted(random.Random(6))
+    docs = [(i, t) for i, (_, t) in enumerate(texts)]
+    found = {r["doc_id"]: r for r in pii.find_pii(frame(spark, docs)).collect()}  # at production parameters
+    extra = {}
+    for i, (kind, _) in enumerate(texts):
+        r = found[i]
+        base, more = r["base"], [s for s in r["spans"] if s not in r["base"]]
+        assert list(r["spans"][:len(base)]) == list(base)  # base spans stay, and nothing overlaps them
+        assert all(s["end"] <= b["start"] or b["end"] <= s["start"] for s in more for b in base)
+        extra.setdefault(kind, []).append(bool(more or base) if kind == "base" else bool(more))
+    for kind in ("base", "iban", "ipv6", "address", "national"):
+        assert sum(extra[kind]) >= 0.9 * len(extra[kind]), (kind, sum(extra[kind]))
+    for kind in ("order", "date", "none"):
+        assert not any(extra[kind]), kind
+
+
+def test_pii_redacts(spark):
+    docs = [(i, f"call +1 ({i + 100}) 555-{i + 1000} or pay 4111-1111-1111-1111 now") for i in range(5)]
     text = pii.redact(pii.find_pii(frame(spark, docs))).where("doc_id = 3").first()["text"]
-    assert text == "x x x call [PHONE] or pay [CARD] now"
+    assert text == "call [PHONE] or pay [CARD] now"
+
+
+def test_iban_check(spark):
+    rng = random.Random(3)
+    good = [iban(rng) for _ in range(50)]
+    rows = [(g, True) for g in good] + [(g[:-1] + str((int(g[-1]) + 1) % 10), False) for g in good] + [("GB82 WEST 1234 5698 7654 32", True)]
+    got = spark.createDataFrame(rows, "v string, ok boolean").select("ok", pii.iban_check(F.col("v")).alias("found"))
+    assert got.where("ok <> found").count() == 0
 
 
 def test_pii_of_nothing(spark):
