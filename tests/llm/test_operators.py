@@ -346,6 +346,41 @@ def test_url_rules(spark):
     assert urls.judge_urls(df.limit(0), RULES).count() == 0
 
 
+def test_urls_within_a_domain_are_judged_by_path(spark):
+    """Rules label one path of .com as block and one of .org as allow; the rest of both domains is judged by what paths are like elsewhere."""
+    rng = random.Random(5)
+    url = lambda tld, lead: f"https://h{rng.randint(0, 40)}.example.{tld}/{lead}/{rng.randint(1, 9999)}"
+    rows = [(url(tld, lead), tld, lead) for tld in ("com", "net", "org") for lead in ("en", "de", "fr", "es") for _ in range(150)]
+    rows += [(f"https://new{i}.example.com/{lead}/{i}", "com", lead) for i, lead in enumerate(["en", "es"] * 20)]  # hosts that no label is of
+    out = urls.judge_urls(spark.createDataFrame(rows, "url string, tld string, lead string"), RULES).where("rule is null")
+    found = {(r["tld"], r["lead"], r["verdict"]): r["n"] for r in out.groupBy("tld", "lead", "verdict").agg(F.count("*").alias("n")).collect()}
+    for tld in ("com", "org"):
+        assert {v for t, _, v in found if t == tld} == {"allow", "block"}
+    assert found["com", "en", "allow"] >= 160 and found["com", "es", "block"] >= 160 and found["org", "de", "block"] >= 140
+
+
+def test_host_path_and_rule_equal_brute_force(spark):
+    rng = random.Random(8)
+    pieces = ["http://", "x", "a.", "NET", ".org", "example.net", "Example.COM", "/", "/en/", "/de/", "/fr/x", "?", "#", "://", "é", "", "?q=://b.net/"]
+    rows = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 6))) for _ in range(600)] + [None]
+
+    def brute_rule(url):
+        if url is None or "://" not in url:
+            return "", "", None
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, tail = rest[:cut].translate(brute.ASCII), rest[cut:]
+        path = tail[:min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
+        fits = [n + p for n, p, _ in RULES if (host == n or host.endswith("." + n)) and path.startswith(p)]
+        return host, path, max(fits, key=len, default=None)
+
+    got = urls.judge_urls(spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string"), RULES).collect()
+    for r in got:
+        host, path, rule = brute_rule(rows[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert rule is None or r["verdict"] == {n + p: v for n, p, v in RULES}[rule]
+
+
 def test_op2_reads_back_the_planted_chat(spark, tmp_path):
     spark.createDataFrame([(5, 0, "user", "hi"), (5, 1, "assistant", "yo")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: r for r in op2(spark, str(tmp_path)).collect()}
