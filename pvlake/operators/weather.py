@@ -101,12 +101,15 @@ def filled_counts(before: DataFrame, after: DataFrame, columns: list[str], *, ke
 
 
 def join_weather(rows: DataFrame, weather: DataFrame, keys=("campus_id", "timestamp"), salts: int = 1) -> DataFrame:
-    """Campus weather onto every site row; weather keys must be unique so rows never multiply.
+    """Campus weather onto every site row. A repeated weather key fails at once, so rows never multiply.
 
     The key is (campus, slot), so even a campus with a third of all sites is spread
     over as many tasks as there are slots; a slot holds one row per site of a
     campus. ``salts`` > 1 splits such a slot further when a campus is very wide.
     """
+    same = F.count(F.lit(1)).over(Window.partitionBy(*keys))  # dealt and sorted like the join
+    repeated = F.when(same > 1, F.raise_error(F.lit("weather has two rows for one place and time"))).cast("int")
+    weather = weather.withColumn("_repeated", repeated).where(F.col("_repeated").isNull()).drop("_repeated")
     if salts <= 1:
         return rows.join(weather, list(keys), "left")
     left = rows.withColumn("_salt", F.pmod(F.xxhash64("site_id"), F.lit(salts)))

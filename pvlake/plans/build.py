@@ -9,6 +9,7 @@ from .. import schema as S
 from ..functions.calendar import add_calendar, add_wind
 from ..functions.solar import DEFAULT_ZONE
 from ..operators import cleaning, sun
+from ..operators.joins import null_safe_join
 from ..operators.time_features import add_time_features
 from ..operators.weather import interpolate_short_gaps, join_weather
 from ..session import cut_lineage
@@ -26,14 +27,16 @@ def build_processed(generation: DataFrame, weather: DataFrame, sites: DataFrame,
     """Clean generation with sun position, daylight and gap-filled campus weather.
 
     Weather is filled at its own, much smaller grain before the join, so the limit
-    counts time steps whatever the number of sites of a campus.
+    counts time steps whatever the number of sites of a campus. The sun is placed at that grain too, once per campus
+    and slot, and reaches the site rows in the same join.
     """
     gen = clean_table(generation, ["power"], ["site_id", "campus_id"])
     variables = [c for c in S.CARRIED_WEATHER if c in weather.columns]
     wx = clean_table(weather, variables, ["campus_id"])
     wx = interpolate_short_gaps(wx.where(F.col("timestamp").isNotNull()))
-    placed = sun.add_solar_position(gen, sun.campus_coordinates(sites), zone)
-    return add_partition_columns(join_weather(placed, wx))
+    gen = cut_lineage(gen)  # read for the slots of each campus and for the rows
+    grid = sun.add_solar_position(gen.select("campus_id", "timestamp").distinct(), sun.campus_coordinates(sites), zone)
+    return add_partition_columns(null_safe_join(gen, join_weather(grid, wx), ["campus_id", "timestamp"], "left"))
 
 
 def build_features(processed: DataFrame, coords: DataFrame | None = None, zone: str = DEFAULT_ZONE, **options) -> DataFrame:

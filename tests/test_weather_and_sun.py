@@ -99,3 +99,12 @@ def test_micros_round_trip_before_and_after_epoch(spark):
     rows = df.withColumn("back", K.from_micros("us")).collect()
     assert [r["back"] for r in rows] == times
     assert rows[0]["us"] == -1
+
+
+def test_repeated_weather_fails_at_once(spark):
+    rows = spark.createDataFrame([(1, 1, at(0))], "site_id long, campus_id long, timestamp timestamp_ntz")
+    wx = spark.createDataFrame([(1, at(0), 20.0), (1, at(0), 21.0), (2, at(0), 5.0)], "campus_id long, timestamp timestamp_ntz, temperature double")
+    assert join_weather(rows, wx.where("temperature < 21")).count() == 1
+    for salts in (1, 3):
+        with pytest.raises(Exception, match="two rows for one place and time"):
+            join_weather(rows, wx, salts=salts).collect()
