@@ -17,11 +17,12 @@ MIN_WORDS = 50
 VECTOR = {"_llm_x0": 0.05, "_llm_x1": 0.03, "_llm_x2": 0.12, "_llm_x3": 0.12}
 P = len(VECTOR)
 CORE = 0.75  # share of a group's rows that the determinant is minimised over
-STEPS = 5  # concentration steps; each lowers the determinant
+MAX_STEPS = 12  # concentration steps at most; each lowers the determinant
+SETTLED = 1e-3  # fall of the determinant's logarithm that is none
 #: Added to the number of characters, lines and words that shares are taken of: a few counts in a short text are chance, in a long one they are not.
 CHANCE = {"chars": 100, "lines": 8, "words": 20}
 TAIL = 1e-4  # share of normal vectors beyond the cutoff
-MIN_GROUP = 50  # groups with fewer rows are judged together
+PRIOR = 50  # rows that a larger group counts in the estimate of a smaller one
 LEVELS = 500  # distance bins per unit of ln(1 + d^2)
 
 
@@ -86,8 +87,9 @@ def measure(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_llm_words", "_llm_lines")
 
 
-def _grouped(measured: DataFrame, keys: list[str]) -> DataFrame:
-    return measured.withColumn("_llm_group", F.to_json(F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"k{i}") for i, k in enumerate(keys)])))
+def _group(keys: list[str]) -> Column:
+    """The group of a row under some of the keys, those left out standing for all their values; null is a value."""
+    return F.to_json(F.struct(F.lit(len(keys)).alias("level"), *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"k{i}") for i, k in enumerate(keys)]))
 
 
 def _distance() -> Column:
@@ -101,17 +103,29 @@ def _distance() -> Column:
     return F.round(sum((v * v for v in z), F.lit(0.0)), 6)
 
 
-def _factor(df: DataFrame, mean: list[Column], cov: list[list[Column]]) -> DataFrame:
-    """Means and Cholesky factor as columns, one row per group."""
-    out = df.select("_llm_group", *[m.alias(f"_llm_m{i}") for i, m in enumerate(mean)],
-                    *[cov[i][j].alias(f"_llm_c{i}{j}") for i in range(P) for j in range(i + 1)])
+MOMENTS = [f"_llm_m{i}" for i in range(P)] + [f"_llm_c{i}{j}" for i in range(P) for j in range(i + 1)]
+
+
+def _moments(df: DataFrame, mean: list[Column], cov: list[list[Column]], *more: str) -> DataFrame:
+    """Means and covariances as columns, one row per group, written."""
+    return cut_lineage(df.select("_llm_group", *more, *[m.alias(f"_llm_m{i}") for i, m in enumerate(mean)],
+                                 *[cov[i][j].alias(f"_llm_c{i}{j}") for i in range(P) for j in range(i + 1)]))
+
+
+def _factor(moments: DataFrame) -> DataFrame:
+    """Means and Cholesky factor, one row per group."""
+    out = moments
     for i in range(P):
         for j in range(i + 1):
             value = F.col(f"_llm_c{i}{j}")
             for k in range(j):
                 value = value - F.col(f"_llm_l{i}{k}") * F.col(f"_llm_l{j}{k}")
             out = out.withColumn(f"_llm_l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"_llm_l{j}{j}"))
-    return cut_lineage(out.select("_llm_group", *[f"_llm_m{i}" for i in range(P)], *[f"_llm_l{i}{j}" for i in range(P) for j in range(i + 1)]))
+    return out.select("_llm_group", *[f"_llm_m{i}" for i in range(P)], *[f"_llm_l{i}{j}" for i in range(P) for j in range(i + 1)])
+
+
+def _log_determinants(factor: DataFrame) -> DataFrame:
+    return factor.select("_llm_group", F.round(sum((F.ln(f"_llm_l{i}{i}") for i in range(P)), F.lit(0.0)) * 2, 9).alias("_llm_det"))
 
 
 def _start(vectors: DataFrame) -> DataFrame:
@@ -132,11 +146,11 @@ def _start(vectors: DataFrame) -> DataFrame:
     spread = medians(stacked(apart, [F.abs(F.col(x) - F.col(f"q{i}")) for i, x in enumerate(VECTOR)]))
     both = middle.join(spread.select("_llm_group", *[F.col(f"q{i}").alias(f"s{i}") for i in range(P)]), "_llm_group")
     cov = [[F.greatest(1.4826 * F.col(f"s{i}"), F.lit(f)) ** 2 if i == j else F.lit(0.0) for j in range(P)] for i, f in enumerate(VECTOR.values())]
-    return _factor(both, [F.col(f"q{i}") for i in range(P)], cov)
+    return _moments(both.withColumn("_llm_n", F.lit(0).cast("long")), [F.col(f"q{i}") for i in range(P)], cov, "_llm_n")
 
 
 def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of each group's closest ``CORE`` of rows.
+    """One concentration step: mean and covariance of each group's closest ``CORE`` of rows under a factor, and the group's size.
 
     Moments are summed per group and distance bin, so the bound and the moments below it come from the
     same pass, combined before the shuffle; a group is some thousand bins however many rows it has.
@@ -153,34 +167,65 @@ def _concentrate(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
     mean = [F.col(f"s{i}") / F.col("n") for i in range(P)]
     floors = list(VECTOR.values())
     cov = [[(F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j]) * CONSISTENT + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0)) for j in range(i + 1)] for i in range(P)]
-    return _factor(best, mean, cov)
+    return _moments(best.withColumnRenamed("all", "_llm_n"), mean, cov, "_llm_n")
+
+
+def _shrunk(moments: DataFrame, levels: int) -> DataFrame:
+    """Each group's moments drawn toward those of its larger group, by how many rows it has: the smaller, the more.
+
+    A group of n rows counts n, its larger group, itself drawn toward the next, ``PRIOR`` rows. One formula for groups of any size.
+    """
+    done = moments.where(F.col("_llm_level") == 0)
+    parents = done
+    for level in range(1, levels + 1):
+        above = parents.select(F.col("_llm_group").alias("_llm_above"), *[F.col(c).alias(f"up_{c}") for c in MOMENTS])
+        pair = moments.where(F.col("_llm_level") == level).join(broadcast_if_small(above), "_llm_above")
+        w = F.col("_llm_n") / (F.col("_llm_n") + PRIOR)
+        mixed = {f"_llm_m{i}": w * F.col(f"_llm_m{i}") + (1 - w) * F.col(f"up__llm_m{i}") for i in range(P)}
+        apart = [F.col(f"_llm_m{i}") - F.col(f"up__llm_m{i}") for i in range(P)]
+        mixed |= {f"_llm_c{i}{j}": w * F.col(f"_llm_c{i}{j}") + (1 - w) * F.col(f"up__llm_c{i}{j}") + w * (1 - w) * apart[i] * apart[j] for i in range(P) for j in range(i + 1)}
+        parents = cut_lineage(pair.select("_llm_group", "_llm_above", "_llm_level", "_llm_n", *[c.alias(n) for n, c in mixed.items()]))
+        done = done.unionByName(parents, allowMissingColumns=True)
+    return done
 
 
 def fit(measured: DataFrame, keys: list[str]) -> DataFrame:
     """Minimum-covariance-determinant estimates per group of ``keys``: one row each, written once.
 
-    Fitted on all rows that pass the base rules, by concentration steps from medians and median
-    deviations. Groups below ``MIN_GROUP`` rows share one estimate, under the group ``*``. A floor is
-    added to each variance, so a statistic that is the same in nearly all rows gives no false alarm.
+    Fitted on all rows that pass the base rules, by concentration steps from medians and median deviations, until no
+    group's determinant falls any more (``MAX_STEPS`` at most). The same is done for the larger groups of the first
+    keys only and for all rows, and each group is drawn toward its larger one by its number of rows, see
+    :func:`_shrunk`. A floor is added to each variance, so a statistic that is the same in nearly all rows gives no
+    false alarm.
     """
-    vectors = _grouped(measured.where(~F.col("base_failed")), keys).select("_llm_group", *VECTOR)
-    sizes = vectors.groupBy("_llm_group").agg(F.count("*").alias("_llm_n"))
-    large = cut_lineage(sizes.where(F.col("_llm_n") >= MIN_GROUP).select("_llm_group", F.lit(True).alias("_llm_own")))
-    vectors = cut_lineage(vectors.join(broadcast_if_small(large), "_llm_group", "left").select(
-        F.when(F.col("_llm_own"), F.col("_llm_group")).otherwise("*").alias("_llm_group"), *VECTOR))
-    estimate = _start(vectors)
-    for _ in range(STEPS):
-        estimate = _concentrate(vectors, estimate)
-    return estimate
+    levels = [keys[:n] for n in range(len(keys) + 1)]
+    named = F.array(*[F.struct(_group(some).alias("_llm_group"), _group(some[:-1]).alias("_llm_above"), F.lit(n).alias("_llm_level")) for n, some in enumerate(levels)])
+    every = measured.where(~F.col("base_failed")).select(*keys, *VECTOR)
+    vectors = cut_lineage(every.select(*VECTOR, F.inline(named)))
+    groups = cut_lineage(vectors.select("_llm_group", "_llm_above", "_llm_level").distinct())
+    narrow = vectors.select("_llm_group", *VECTOR)
+    factor = cut_lineage(_factor(_start(narrow)))
+    moments, before = None, None
+    for _ in range(MAX_STEPS):
+        moments = _concentrate(narrow, factor)
+        factor = cut_lineage(_factor(moments))
+        now = _log_determinants(factor)
+        falls = before is None or now.join(before.withColumnRenamed("_llm_det", "_llm_was"), "_llm_group").where(
+            F.col("_llm_det") < F.col("_llm_was") - SETTLED).limit(1).count()
+        if not falls:
+            break
+        before = now
+    return cut_lineage(_factor(_shrunk(moments.join(broadcast_if_small(groups), "_llm_group"), len(keys))))
 
 
 def judge(measured: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``distance`` (squared, null for rows that fail the base rules) and ``kept``."""
+    """Adds ``distance`` (squared, null for rows that fail the base rules) and ``kept``.
+
+    A group without an estimate is judged by that of all rows; without any, nothing is known against a row.
+    """
     packed = [c for c in estimate.columns if c != "_llm_group"]
-    own = _grouped(measured, keys).join(broadcast_if_small(estimate.where("_llm_group <> '*'")), "_llm_group", "left")
-    # the shared estimate is one row at most; without it and without an own one nothing is known against a row
-    shared = estimate.where("_llm_group = '*'").first()
-    rest = {c: F.coalesce(F.col(c), F.lit(shared[c] if shared else None).cast("double")) for c in packed}
+    own = measured.withColumn("_llm_group", _group(keys)).join(broadcast_if_small(estimate), "_llm_group", "left")
+    whole = estimate.where(F.col("_llm_group") == _group([])).first()  # one row at most
+    rest = {c: F.coalesce(F.col(c), F.lit(whole[c] if whole else None).cast("double")) for c in packed}
     known = own.withColumns(rest).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return known.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))).drop("_llm_group", *packed, *VECTOR)
-
