@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, cut_lineage
 from .text import BLANK, ascii_lower, text_of, without
 
 NO_ID = -(2**63)  # stands for a null id while counting and joining
@@ -29,7 +30,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     ``n_dropped``; the text is replaced by its other lines.
 
     Only hashes are shuffled to count. The distinct count goes over (hash, document) first, so a line
-    that most documents share is spread over all tasks, and the join back is one that adaptive
+    that most documents share is spread over all tasks. The lines to drop are written before the join back: up to a
+    counted size they are broadcast, beyond it the join has exchanges of its own that adaptive
     execution can split. Texts are shuffled once, to meet the positions to drop.
 
     A null or empty text is one empty line. A null id counts as one document, below all others. Rows
@@ -39,8 +41,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     keyed = without(docs, "n_lines", "n_dropped").withColumns({
         "_llm_doc": F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), "_llm_row": F.xxhash64(text_of(text_column)), "_llm_text": text_of(text_column)})
     lines = _long_lines(keyed, min_chars)
-    common = lines.groupBy("_llm_h1", "_llm_h2").agg(
-        F.count_distinct("_llm_doc").alias("_llm_docs"), F.max("_llm_doc").alias("_llm_keep")).where(F.col("_llm_docs") >= min_docs)
+    common = broadcast_if_small(cut_lineage(lines.groupBy("_llm_h1", "_llm_h2").agg(
+        F.count_distinct("_llm_doc").alias("_llm_docs"), F.max("_llm_doc").alias("_llm_keep")).where(F.col("_llm_docs") >= min_docs).drop("_llm_docs")))
     drops = (
         lines.join(common, ["_llm_h1", "_llm_h2"]).where(F.col("_llm_doc") != F.col("_llm_keep"))
         .groupBy("_llm_doc", "_llm_row").agg(F.collect_set("_llm_pos").alias("_llm_drop"))

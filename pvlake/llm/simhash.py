@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 from .components import connected_components
 from .text import ascii_lower, bounded_batches, text_of, without, words
 
@@ -107,9 +107,12 @@ def near_links(distinct: DataFrame, distance: int = 3, group_limit: int = GROUP_
         return pd.DataFrame(_linked(group["fingerprint"].to_numpy(), distance), columns=["a", "b"])
 
     keys = _block_keys(distinct, 2 * distance, distance)
-    sizes = keys.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # written first, so that the join is not dealt like the count and a large block can be split
+    sizes = broadcast_if_small(cut_lineage(keys.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")))
     met = cut_lineage(keys.join(sizes, ["choice", "key"]))
-    usual = met.where(F.col("n") <= group_limit).groupBy("choice", "key").applyInPandas(link, links_of)
+    # a given number of tasks: blocks are small in bytes, but costly to compare
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = met.where(F.col("n") <= group_limit).repartition(tasks, "choice", "key").groupBy("choice", "key").applyInPandas(link, links_of)
     crowded = met.where(F.col("n") > group_limit).select("fingerprint").distinct()
     fine = _block_keys(crowded, 16, distance).groupBy("choice", "key").applyInPandas(link, links_of)
     return usual.unionByName(fine)
