@@ -102,8 +102,25 @@ def test_pipeline(spark, tmp_path):
     assert tuple(total) == tuple(seen["packing"].agg(F.sum("length"), F.count_distinct("doc_id")).first())
 
 
+def test_stages_keep_columns_that_share_a_name_with_their_own(spark, tmp_path):
+    rng = random.Random(3)
+    docs = [(i, prose(rng, 80), "en", None, 5, f"k{i}", f"w{i}", f"l{i}", f"c{i}", f"d{i}", i) for i in range(40)] + [(50, None, None, None, None, "", "", "", "", "", 0)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words string, n_lines string, _copy string, distance string, _llm_row long"
+    frame = spark.createDataFrame(docs, names)
+    spark.createDataFrame([(1, prose(rng, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {d[0]: tuple(d[5:]) for d in docs[:40]}
+    for part, expected in ((frame, want), (frame.limit(0), {})):
+        held = part
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            stage(spark, held, str(tmp_path)).write.parquet(f"{tmp_path}/{len(expected)}-{i}")
+            held = spark.read.parquet(f"{tmp_path}/{len(expected)}-{i}")
+            assert held.columns == frame.columns
+            assert {r["doc_id"]: tuple(r)[5:] for r in held.collect()} == expected, name
+        assert corpus_pipeline.pack(spark, held, str(tmp_path)).select("doc_id").distinct().count() == len(expected)
+
+
 def test_every_operator_has_one_query():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
 
 
 def test_small_side_and_bounded_sample(spark):
