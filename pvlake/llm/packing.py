@@ -19,27 +19,22 @@ from .text import bounded_batches
 WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 4_000_000  # tokens held before a shard is packed
-TRIPLE_BASE = 48  # most frequent lengths that start combinations of three
+UNITS = 128  # steps in which lengths are counted for the combinations, to a window
 CACHED_WORDS = 1_000_000  # distinct words whose ids a task remembers
 SWEEPS = 200
 
 
-def combinations(lengths: np.ndarray, counts: np.ndarray, window: int) -> list[tuple[int, ...]]:
-    """Shallow combinations of present lengths that fill ``window`` exactly: one, two or three pieces."""
-    have = dict(zip(lengths.tolist(), counts.tolist()))
-    found = {(n,) for n in have if n == window}
-    found |= {(a, window - a) for a in have if 2 * a <= window and window - a in have}
-    often = sorted(sorted(have, key=lambda n: (-have[n], n))[:TRIPLE_BASE])
-    for i, a in enumerate(often):
-        for b in often[i:]:
-            c = window - a - b
-            if c in have and c > 0:
-                found.add(tuple(sorted((a, b, c))))
+def combinations(sizes: list[int], whole: int) -> list[tuple[int, ...]]:
+    """Shallow combinations of present sizes that fill ``whole`` exactly: one, two or three pieces."""
+    have = set(sizes)
+    found = {(n,) for n in have if n == whole} | {(a, whole - a) for a in have if 2 * a <= whole and whole - a in have}
+    for a in have:
+        found |= {tuple(sorted((a, b, whole - a - b))) for b in have if b >= a and whole - a - b >= b and whole - a - b in have}
     return sorted(found)
 
 
 def solve_counts(shapes: list[tuple[int, ...]], lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How often to use each combination: non-negative least squares against the histogram, rounded down to what is there.
+    """How often to use each combination: non-negative least squares against the histogram, rounded to what is there.
 
     Minimises ||A x - counts|| over x >= 0 by projected gradient steps; A holds how many pieces of each
     length a combination takes and is kept as (length, combination) pairs.
@@ -60,7 +55,7 @@ def solve_counts(shapes: list[tuple[int, ...]], lengths: np.ndarray, counts: np.
         nxt = (1 + (1 + 4 * last * last) ** 0.5) / 2
         momentum = moved + (last - 1) / nxt * (moved - x)
         x, last = moved, nxt
-    whole, left = np.floor(x + 1e-6).astype(np.int64), counts.copy()
+    whole, left = np.floor(x + 0.5).astype(np.int64), counts.copy()
     for j in np.argsort(-x, kind="stable"):  # rounding must not use a piece twice
         need = np.array([place[n] for n in shapes[j]])
         uses = np.bincount(need, minlength=len(left))[np.unique(need)]
@@ -69,54 +64,117 @@ def solve_counts(shapes: list[tuple[int, ...]], lengths: np.ndarray, counts: np.
     return whole
 
 
-def pack_lengths(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Pieces of documents of these lengths: rows (document, start, length, sequence, offset), no padding at all.
-
-    Whole windows are cut off the front of long documents. What remains is matched by
-    :func:`solve_counts`; the rest is laid end to end, longest first, and cut at each window. The last,
-    partial window is cut into powers of two.
+class _Waiting:
+    """Documents not yet placed, by the number of units that hold them, with what is left of the one being cut."""
+
+    def __init__(self, rest: np.ndarray, unit: int):
+        self.rest, self.held = rest, {}
+        for doc in np.flatnonzero(rest).tolist():
+            self.held.setdefault(-(-int(rest[doc]) // unit), []).append(doc)
+        self.tokens = int(rest.sum())
+        self.open, self.start = -1, 0  # the document being cut, and how much of its rest is placed
+
+    def take(self, size: int) -> int:
+        doc = self.held[size].pop()
+        if not self.held[size]:
+            del self.held[size]
+        self.tokens -= int(self.rest[doc])
+        return doc
+
+    def cut(self, n: int) -> tuple[int, int, int]:
+        """(document, start, length) of at most ``n`` tokens of the smallest document; what is left of it is cut on later."""
+        if self.open < 0:
+            self.open, self.start = self.take(min(self.held)), 0
+            self.tokens += int(self.rest[self.open])
+        doc, start = self.open, self.start
+        n = min(n, int(self.rest[doc]) - start)
+        self.start, self.tokens = start + n, self.tokens - n
+        if self.start == self.rest[doc]:
+            self.open = -1
+        return doc, start, n
+
+
+def pack_lengths(lengths: np.ndarray, window: int = WINDOW, units: int = UNITS, more: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+    """Pieces of documents of these lengths: rows (document, start, length, sequence, offset), no padding at all; the
+    documents left for a next call, if there are ``more`` to come; and the share of the placed tokens in windows that the
+    least squares made.
+
+    Whole windows are cut off the front of long documents. The rests' lengths are counted in ``units`` to a window, and
+    :func:`solve_counts` finds how often to use each combination that fills one. What is left goes greedily into
+    windows, always the longest that still fits by its units. The gap that a window then has, some units at most or less than the
+    shortest document, is filled with a piece of the shortest documents, so few others are ever cut. Less than a window
+    at the end is left for a next call or laid into sequences whose lengths are powers of two.
     """
     pieces: list[tuple[int, int, int, int, int]] = []
-    sequence = 0
-    for doc in np.flatnonzero(lengths >= window).tolist():
-        for k in range(int(lengths[doc]) // window):
-            pieces.append((doc, k * window, window, sequence, 0))
+    sequence, unit = 0, max(window // units, 1)
+    front = lengths - lengths % window
+    for doc in np.flatnonzero(front).tolist():
+        for start in range(0, int(front[doc]), window):
+            pieces.append((doc, start, window, sequence, 0))
             sequence += 1
-    rest = lengths % window
-    waiting: dict[int, list[int]] = {}
-    for doc in np.flatnonzero(rest).tolist():
-        waiting.setdefault(int(rest[doc]), []).append(doc)
-    sizes = np.array(sorted(waiting), dtype=np.int64)
-    counts = np.array([len(waiting[n]) for n in sizes.tolist()], dtype=np.int64)
-    shapes = combinations(sizes, counts, window)
-    for shape, times in zip(shapes, solve_counts(shapes, sizes, counts).tolist()):
-        for _ in range(times):
+    waiting = _Waiting(lengths % window, unit)
+    fit = window // unit  # pieces of so many units together always fit
+    sizes = np.array(sorted(waiting.held), dtype=np.int64)
+    counts = np.array([len(waiting.held[n]) for n in sizes.tolist()], dtype=np.int64)
+    planned: list[tuple[int, ...]] = []
+    while True:  # rounding leaves pieces of which combinations can be made again
+        shapes = combinations(sizes[counts > 0].tolist(), fit)
+        again = [shape for shape, times in zip(shapes, solve_counts(shapes, sizes, counts).tolist()) for _ in range(times)]
+        if not again:
+            break
+        planned += again
+        counts = counts - np.bincount(np.searchsorted(sizes, [n for shape in again for n in shape]), minlength=len(sizes))
+    made = [[waiting.take(n) for n in shape] for shape in planned]
+    gap = sum(window - int(waiting.rest[docs].sum()) for docs in made)
+    while made and gap > waiting.tokens:  # gaps that nothing is left to fill
+        docs = made.pop()
+        gap -= window - int(waiting.rest[docs].sum())
+        for doc in docs:
+            waiting.held.setdefault(-(-int(waiting.rest[doc]) // unit), []).append(doc)
+            waiting.tokens += int(waiting.rest[doc])
+
+    def fill(docs: list[int]) -> None:
+        """One full sequence of whole rests and of what fills its gap."""
+        nonlocal sequence
+        offset = 0
+        for doc in docs:
+            n = int(waiting.rest[doc])
+            pieces.append((doc, int(front[doc]), n, sequence, offset))
+            offset += n
+        while offset < window:
+            doc, start, n = waiting.cut(window - offset)
+            pieces.append((doc, int(front[doc]) + start, n, sequence, offset))
+            offset += n
+        sequence += 1
+
+    for docs in made:
+        fill(docs)
+    while waiting.tokens >= window:
+        docs, space = [], window
+        while space > 0 and (fits := [n for n in waiting.held if n * unit <= space]):
+            docs.append(waiting.take(max(fits)))
+            space -= int(waiting.rest[docs[-1]])
+        fill(docs)
+    # documents of which nothing is placed yet may be left for the next call; what remains of others ends here
+    left = sorted(doc for docs in waiting.held.values() for doc in docs if front[doc] == 0) if more else []
+    for doc in left:
+        size = -(-int(waiting.rest[doc]) // unit)
+        waiting.held[size].remove(doc)
+        if not waiting.held[size]:
+            del waiting.held[size]
+        waiting.tokens -= int(waiting.rest[doc])
+    stop = waiting.tokens
+    for bit in range(window.bit_length() - 1, -1, -1):
+        if stop >> bit & 1:
             offset = 0
-            for n in shape:
-                doc = waiting[n].pop()
-                pieces.append((doc, int(lengths[doc]) - n, n, sequence, offset))
+            while offset < 1 << bit:
+                doc, start, n = waiting.cut((1 << bit) - offset)
+                pieces.append((doc, int(front[doc]) + start, n, sequence, offset))
                 offset += n
             sequence += 1
-    stream = [(doc, n) for n in sorted(waiting, reverse=True) for doc in waiting[n]]
-    total = sum(n for _, n in stream)
-    ends = [window * (i + 1) for i in range(total // window)]
-    at = total - total % window
-    for bit in range(window.bit_length() - 1, -1, -1):
-        if total % window >> bit & 1:
-            at += 1 << bit
-            ends.append(at)
-    begin = position = 0
-    ends.append(2**62)
-    for doc, n in stream:
-        done = 0
-        while done < n:
-            take = min(n - done, ends[0] - position)
-            pieces.append((doc, int(lengths[doc]) - n + done, take, sequence, position - begin))
-            done, position = done + take, position + take
-            if position == ends[0]:
-                begin, sequence = position, sequence + 1
-                ends.pop(0)
-    return np.array(pieces, dtype=np.int64).reshape(-1, 5)
+    plan = np.array(pieces, dtype=np.int64).reshape(-1, 5)
+    placed = int(plan[:, 2].sum())
+    return plan, np.array(left, dtype=np.int64), (len(made) * window / placed if placed else 0.0)
 
 
 #: Words of these characters keep their letters and marks apart when normalized, so their parts can be counted beforehand.
@@ -184,7 +242,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", t
 
     Every partition packs its own documents, in shards of ``shard_tokens`` tokens: the shard's length
     histogram is matched by non-negative least squares over combinations that fill a window, and the
-    rest is packed greedily with cuts. Sequences are full, except the last few of a shard, whose lengths
+    rest is packed greedily, see :func:`pack_lengths`. Less than a window at a shard's end goes on to the next. Sequences
+    are full, except the last few of a partition (and those that end a cut document at a shard's end), whose lengths
     are powers of two. So there is no shuffle, no state beyond one shard (or one document, if longer),
     and a lost task is simply run again. ``sequence_id`` is unique: partition in the high bits.
 
@@ -200,11 +259,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", t
         held_ids: list[np.ndarray] = []
         held_keys: list[pa.Array] = []
 
-        def shard() -> Iterator[pa.RecordBatch]:
-            nonlocal first
+        def shard(more: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal first, tokens
             lengths = np.array([len(x) for x in held_ids], dtype=np.int64)
             keys = pa.concat_arrays(held_keys)
-            plan = pack_lengths(lengths, window)
+            plan, left, _ = pack_lengths(lengths, window, more=more)
             for i in range(0, len(plan), 2_000):
                 part = plan[i:i + 2_000]
                 doc, start, length, sequence, offset = part.T
@@ -212,9 +271,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", t
                     keys.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(lengths[doc]), pa.array(sequence + first), pa.array(offset),
                     pa.array([held_ids[d][s:s + n].tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist())], pa.binary()),
                 ], names)
-            first += int(plan[:, 3].max()) + 1
-            held_ids.clear()
-            held_keys.clear()
+            first += int(plan[:, 3].max(initial=-1)) + 1
+            held_ids[:] = [held_ids[d] for d in left.tolist()]
+            held_keys[:] = [keys.take(pa.array(left))]
+            tokens = int(lengths[left].sum())
 
         tokens = 0
         for batch in batches:
@@ -224,10 +284,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", t
                 held_keys.append(part.column(0))
                 tokens += sum(len(x) for x in held_ids[-part.num_rows:])
                 if tokens >= shard_tokens:
-                    yield from shard()
-                    tokens = 0
+                    yield from shard(True)
         if held_ids:
-            yield from shard()
+            yield from shard(False)
 
     return bounded_batches(docs).select(F.col(id_column), F.col(text_column)).mapInArrow(pack, schema)
 
