@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 
 MAX_ROUNDS = 60
 
@@ -15,14 +15,13 @@ def connected_components(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFram
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): every round each node points its
     neighbours to the smallest it knows, in O(log^2 n) rounds at most. A round is a minimum per node,
-    combined before the shuffle and written, and a join on the node: the minima are broadcast up to a counted size,
-    beyond it the join has exchanges of its own that adaptive execution can split, so a hub
-    with a third of all edges is no single task. Each round is written to the shared checkpoint folder;
+    combined before the shuffle and written, and a join on the node, which so has exchanges of its own that adaptive
+    execution can split: a hub with a third of all edges is no single task. Each round is written to the shared checkpoint folder;
     only counts reach the driver.
     """
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         """``pairs``: (u, v) with v a neighbour of u; link the larger (or the smaller, and itself) neighbours of u to the smallest of u's circle."""
-        least = broadcast_if_small(cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
+        least = cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         linked = pairs.where(F.col("v") > F.col("u")) if large else pairs
         out = linked.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:

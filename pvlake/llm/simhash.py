@@ -25,7 +25,7 @@ WIDTH, SIMILARITY = 5, 0.8
 WORDS = 4  # of 64 bits
 TABLES, KEY_BITS = 128, 22  # block choices, and the bits of each; a pair at 0.8 differs in 15% of the bits and agrees on one of the choices at 97%
 WORD_RADIUS, RADIUS = 20, 64  # bits that may differ in the first word and in all four: 3.7 and 4.4 deviations above the mean at 0.8
-MATE_ROUNDS = 3  # times that each text is verified against its closest mate before all that is left
+MATE_ROUNDS = 2  # times that each text is verified against its closest mate before all that is left
 PAIR_LIMIT = 64  # documents of a block up to which all its pairs are candidates
 CHOICES = np.array([np.random.default_rng(t).choice(WORDS * BITS, KEY_BITS, replace=False) for t in range(TABLES)])
 ROWS = 200_000  # rows of blocks handled at a time
