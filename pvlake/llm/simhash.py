@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut_lineage
@@ -25,7 +25,7 @@ WIDTH, SIMILARITY = 5, 0.8
 WORDS = 4  # of 64 bits
 TABLES, KEY_BITS = 128, 22  # block choices, and the bits of each; a pair at 0.8 differs in 15% of the bits and agrees on one of the choices at 97%
 WORD_RADIUS, RADIUS = 20, 64  # bits that may differ in the first word and in all four: 3.7 and 4.4 deviations above the mean at 0.8
-MATE_ROUNDS = 2  # times that each text is verified against its closest mate before all that is left
+MATES = 4  # closest mates that each text is verified against before other pairs
 PAIR_LIMIT = 64  # documents of a block up to which all its pairs are candidates
 CHOICES = np.array([np.random.default_rng(t).choice(WORDS * BITS, KEY_BITS, replace=False) for t in range(TABLES)])
 ROWS = 200_000  # rows of blocks handled at a time
@@ -253,10 +253,8 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     97% and closer ones more surely. A block of more than ``PAIR_LIMIT`` texts gives spanning links in place of
     its pairs, another forest under each choice.
 
-    Each text is first verified against its closest mate; what these links connect is not compared
-    again, and of what is still apart each text is verified against the closest mate in another component, some
-    ``MATE_ROUNDS`` times, so a large group of copies costs rows in proportion to its size. All pairs that then remain
-    between components are verified.
+    Each text is first verified against its ``MATES`` closest mates, and what these links connect is not compared
+    again, so a large group of copies costs rows in proportion to its size. All other pairs are verified then.
 
     Texts that are equal but for case and white space are one node. ``_llm_row`` is a hash of the text, so that
     rows which repeat an id are told apart; the row kept has the smallest id, null last, then the smallest hash.
@@ -287,19 +285,15 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         both = some.join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.withColumnRenamed("node", "b"), "b")
         return cut_lineage(both.select("a", "b", likeness("s", "t").alias("likeness")).where(F.col("likeness") >= similarity).select("a", "b"))
 
-    links, rest = None, near
-    for turn in range(MATE_ROUNDS + 1):
-        closest = rest.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
-        chosen = cut_lineage(closest if turn < MATE_ROUNDS else rest.select("a", "b"))
-        found = verified(chosen)
-        links = found if links is None else cut_lineage(links.unionByName(found))
-        linked = connected_components(links)
-        apart_still = rest.join(chosen, ["a", "b"], "left_anti")
-        for c in ("a", "b"):
-            apart_still = apart_still.join(linked.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
-        rest = cut_lineage(apart_still.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "apart"))
-        if rest.limit(1).count() == 0:
-            break
+    closest = Window.partitionBy("b").orderBy("apart", "a")
+    first = cut_lineage(near.withColumn("place", F.row_number().over(closest)).where(F.col("place") <= MATES).select("a", "b"))
+    links = verified(first)
+    known = connected_components(links)
+    rest = near.select("a", "b").join(first, ["a", "b"], "left_anti")
+    for c in ("a", "b"):
+        rest = rest.join(known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    linked = connected_components(links.unionByName(verified(cut_lineage(rest))))
     labelled = marked.select("_llm_id", "_llm_row", "node").distinct().join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rank = F.struct(F.col("_llm_id").isNull(), "_llm_id", "_llm_row")
     kept = labelled.groupBy("component").agg(F.min_by(F.struct("_llm_id", "_llm_row"), rank).alias("kept"))
