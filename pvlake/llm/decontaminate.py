@@ -63,9 +63,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     Windows are as long as an item, in words (shorter at the document's end). They are placed where a run
     of five-word shingles shared with an item of that length starts: once so that the shared words stand where
     they stand in the item, and once from the run on. A window without a shared shingle cannot reach the
-    similarity, so nothing is lost by not placing any elsewhere. Each window's SimHash is looked up in a
+    similarity. Each window's SimHash is looked up in a
     multi-index: 64 bits in eight blocks, items filed under all values of each block within two bits of
-    theirs, which finds every item fingerprint within 20 bits. What is that close and as long is verified:
+    theirs, which finds every item fingerprint within 20 bits. The radius is not lossless: by simulation up to
+    0.03% of windows just at the similarity differ in more bits, and 0.8% where an item of nine words is cut short
+    at a document's end. What is that close and as long is verified:
     weighted Jaccard similarity of the five-word shingles, repeats counted, of ``similarity`` or more. The
     best window is returned.
 
