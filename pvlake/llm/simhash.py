@@ -92,30 +92,58 @@ def _linked(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
+def _whole_groups(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows in order of (choice, key) as arrays (choice, key, fingerprint) that never part a group, about ``ROWS`` rows at a time."""
+    held: list[pd.DataFrame] = []
+
+    def arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return frame["choice"].to_numpy(), frame["key"].to_numpy(), frame["fingerprint"].to_numpy()
+
+    limit, rows = ROWS, 0
+    for frame in frames:
+        held.append(frame)
+        rows += len(frame)
+        if rows >= limit:
+            joined = pd.concat(held, ignore_index=True)
+            choice, key, _ = arrays(joined)
+            other = np.flatnonzero((choice != choice[-1]) | (key != key[-1]))  # the last group may go on
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield arrays(joined.iloc[:cut])
+            held, rows = [joined.iloc[cut:]], len(joined) - cut
+            limit = max(ROWS, 2 * rows)
+    if rows:
+        yield arrays(pd.concat(held, ignore_index=True))
+
+
 def near_links(distinct: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Links ``(a, b)`` that connect the same fingerprints as all pairs within ``distance`` bits do.
 
     Pigeonhole: 64 bits are cut into twice as many blocks as bits may differ; two fingerprints so close
     agree on half the blocks, so they meet under one of the choices. Each meeting is verified on the
-    whole fingerprints, and a group puts out spanning links only, never its pairs. Groups are counted
+    whole fingerprints, and a group puts out spanning links only, never its pairs. A task walks many groups, in order
+    of their keys, so a small group costs microseconds. Groups are counted
     first: those above ``group_limit`` are cut again under 16 blocks, whose groups hold 4,096
     fingerprints at most by construction, so no group is unbounded and none is dropped.
     """
-    links_of = "a long, b long"
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_linked(group["fingerprint"].to_numpy(), distance), columns=["a", "b"])
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for choice, key, values in _whole_groups(frames):
+            edges = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]), True]).tolist()
+            found = [pair for a, b in zip(edges, edges[1:]) for pair in _linked(values[a:b], distance)]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def linked(groups: DataFrame) -> DataFrame:
+        # a given number of tasks: groups are small in bytes, but costly to compare
+        tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return groups.select("choice", "key", "fingerprint").repartition(tasks, "choice", "key").sortWithinPartitions("choice", "key").mapInPandas(
+            link, "a long, b long")
 
     keys = _block_keys(distinct, 2 * distance, distance)
     # written first, so that the join is not dealt like the count and a large block can be split
     sizes = broadcast_if_small(cut_lineage(keys.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")))
     met = cut_lineage(keys.join(sizes, ["choice", "key"]))
-    # a given number of tasks: blocks are small in bytes, but costly to compare
-    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    usual = met.where(F.col("n") <= group_limit).repartition(tasks, "choice", "key").groupBy("choice", "key").applyInPandas(link, links_of)
     crowded = met.where(F.col("n") > group_limit).select("fingerprint").distinct()
-    fine = _block_keys(crowded, 16, distance).groupBy("choice", "key").applyInPandas(link, links_of)
-    return usual.unionByName(fine)
+    return linked(met.where(F.col("n") <= group_limit)).unionByName(linked(_block_keys(crowded, 16, distance)))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, distance: int = 3,

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +226,25 @@ def test_simhash_links_random_bits(spark):
         assert _classes(links, signed) == _classes(close, signed)
 
 
+@pytest.mark.parametrize("rows", [1, 3, 10, 1000])
+def test_groups_stay_whole_across_batches(rows, monkeypatch):
+    monkeypatch.setattr(simhash, "ROWS", rows)
+    rng = random.Random(rows)
+    flat = sorted((rng.randint(0, 3), rng.randint(-4, 4)) for _ in range(200))
+    frames, at = [], 0
+    while at < len(flat):
+        n = rng.randint(0, 9)  # empty batches too
+        frames.append(pd.DataFrame({"choice": [c for c, _ in flat[at:at + n]], "key": [k for _, k in flat[at:at + n]], "fingerprint": range(at, min(at + n, len(flat)))}, dtype="int64"))
+        at += n
+    seen, keys = [], []
+    for choice, key, values in simhash._whole_groups(iter(frames)):
+        seen += values.tolist()
+        keys.append(set(zip(choice.tolist(), key.tolist())))
+    assert seen == list(range(200))
+    assert sum(map(len, keys)) == len(set().union(*keys))  # no group in two parts
+    assert list(simhash._whole_groups(iter([]))) == []
+
+
 def _classes(links, nodes):
     label = {n: n for n in nodes}
     for _ in nodes:
