@@ -40,6 +40,51 @@ def pii(text: str | None) -> list[str]:
     return out
 
 
+def secrets(text: str | None) -> list[tuple[str, int, int]]:
+    """Base spans, found by walking the text: by start, then by kind as listed."""
+    t, out = text or "", []
+
+    def run(at: int, alphabet: str) -> int:
+        while at < len(t) and t[at] in alphabet:
+            at += 1
+        return at
+
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    value = upper + upper.lower() + digits + "+/_.=-"
+
+    def assign(at: int) -> tuple[int, int] | None:
+        """End and length of the value of an assignment that starts here."""
+        low = t[at:at + 8].translate(ASCII)
+        name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(n)), None)
+        if name is None:
+            return None
+        k = at + len(name)
+        k = run(k + (t[k:k + 1] in ("'", '"')), " ")
+        if t[k:k + 1] not in (":", "="):
+            return None
+        k = run(k + 1, " ")
+        k += t[k:k + 1] in ("'", '"')
+        end = run(k, value)
+        return (end, end - k) if end > k else None
+
+    def access(at: int) -> tuple[int, int] | None:
+        end = run(at + 4, upper + digits) if t.startswith("AKIA", at) else 0
+        return (end, end - at) if end > at + 4 else None
+
+    def hexed(at: int) -> tuple[int, int] | None:
+        end = run(at, digits + "abcdef")
+        return (end, end - at) if end > at else None
+
+    for order, (kind, match, least) in enumerate((("assign", assign, 12), ("access", access, 18), ("hex", hexed, 16))):
+        at = 0
+        while at < len(t):
+            found = match(at)
+            if found and found[1] >= least:
+                out.append((at, order, kind, found[0]))
+            at = found[0] if found else at + 1
+    return [(kind, a, b) for a, _, kind, b in sorted(out)]
+
+
 def lines(docs: list[tuple[int | None, str | None]]) -> list[tuple]:
     """(n_lines, n_dropped, kept) per row."""
     def key(line: str) -> str:

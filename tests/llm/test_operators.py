@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pvlake.llm import chat, components, decontaminate, lines, pii, quality, secrets, simhash, substrings, urls
-from pvlake.llm.queries import RULES, op2
+from pvlake.llm.queries import RULES, op2, op3
 from pvlake.llm.text import digest
 
 from . import brute
@@ -153,6 +153,22 @@ def test_secrets(spark):
     assert secrets.scan_secrets(df.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_base_secrets_equal_brute_force(spark, tmp_path):
+    """All columns of the query's base part, on texts put together from pieces of the patterns."""
+    rng = random.Random(21)
+    pieces = ["password", "PassWd", "secret", "TOKEN", "api_key", "ApiKey", "apikey", '"', "'", " ", "  ", ":", "=", "\t", "\n", "é", "ſ", "𝄞", "AKIA", "AKIA" + "Z9" * 7, "0123456789abcdef",
+              "deadbeef", "DEADBEEF", "a.b-c/d+e_f=", "x" * 11, "y" * 12, "K", ",", "(", "-"]
+    docs = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 40)))) for i in range(500)] + [(500, None), (501, ""), (None, "token:" + "0" * 50_000), (3, "secret=abcdefabcdefabcdef")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kinds = ("assign", "access", "hex")
+    want = []
+    for i, t in docs:
+        spans = brute.secrets(t)
+        want.append((i, *[sum(s[0] == k for s in spans) for k in kinds], brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in spans))))
+    assert rows(op3(spark, str(tmp_path)), "doc_id", *[f"n_{k}" for k in kinds], "base_sha256") == sorted(want, key=repr)
+    assert all(sum(w[1 + j] for w in want) > 50 for j in range(3))
+
+
 def test_random_strings_of_any_alphabet_are_secrets():
     rng = random.Random(12)
     lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
