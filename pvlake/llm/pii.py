@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .quality import let
 from .text import computed, find_spans, running, text_of, without
-from .trees import bounded_sample, fit_trees, tree_score
+from .trees import Trees, fit_trees, tree_score
 
 #: The contract's patterns, written for Java so that no text makes them backtrack or recurse far. A match starts
 #: where its run of characters starts (or the last match ended): a start inside a run fails when the run's start does.
@@ -33,7 +33,6 @@ HARMLESS = r"(?i)(?:\b(?:version|release|order|invoice|ticket|case|page|isbn|iss
 #: Formats of numbers that are dates, times, decimals or groups of thousands.
 PLAIN = r"^(?:(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?:[\x20T][0-9:.]*)?|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}|[0-9]+\.[0-9]+|[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)$"
 FEATURES = 14
-SAMPLE = 20_000  # candidates of each label that the trees are fitted on, at most
 RECALL = 0.98  # share of held-out sure candidates that the threshold keeps
 
 
@@ -139,12 +138,12 @@ def candidates(docs: DataFrame, text_column: str = "text") -> DataFrame:
 CANDIDATE = "array<struct<kind:string,start:bigint,end:bigint,x:array<double>,y:array<double>,covered:boolean,label:int>>"
 
 
-def train(prepared: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> tuple[GBTClassificationModel | None, float]:
+def train(prepared: DataFrame, recall: float = RECALL) -> tuple[Trees | None, float]:
     """Trees and their threshold from the corpus itself.
 
     Positives are candidates that are sure to be personal, negatives those that are sure not to be; what nothing is known
     of is neither. Numbers inside base spans also count without their first group, as the form in which they are
-    written at home. At most ``sample`` candidates of each label, by hash; a fifth is left out to set the
+    written at home. The trees are fitted on all of them but a fifth, by hash, and the whole fifth sets the
     threshold: the score that ``recall`` of the positives reach there or, where as many negatives lie below a
     lower one, the middle between the two.
     """
@@ -153,13 +152,14 @@ def train(prepared: DataFrame, sample: int = SAMPLE, recall: float = RECALL) ->
     seen = F.array_compact(F.array(F.col("c.x"), F.when(F.col("c.covered"), F.col("c.y"))))  # a phone's number counts with and without its first group
     rows = known.select(F.col("c.label").cast("double").alias("label"), F.xxhash64("c").alias("key"), F.explode(seen).alias("x")).select(
         "label", "key", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
-    chosen = bounded_sample(rows, F.col("key"), sample).withColumn("fold", F.col("key") % 5)
+    chosen = cut_lineage(rows.withColumn("fold", F.col("key") % 5))
     model = fit_trees(chosen.where("fold <> 0"), names)
     if model is None:
         return None, 2.0
     row = F.array(*[F.col(n) for n in names])
     score = let(row, lambda x: tree_score(model, [x[i] for i in range(FEATURES)]))
-    held = chosen.where("fold = 0").withColumn("score", score)  # of a bounded sample
+    # cut off at six decimals, so that a percentile holds a bounded number of values
+    held = chosen.where("fold = 0").select("label", (F.floor(score * 1e6) / 1e6).alias("score"))
     low = held.where("label = 1").select(F.percentile("score", 1 - recall)).first()[0]
     high = held.where("label = 0").select(F.percentile("score", recall)).first()[0]
     if low is None or high is None:
@@ -167,7 +167,7 @@ def train(prepared: DataFrame, sample: int = SAMPLE, recall: float = RECALL) ->
     return model, float(low if high >= low else (low + high) / 2)
 
 
-def select_spans(prepared: DataFrame, model: GBTClassificationModel | None, threshold: float) -> DataFrame:
+def select_spans(prepared: DataFrame, model: Trees | None, threshold: float) -> DataFrame:
     """Adds ``spans``: all base spans, then the candidates that reach ``threshold``, overlap none of them and are not known to be harmless.
 
     Of selected candidates that overlap one another, in a chain, the first stays. Ordered by kind as listed, then start.
@@ -194,7 +194,7 @@ def _of_kind(kind: str) -> Column:
     return F.transform(F.filter("_llm_extra", lambda s: s["kind"] == kind), _span)
 
 
-def find_pii(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+def find_pii(docs: DataFrame, text_column: str = "text", recall: float = RECALL) -> DataFrame:
     """Adds ``base`` and ``spans`` (arrays of kind, start, end; code points, end exclusive) to each document.
 
     Base kinds are pattern matches, leftmost and non-overlapping per kind, that pass their check: ip parts
@@ -209,7 +209,7 @@ def find_pii(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE, r
     repeated rows are each scanned; without candidates of both labels only base spans are returned.
     """
     prepared = candidates(docs, text_column)
-    model, threshold = train(prepared.select("_llm_candidates"), sample, recall)
+    model, threshold = train(prepared.select("_llm_candidates"), recall)
     return select_spans(prepared, model, threshold)
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pvlake.llm import chat, components, decontaminate, lines, pii, quality, secrets, simhash, substrings, urls
+from pvlake.llm import chat, components, decontaminate, lines, pii, quality, secrets, simhash, substrings, trees, urls
 from pvlake.llm.queries import RULES, op2, op3
 from pvlake.llm.text import digest
 
@@ -83,6 +83,37 @@ def planted(rng):
     return [(kind, around(make())) for kind, make in made.items() for _ in range(150)]
 
 
+def test_pii_trees_see_all_labelled_candidates(spark, monkeypatch):
+    """More candidates of each label than the 20,000 that were once the most; the threshold is of all that the trees leave out."""
+    seen, scored = [], []
+    fit, score = trees.fit_trees, pii.tree_score
+    monkeypatch.setattr(pii, "fit_trees", lambda rows, *a: seen.append(rows.count()) or fit(rows, *a, trees=2))
+    monkeypatch.setattr(pii, "tree_score", lambda *a: scored.append(a[0]) or score(*a))
+    c = F.struct(F.lit("number").alias("kind"), F.col("id").alias("start"), (F.col("id") + 9).alias("end"),
+                 F.array(*[(F.col("id") % 2 * 3 + F.col("id") % (i + 2) / 9).cast("double") for i in range(pii.FEATURES)]).alias("x"),
+                 F.lit(None).cast("array<double>").alias("y"), F.lit(False).alias("covered"), (F.col("id") % 2).cast("int").alias("label"))
+    held = spark.range(44_000).select(F.array(c).cast(pii.CANDIDATE).alias("_llm_candidates"))
+    model, threshold = pii.train(held)
+    out = held.select(F.explode("_llm_candidates").alias("c")).select((F.xxhash64("c") % 5 == 0).alias("held"))
+    assert seen == [out.where("not held").count()] and scored == [model] and 0.4 < threshold < 1
+
+
+def test_trees_of_many_rows_split_at_rare_values_and_score_as_mllib(spark):
+    """Beyond ``WHOLE`` rows: 40 of 24,000 rows hold a value of their own, and a feature has 24,000 distinct values."""
+    rows = spark.range(24_000).select(F.when(F.col("id") % 600 == 0, 5.0).otherwise(F.col("id") % 2 * 9).cast("double").alias("rare"), (F.col("id") * 0.37).alias("wide"),
+                                      ((F.col("id") % 600 == 0) | (F.col("id") >= 18_000)).cast("double").alias("label")).cache()
+    found = trees.fit_trees(rows, ["rare", "wide"])
+    assert found.cuts[0] == [0.0, 5.0, 9.0] and 31 <= len(found.cuts[1]) <= 64
+    scored = rows.withColumn("score", trees.row_score(found, ["rare", "wide"])).cache()
+    wrong = scored.where((F.col("score") >= 0.5) != (F.col("label") == 1.0))
+    assert wrong.count() <= 24_000 / 31 and wrong.where("rare = 5").count() == 0
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    binned = scored.select("score", *[trees._bin(F.col(f), c).alias(f) for f, c in zip(("rare", "wide"), found.cuts)])
+    own = found.model.transform(VectorAssembler(inputCols=["rare", "wide"], outputCol="_llm_features").transform(binned))
+    assert own.where(F.abs(vector_to_array("probability")[1] - F.col("score")) > 1e-9).count() == 0
+
+
 def test_pii_adds_what_looks_like_personal_data(spark):
     texts = planted(random.Random(6))
     docs = [(i, t) for i, (_, t) in enumerate(texts)]
