@@ -413,6 +413,18 @@ def test_url_rules(spark):
     assert urls.judge_urls(df.limit(0), RULES).count() == 0
 
 
+def test_trees_and_threshold_of_urls_see_all_labelled_urls(spark, monkeypatch):
+    """More URLs of each label than the 20,000 that were once the most."""
+    seen = []
+    calibrated = urls.calibrated_threshold
+    monkeypatch.setattr(urls, "fit_trees", lambda rows, *a: seen.append(rows.count()) or trees.fit_trees(rows.where(F.col("_llm_length") % 7 == 0), *a, trees=1))
+    monkeypatch.setattr(urls, "calibrated_threshold", lambda rows, *a: seen.append(rows.count()) or calibrated(rows, *a))
+    df = spark.range(44_000).select(F.format_string("http://h%d.%s/%s/%d", F.col("id") % 900, F.when(F.col("id") % 2 == 0, "net").otherwise("org"),
+                                                    F.when(F.col("id") % 2 == 0, "xx").otherwise("fr"), "id").alias("url"))
+    assert urls.judge_urls(df, RULES).where("rule is not null").count() == 44_000
+    assert len(seen) == 2 and sum(seen) == 44_000
+
+
 def test_urls_within_a_domain_are_judged_by_path(spark):
     """Rules label one path of .com as block and one of .org as allow; the rest of both domains is judged by what paths are like elsewhere."""
     rng = random.Random(5)
