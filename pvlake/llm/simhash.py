@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from itertools import combinations
@@ -20,13 +21,12 @@ from .text import ascii_lower, bounded_batches, text_of, without, words
 SEED = 42
 BITS = 64
 GROUP_LIMIT = 20_000  # fingerprints of a block compared in one task; larger blocks are split further
-# the wide fingerprint of near_copies
+# near_copies
 WIDTH, SIMILARITY = 5, 0.8
-WORDS = 4  # of 64 bits
-TABLES, KEY_BITS = 128, 22  # block choices, and the bits of each; a pair at 0.8 differs in 15% of the bits and agrees on one of the choices at 97%
-WORD_RADIUS, RADIUS = 20, 64  # bits that may differ in the first word and in all four: 3.7 and 4.4 deviations above the mean at 0.8
-PAIR_LIMIT = 64  # documents of a block up to which all its pairs are candidates
-CHOICES = np.array([np.random.default_rng(t).choice(WORDS * BITS, KEY_BITS, replace=False) for t in range(TABLES)])
+SKETCH = 512  # bits: the parities of a text's shingles, dealt by hash
+FIRST, NEXT, MATES = 8, 8, 4  # first shingles under which mates are looked for, neighbours tried under each, closest ones verified first
+COMMON, MOST_COMMON = 50, 1_000_000  # texts that hold a common shingle, at least; shingles that are ordered last, at most: any choice of them gives the same links
+PAIRS = 1_000_000  # candidate pairs put out at a time
 ROWS = 200_000  # rows of blocks handled at a time
 
 
@@ -183,22 +183,19 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1:] - 1).tolist())], dtype=np.uint64)
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The ``k``-th further hash of each hash (SplitMix64)."""
-    z = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << BITS) - 1)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+def parities(h: np.ndarray) -> np.ndarray:
+    """``SKETCH`` bits as signed words. Two sets differ in as many elements at least as their bits do."""
+    return np.packbits(np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1, bitorder="little").view(np.int64)
 
 
-def wide_print(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """SimHash of ``WORDS`` signed 64-bit words over the distinct shingles."""
-    h = np.unique(shingles(text, width))
-    ones = np.zeros(WORDS * BITS, np.int64)
-    for i in range(0, len(h), 16_384):
-        wide = np.stack([_mixed(h[i:i + 16_384], k) for k in range(WORDS)], axis=1)
-        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first of ``h`` (distinct, ascending), ``common`` ones (ascending) last: two sets as similar share one of theirs at least."""
+    if not len(h):
+        return h
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        h = np.concatenate([h[~late], h[late]])
+    return h[:len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
 
 
 def jaccard(a: str | None, b: str | None, width: int = WIDTH) -> float:
@@ -208,52 +205,8 @@ def jaccard(a: str | None, b: str | None, width: int = WIDTH) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def _table_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, print) to one row per block choice: (key, node, first word)."""
-    weights = (1 << np.arange(KEY_BITS)).astype(np.float32)
-    for frame in frames:
-        if len(frame):
-            prints = np.array(frame["print"].tolist(), dtype=np.int64)
-            bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-            keys = np.stack([(bits[:, c] @ weights).astype(np.int32) + (t << KEY_BITS) for t, c in enumerate(CHOICES)])
-            yield pd.DataFrame({"key": keys.ravel(), "node": np.tile(frame["node"].to_numpy(), TABLES), "word": np.tile(prints[:, 0], TABLES)})
-
-
-def _forest(key: int, nodes: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that span a large block's nodes, each to one within ``WORD_RADIUS`` that was reached before; the roots differ from key to key."""
-    order, out = np.argsort(_mixed(nodes.view(np.uint64), key + 1)), []
-    nodes, prints = nodes[order], prints[order]
-    while len(nodes) > 1:
-        queue, nodes, prints = [(nodes[0], prints[0])], nodes[1:], prints[1:]
-        while queue and len(nodes):
-            node, word = queue.pop()
-            near = np.bitwise_count(prints ^ word) <= WORD_RADIUS
-            if near.any():
-                out.append((np.full(near.sum(), node), nodes[near]))
-                queue.extend(zip(nodes[near], prints[near]))
-                nodes, prints = nodes[~near], prints[~near]
-    return out
-
-
-def _block_pairs(key: np.ndarray, node: np.ndarray, word: np.ndarray) -> pd.DataFrame:
-    """Candidate pairs of whole blocks, rows in order of ``key``: all within ``WORD_RADIUS`` of each other, of large blocks a spanning forest."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    found, prints = [], word.view(np.uint64)
-    left = np.repeat(np.where(sizes <= PAIR_LIMIT, starts + sizes, 0), sizes)  # end of each row's block
-    at, step = np.arange(len(key)), 1
-    while len(at := at[at + step < left[at]]):
-        near = at[np.bitwise_count(prints[at] ^ prints[at + step]) <= WORD_RADIUS]
-        found.append((node[near], node[near + step]))
-        step += 1
-    for a, n in zip(starts[sizes > PAIR_LIMIT].tolist(), sizes[sizes > PAIR_LIMIT].tolist()):
-        found += _forest(int(key[a]), node[a:a + n], prints[a:a + n])
-    a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-
-def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key to candidate pairs, some whole blocks at a time."""
+def _whole_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key that never part a block, about ``ROWS`` at a time."""
     held: list[pd.DataFrame] = []
     limit, rows = ROWS, 0
     for frame in frames:
@@ -263,53 +216,99 @@ def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             joined = pd.concat(held, ignore_index=True)
             cut = int(np.searchsorted(joined["key"].to_numpy(), joined["key"].iloc[-1]))  # the last block may go on
             if cut:
-                yield _block_pairs(*[joined[c].to_numpy()[:cut] for c in ("key", "node", "word")])
+                yield joined.iloc[:cut]
             held, rows = [joined.iloc[cut:]], len(joined) - cut
             limit = max(ROWS, 2 * rows)
     if rows:
-        joined = pd.concat(held, ignore_index=True)
-        yield _block_pairs(*[joined[c].to_numpy() for c in ("key", "node", "word")])
+        yield pd.concat(held, ignore_index=True)
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def _block_pairs(block: pd.DataFrame, similarity: float, steps: int | None = None) -> Iterator[pd.DataFrame]:
+    """Pairs of rows of one ``key`` and different ``part`` that may reach ``similarity`` by their ``size`` and by what can follow
+    the shared shingle's place (``pos``); with ``steps``, only those so many rows apart.
+
+    A pair that reaches it passes under its first shared shingle, so it is left out under others without loss.
+    """
+    key, node, part, size, pos = (block[c].to_numpy() for c in ("key", "node", "part", "size", "pos"))
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    end = np.repeat(starts + sizes, sizes)
+    found, rows, at, step = [], 0, np.arange(len(key)), 1
+    while len(at := at[at + step < end[at]]) and (steps is None or step <= steps):
+        to = at + step
+        shared = np.minimum(size[at] - pos[at], size[to] - pos[to])
+        may = (part[at] != part[to]) & (shared >= similarity / (1 + similarity) * (size[at] + size[to]) - 1e-9)
+        found.append((node[at[may]], node[to[may]]))
+        rows += int(may.sum())
+        step += 1
+        if rows >= PAIRS:
+            yield _pairs(found)
+            found, rows = [], 0
+    yield _pairs(found)
 
 
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(id, _llm_row, kept_id, kept_row)``, one row per distinct id and text: the row that stands for its component.
 
     Documents link if the Jaccard similarity of their five-word shingles is ``similarity`` or more, computed
-    exactly. Who is compared: texts that agree under one of ``TABLES`` choices of ``KEY_BITS`` bits of a 256-bit
-    SimHash and whose fingerprints are within ``WORD_RADIUS`` and ``RADIUS`` bits, which a pair at 0.8 meets at
-    97% and closer ones more surely. A block of more than ``PAIR_LIMIT`` texts gives spanning links in place of
-    its pairs, another forest under each choice.
+    exactly, and no such link between different components is left out. Who is compared: two texts as similar share one of the first
+    shingles of each (a fifth, and one more, at 0.8) in any order of all shingles, so these are the blocks. The order is by hash, the most common ones last.
+    Sizes, the place of the shared shingle and 512 parities bound what two texts can share, and pairs below are dropped.
 
-    Each text is first verified against its closest mate, and what these links connect is not compared
-    again, so a large group of copies costs rows in proportion to its size.
+    First each text is verified against its closest mates among neighbours under its first shingles. What these links connect
+    is not compared again, so a large group of near copies costs rows in proportion to its size; of the rest every pair that
+    passes the bounds is verified.
 
     Texts that are equal but for case and white space are one node. ``_llm_row`` is a hash of the text, so that
     rows which repeat an id are told apart; the row kept has the smallest id, null last, then the smallest hash.
 
     Null and empty texts, and those of white space only, are one node, so one of them is kept. Long texts are hashed
     whole. An empty table gives an empty result; other columns are not read, so their names cannot clash. A dense group
-    whose similarities lie around ``similarity`` makes many pairs that fail: 2,340 texts each with over 50 mates made
-    most of 604,450 candidate pairs, of which 294,798 were verified.
+    of many components whose similarities lie just below ``similarity`` makes pairs by the square of its size; a block is one task's.
     """
     read = docs.select(F.col(id_column).alias("_llm_id"), text_of(text_column).alias("_llm_text"))
     noded = read.withColumn("node", F.xxhash64(F.array_join(words(ascii_lower(F.col("_llm_text"))), " ")))
 
     @F.pandas_udf("array<long>")
-    def printed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def early(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:  # somewhat more than the prefix, as common shingles make room for others
+            yield pd.Series([prefix(np.unique(shingles(t)), 1 - 1.3 * (1 - similarity), np.zeros(0, np.uint64)).view(np.int64) for t in batch])
+
+    batches = bounded_batches(noded)
+    often = batches.select(F.explode(early("_llm_text")).alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    common = np.sort(np.array([r["s"] for r in often.orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").collect()], dtype=np.int64).view(np.uint64))
+
+    @F.pandas_udf("struct<size:int,bits:array<long>,first:array<long>>")
+    def printed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.Series([wide_print(t) for t in batch])
+            sets = [np.unique(shingles(t)) for t in batch]
+            yield pd.DataFrame({"size": [len(h) for h in sets], "bits": [parities(h) for h in sets],
+                                "first": [prefix(h, similarity, common).view(np.int64) for h in sets]})
 
     @F.pandas_udf("double")
     def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    marked = cut_lineage(bounded_batches(noded).select("_llm_id", F.xxhash64("_llm_text").alias("_llm_row"), "node", printed("_llm_text").alias("print")))
-    prints = marked.groupBy("node").agg(F.first("print").alias("print"))
-    keys = prints.mapInPandas(_table_keys, "key int, node long, word long")
-    pairs = keys.repartition("key").sortWithinPartitions("key").mapInPandas(_candidates, "a long, b long").distinct()
-    apart = sum((F.bit_count(F.get("p", F.lit(i)).bitwiseXOR(F.get("q", F.lit(i)))) for i in range(WORDS)), F.lit(0))
-    near = cut_lineage(pairs.join(prints.select(F.col("node").alias("a"), F.col("print").alias("p")), "a").join(
-        prints.select(F.col("node").alias("b"), F.col("print").alias("q")), "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= RADIUS))
+    marked = cut_lineage(batches.select("_llm_id", F.xxhash64("_llm_text").alias("_llm_row"), "node", printed("_llm_text").alias("print")))
+    prints = cut_lineage(marked.groupBy("node").agg(F.first("print").alias("print")).select("node", "print.*"))
+
+    def near(parted: DataFrame, first: Column, steps: int | None = None) -> DataFrame:
+        """Pairs of nodes of different ``part`` that share one of ``first`` and may be as similar, and in how many bits they differ."""
+        def candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for block in _whole_blocks(frames):
+                yield from _block_pairs(block, similarity, steps)
+
+        rows = parted.select("node", "part", "size", F.posexplode(first).alias("pos", "key"))
+        pairs = rows.repartition("key").sortWithinPartitions("key").mapInPandas(candidates, "a long, b long").distinct()
+        side = [prints.select(F.col("node").alias(n), F.col("bits").alias(f"bits_{n}"), F.col("size").alias(f"size_{n}")) for n in ("a", "b")]
+        apart = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(SKETCH // BITS)), F.lit(0))
+        return cut_lineage(pairs.join(side[0], "a").join(side[1], "b").withColumn("apart", apart).where(
+            F.col("apart") <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-9).select("a", "b", "apart"))
 
     def verified(some: DataFrame) -> DataFrame:
         wanted = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -317,14 +316,13 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         both = some.join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.withColumnRenamed("node", "b"), "b")
         return cut_lineage(both.select("a", "b", likeness("s", "t").alias("likeness")).where(F.col("likeness") >= similarity).select("a", "b"))
 
-    first = near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
-    links = verified(first)
+    tried = near(prints.withColumn("part", F.col("node")), F.slice("first", 1, FIRST), NEXT)
+    sides = tried.select("a", "b", "apart").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))  # a node has FIRST * NEXT * 2 mates at most
+    closest = sides.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("apart", "b"))), 1, MATES).alias("m")).select("a", F.explode("m.b").alias("b"))
+    links = verified(cut_lineage(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     known = connected_components(links)
-    rest = near.select("a", "b").join(first, ["a", "b"], "left_anti")
-    for c in ("a", "b"):
-        rest = rest.join(known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
-    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    linked = connected_components(links.unionByName(verified(cut_lineage(rest))))
+    parted = prints.join(known, "node", "left").select("node", "size", "first", F.coalesce("component", "node").alias("part"))
+    linked = connected_components(links.unionByName(verified(near(parted, F.col("first")))))
     labelled = marked.select("_llm_id", "_llm_row", "node").distinct().join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rank = F.struct(F.col("_llm_id").isNull(), "_llm_id", "_llm_row")
     kept = labelled.groupBy("component").agg(F.min_by(F.struct("_llm_id", "_llm_row"), rank).alias("kept"))

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,45 @@ def test_near_dedup_removes_edited_copies(spark):
     assert {*range(100), *range(2000, 2040)} <= left and not any(i >= 3000 for i in left)
 
 
+def test_near_dedup_leaves_out_no_link(spark):
+    """400 pairs at 0.8 exactly or just above, of texts that all hold one passage, so that its blocks are large; and a crowd at about 0.8 against brute force."""
+    rng = random.Random(11)
+    passage, originals = prose(rng, 12), []
+    for i in range(400):
+        originals.append(f"{passage} {prose(rng, 46 + 9 * (i % 5) + i % 3)}".split())
+    copies = [t[:len(t) - (len(t) - 4) // 9] + [f"new{i}x{j}" for j in range((len(t) - 4) // 9)] for i, t in enumerate(originals)]
+    pairs = [(" ".join(t), " ".join(c)) for t, c in zip(originals, copies)]
+    likeness = [simhash.jaccard(a, b) for a, b in pairs]
+    assert min(likeness) == 0.8 and max(likeness) < 0.84
+    base = prose(rng, 150)
+    crowd = [edited(rng, base, 2 + i % 4) for i in range(150)]
+    docs = [(i, a) for i, (a, _) in enumerate(pairs)] + [(1000 + i, b) for i, (_, b) in enumerate(pairs)] + [(2000 + i, t) for i, t in enumerate(crowd)]
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()}
+    of = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if of[i] != of[j] and simhash.jaccard(crowd[i], crowd[j]) >= 0.8:
+                a, b = sorted((of[i], of[j]))
+                of = [a if x == b else x for x in of]
+    assert 1 < len(set(of)) < 150
+    assert left == {*range(400), *(2000 + i for i in set(of))}
+
+
+def test_bounds_of_near_copies_drop_no_pair_that_reaches_the_similarity():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        both, x, y = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (rng.integers(1, 80), rng.integers(0, 12), rng.integers(0, 12)))
+        a, b = (np.unique(np.concatenate([both, z])) for z in (x, y))
+        common = np.sort(rng.choice(both, len(both) // 2, replace=False))
+        shared, apart = len(np.intersect1d(a, b)), len(np.setxor1d(a, b))
+        assert np.bitwise_count(simhash.parities(a).view(np.uint64) ^ simhash.parities(b).view(np.uint64)).sum() <= apart
+        if shared >= 0.8 * (shared + apart):
+            rows = [pd.DataFrame({"key": p.view(np.int64), "node": n, "part": n, "size": len(h), "pos": range(len(p))})
+                    for n, h in ((1, a), (2, b)) for p in [simhash.prefix(h, 0.8, common)]]
+            found = pd.concat(simhash._block_pairs(pd.concat(rows).sort_values("key", ignore_index=True), 0.8))
+            assert set(map(tuple, found.to_numpy().tolist())) == {(1, 2)}
+
+
 def test_near_dedup_tells_rows_apart_that_share_an_id(spark):
     rng = random.Random(6)
     one, two, three, four = (prose(rng, 120) for _ in range(4))
