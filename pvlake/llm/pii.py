@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .quality import let
 from .text import computed, find_spans, running, text_of, without
-from .trees import Trees, fit_trees, tree_score
+from .trees import Trees, fit_trees, in_hash_order, tree_score
 
 #: The contract's patterns, written for Java so that no text makes them backtrack or recurse far. A match starts
 #: where its run of characters starts (or the last match ended): a start inside a run fails when the run's start does.
@@ -152,7 +152,7 @@ def train(prepared: DataFrame, recall: float = RECALL) -> tuple[Trees | None, fl
     seen = F.array_compact(F.array(F.col("c.x"), F.when(F.col("c.covered"), F.col("c.y"))))  # a phone's number counts with and without its first group
     rows = known.select(F.col("c.label").cast("double").alias("label"), F.xxhash64("c").alias("key"), F.explode(seen).alias("x")).select(
         "label", "key", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
-    chosen = cut_lineage(rows.withColumn("fold", F.col("key") % 5))
+    chosen = in_hash_order(cut_lineage(rows), F.col("key")).withColumn("fold", F.col("key") % 5)
     model = fit_trees(chosen.where("fold <> 0"), names)
     if model is None:
         return None, 2.0

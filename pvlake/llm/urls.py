@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import join_small
 from ..session import cut_lineage
 from .text import ascii_lower, computed, without
-from .trees import calibrated_threshold, fit_trees, row_score
+from .trees import calibrated_threshold, fit_trees, in_hash_order, row_score
 
 FEATURES = ("length", "host_length", "labels", "depth", "longest_part", "digit_ratio", "mark_ratio", "entropy", "parameters", "query_length",
             "fragment", "secure", "suffix_rate", "suffix_count", "lead_rate", "lead_count", "end_rate", "end_count")
@@ -109,7 +109,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled
         return df.fillna({f"_llm_{part}_rate": 0.5 for part in counted} | {f"_llm_{part}_count": 0.0 for part in counted})
 
     own = described(known.withColumn("_llm_fold", F.col("_llm_bucket")), True)
-    chosen = cut_lineage(own.select("label", "_llm_bucket", *names))
+    chosen = in_hash_order(own.select(url, "label", "_llm_bucket", *names), F.col(url))
     model = fit_trees(chosen.where("_llm_bucket <> 0"), names)
     if model is None:
         scored = judged.withColumn("score", F.lit(None).cast("double"))
