@@ -224,6 +224,37 @@ def test_bounds_of_near_copies_drop_no_pair_that_reaches_the_similarity():
             assert set(map(tuple, found.to_numpy().tolist())) == {(1, 2)}
 
 
+def test_texts_with_enough_of_their_own_are_no_mates(spark):
+    """Long texts around one passage and a crowd just below 0.8 make no block; pairs at 0.8 exactly stay, at any share of low hashes, repeated rows or not."""
+    rng = random.Random(12)
+    passage, base = prose(rng, 40), [f"w{i}" for i in range(400)]
+    long = [f"{prose(rng, 100)} {passage} {' '.join(f'own{i}x{j}' for j in range(300))}" for i in range(30)]
+    crowd = [" ".join(f"new{i}x{j}" if j % 22 == i % 22 else w for j, w in enumerate(base)) for i in range(60)]  # a fifth of the shingles and more are each text's own
+    first = [prose(rng, 40 + i) for i in range(50)]
+    pairs = [t for i, one in enumerate(first) for w in [one.split()] for t in (one, " ".join(w[:len(w) - (len(w) - 4) // 9] + [f"p{i}x{j}" for j in range((len(w) - 4) // 9)]))]
+    likeness = [simhash.jaccard(a, b) for a, b in zip(pairs[::2], pairs[1::2])]
+    assert 0.8 <= min(likeness) < max(likeness) < 0.85
+    assert 0.6 < simhash.jaccard(crowd[0], crowd[22]) < 0.8 and simhash.jaccard(long[0], long[1]) < 0.3
+    rows = list(enumerate(long + crowd + pairs))
+    texts = spark.createDataFrame(rows + rows[::3], "node long, _llm_text string")
+    wanted = {i for i, _ in rows[90:]}
+    for share in (0.02, simhash.LOW, 1.0):
+        assert wanted <= {r["node"] for r in simhash.with_mates(texts, 0.8, share).collect()}
+    assert {r["node"] for r in simhash.with_mates(texts, 0.8, 1.0).collect()} == wanted
+    found = {r["node"]: r for r in simhash.prefixes(texts, 0.8).collect()}
+    assert set(found) == wanted and all(set(found[i]["first"]) & set(found[i + 1]["first"]) for i in range(90, 190, 2))
+
+
+def test_pairs_beyond_the_parities_stay_in_their_block():
+    """A block of 200 texts that share a fifth of their shingles at most puts out its one near pair, and how far it is apart."""
+    rng = np.random.default_rng(4)
+    both = rng.integers(0, 2**63, 20, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([both, rng.integers(0, 2**63, 80, dtype=np.uint64)])) for _ in range(199)]
+    sets.append(np.unique(np.concatenate([sets[0][:-2], rng.integers(0, 2**63, 2, dtype=np.uint64)])))
+    block = pd.DataFrame({"key": 1, "node": range(200), "part": range(200), "size": [len(h) for h in sets], "pos": 0, "bits": [simhash.parities(h).tobytes() for h in sets]})
+    assert pd.concat(simhash._block_pairs(block, 0.8)).to_numpy().tolist() == [[0, 199, 4]]
+
+
 def test_near_dedup_tells_rows_apart_that_share_an_id(spark):
     rng = random.Random(6)
     one, two, three, four = (prose(rng, 120) for _ in range(4))
