@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 
 MAX_ROUNDS = 60
 
@@ -14,29 +14,23 @@ def connected_components(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFram
     """``edges(a, b)`` of longs to ``(node, component)``, the component being its smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): every round each node points its
-    neighbours to the smallest it knows, in O(log^2 n) rounds at most. A round is a minimum per node,
-    combined before the shuffle and written, and a join on the node, which so has exchanges of its own that adaptive
-    execution can split: a hub with a third of all edges is no single task. Each round is written to the shared checkpoint folder;
-    only counts reach the driver.
+    neighbours to the smallest it knows, in O(log^2 n) rounds at most. A pair is held once, as (larger, smaller): a large star
+    puts it at the least neighbour of its smaller node, so a round is two minima per node, combined before the shuffle and
+    written, and one distinct. The minima are broadcast up to a counted size; beyond it the joins have exchanges of their
+    own that adaptive execution can split: a hub with a third of all edges is no single task. Rounds end once each node has
+    one pair, with a node that has none. Each round is written to the shared checkpoint folder; only counts, and what is
+    broadcast, reach the driver.
     """
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        """``pairs``: (u, v) with v a neighbour of u; link the larger (or the smaller, and itself) neighbours of u to the smallest of u's circle."""
-        least = cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        linked = pairs.where(F.col("v") > F.col("u")) if large else pairs
-        out = linked.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        if not large:
-            out = out.unionByName(least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
-
-    # every pair is held as (larger, smaller)
     pairs = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both, large=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        small = cut_lineage(star(large, large=False))
-        settled = small.count() == pairs.count() and small.join(pairs, ["u", "v"], "left_anti").limit(1).count() == 0
-        pairs = small
-        if settled:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        least = cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        above = broadcast_if_small(least.select(F.col("u").alias("v"), F.col("m").alias("over")))
+        if least.where("n > 1").isEmpty() and least.select(F.col("m").alias("v")).join(above, "v", "left_semi").isEmpty():
+            return least.select(F.col("u").alias("node"), F.col("m").alias("component")).unionByName(
+                least.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
+        large = pairs.join(above, "v", "left").select("u", F.coalesce("over", "v").alias("v"))
+        # a node's neighbours, all smaller than itself, and the node go to the least of them
+        small = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
+        pairs = cut_lineage(large.join(broadcast_if_small(small), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -405,7 +405,8 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     links = verified(cut_lineage(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     known = connected_components(links)
     parted = prints.join(known, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    linked = connected_components(links.unionByName(verified(near(parted, F.col("first")))))
+    # from the stars of the first links, so that what they connect is settled
+    linked = connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(near(parted, F.col("first")))))
     labelled = marked.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = labelled.groupBy("component").agg(F.min_by(F.struct("_llm_id", "_llm_row"), rank).alias("kept"))
     return labelled.join(kept, "component").select(

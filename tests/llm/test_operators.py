@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pvlake import session
 from pvlake.llm import chat, components, decontaminate, lines, pii, quality, secrets, simhash, substrings, trees, urls
 from pvlake.llm.queries import RULES, op2, op3
 from pvlake.llm.text import digest
@@ -315,6 +316,27 @@ def test_components(spark):
     assert components.connected_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_components_by_few_shuffles(spark, monkeypatch, small):
+    """Chains, a hub and random links against labels passed on one by one; rounds shuffle pairs, not every table of a round anew."""
+    rng = random.Random(13)
+    at = rng.sample(range(-500, 500), 300)
+    edges = [(a, b) for a, b in zip(at[:60], at[1:60])] + [(at[60], x) for x in at[61:110]] + [(rng.choice(at[110:]), rng.choice(at[110:])) for _ in range(150)]
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    shuffles = []
+
+    def counted(df):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return session.cut_lineage(df)
+
+    monkeypatch.setattr(components, "cut_lineage", counted)
+    if not small:
+        monkeypatch.setattr(components, "broadcast_if_small", lambda df: df.hint("merge"))
+    got = components.connected_components(spark.createDataFrame(edges + edges[:40], "a long, b long")).collect()
+    assert len(got) == len(nodes) and {r["node"]: r["component"] for r in got} == _classes([e for e in edges if e[0] != e[1]], nodes)
+    assert max(shuffles) <= (1 if small else 6) and (not small or len(shuffles) <= 20)
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(4)
     items = [(i, " ".join(f"Q{rng.randint(0, 400)}" for _ in range(rng.randint(9, 40)))) for i in range(12)] + [(50, None), (51, ""), (52, "only three words"), (53, "only three words")]
