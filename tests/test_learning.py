@@ -4,10 +4,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from pvlake.operators import splits
 from pvlake.plans import build, forecast, learn
+from pvlake.plans.trees import Forest
 from pvlake.session import checkpoint_dir
 
 from .conftest import at
@@ -57,6 +60,34 @@ def test_tree_contributions_add_up(learnable, gbt):
     assert worst[0] < 1e-9 and worst[1] == rows.count()
 
 
+def test_inputs_that_cannot_split_are_left_out_without_a_change(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(800):
+        a, b = (None if i % 5 == 0 else float(rng.normal())), (None if i % 7 == 0 else float(rng.normal()))
+        rows.append((i % 4, float(rng.normal()) + (a or 2.0) - (b or 1.0), "train" if i % 4 else "val", a, None if a is None else -a, b, 7, None, None if i % 10 < 2 else 1.0, None if i % 10 in (1, 2) else 1.0))
+    df = spark.createDataFrame(rows, "site_id long, power double, split string, a double, like_a double, b double, always int, never double, some double, others double").coalesce(1)
+    names = [*learn.SITE_INPUTS, *learn.feature_columns(df)["numeric"]]
+    train = learn.encode_sites(df.where("split = 'train'")).join(df.where("split = 'train'"), ["site_id"], "left")
+    asked = learn.telling(train, names)
+    of = [n for c in names for n in (c, f"{c}__missing")]
+    assert [of[i] for i in asked] == ["site_mean", "a", "a__missing", "like_a", "b", "b__missing", "some", "some__missing", "others", "others__missing"]
+
+    fitted = learn.train_gbt(df, max_iter=8, max_depth=5)
+    whole = train.select("power", array_to_vector(F.array(*learn.matrix_entries(F.col, names))).alias("x"))
+    model = GBTRegressor(featuresCol="x", labelCol="power", maxIter=8, maxDepth=5, stepSize=0.05, subsamplingRate=0.9, minInstancesPerNode=5, maxBins=64, seed=42).fit(whole)
+    every = Forest.of(model, spark, len(fitted.forest.roots), list(range(len(of))))
+    for part in ("roots", "feature", "threshold", "child", "value", "rows", "gain"):
+        assert np.array_equal(getattr(fitted.forest, part), getattr(every, part)), part
+
+
+def test_batches_score_as_the_column_does(learnable, gbt):
+    both = gbt.predict(learnable).select("*", F.col("prediction").alias("walked")).drop("prediction")
+    got = gbt.placed(both).select("walked", gbt.prediction().alias("column"))
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where(~F.col("walked").eqNullSafe(F.col("column"))).count() == 0 and got.where("walked is not null").count() == learnable.count()
+
+
 def test_importance_lists_every_input(spark, gbt):
     rows = learn.feature_importance(gbt, spark).collect()
     assert {r["feature"] for r in rows} == set(gbt.inputs)
